@@ -68,6 +68,7 @@ SELECT d.doc_id, d.text AS input_text,
   CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE d.lang || ':' || d.source END AS fixed,
   CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE d.lang END AS canonical_fixed,
   CASE WHEN l.toxic = 1 THEN 'repair service unavailable' END AS repair_error,
+  'proposal from ' || d.source AS repair_explanation,
   CAST(length(d.text) % 100 AS DOUBLE) / 100 AS repair_confidence,
   4.0::DOUBLE + CAST(length(d.text) % 600 AS DOUBLE) / 100 AS prediction
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",

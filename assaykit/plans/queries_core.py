@@ -55,3 +55,403 @@ def flagship(spark: SparkSession, base: str, exact_quantiles: bool = True):
 @register("training_set_labels", FLAGSHIP_SQL)
 def q_training_set_labels(spark: SparkSession, base: str):
     return flagship(spark, base, exact_quantiles=True)
+
+
+# --- helpers shared by the query builders ----------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.types import FloatType, LongType, StringType, StructField, StructType  # noqa: E402
+
+from assaykit.functions import units as U  # noqa: E402
+from assaykit.operators import cleaning as C  # noqa: E402
+from assaykit.operators import distributions as D  # noqa: E402
+from assaykit.operators import joins as J  # noqa: E402
+from assaykit.operators import labels as L  # noqa: E402
+from assaykit.operators import quantiles as Q  # noqa: E402
+from assaykit.operators import splits as X  # noqa: E402
+from assaykit.plans.training import training_set  # noqa: E402
+
+ACT_COLS_SQL = ("activity_id, assay_id, molregno, standard_type, standard_value, standard_units, "
+                "standard_relation, standard_flag, round(pchembl_value, 9) AS pchembl_value, type, value, "
+                "units, potential_duplicate")
+
+
+def _act_out(df):
+    """Activity columns with the computed pchembl_value rounded (oracle-stable)."""
+    return df.withColumn("pchembl_value", F.round("pchembl_value", 9))
+
+
+def _nm_sql(src: str = "activity") -> str:
+    """DuckDB twin of cleaning.to_nanomolar: adds units_norm and value_nM."""
+    return f"""
+n0 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(units)), '[µμ]', 'u', 'g'),
+        'micro', 'u', 'g'), '\\s+', '', 'g') AS units_norm FROM {src}),
+n1 AS (SELECT *, regexp_extract(units_norm, '(?:x?10\\^|10'')([+-]?\\d+)', 1) AS e_txt,
+        regexp_replace(units_norm, '(?:x?10\\^|10'')([+-]?\\d+)', '', 'g') AS base FROM n0),
+n2 AS (SELECT *, CASE WHEN e_txt <> '' THEN CAST(e_txt AS INTEGER) ELSE 0 END AS e,
+        CASE base WHEN 'm' THEN 1e9 WHEN 'mol/l' THEN 1e9 WHEN 'mm' THEN 1e6 WHEN 'mmol/l' THEN 1e6
+          WHEN 'um' THEN 1e3 WHEN 'umol/l' THEN 1e3 WHEN 'nm' THEN 1.0 WHEN 'nmol/l' THEN 1.0
+          WHEN 'pm' THEN 1e-3 WHEN 'pmol/l' THEN 1e-3 WHEN 'fm' THEN 1e-6 WHEN 'nmol/ml' THEN 1e3
+          WHEN 'pmol/ml' THEN 1.0 WHEN 'umol/ml' THEN 1e6 END::DOUBLE AS mult FROM n1),
+nm AS (SELECT * EXCLUDE (e_txt, base, e, mult), CAST(value * (mult * pow(10.0, e)) AS DOUBLE) AS value_nM FROM n2)"""
+
+
+# --- sources and projections (S3-S7, S10, S11) -----------------------------------------------
+
+@register("project_activity", f"SELECT {ACT_COLS_SQL} FROM activity")
+def q_project_activity(spark, base):
+    return _act_out(C.project_activity(fx.activity(spark, base)))
+
+
+@register("project_assay", "SELECT assay_id, assay_type, assay_organism, assay_tax_id, tid, doc_id, chembl_id FROM assay")
+def q_project_assay(spark, base):
+    return C.project_assay(fx.assay(spark, base))
+
+
+@register("project_structure", "SELECT molregno, canonical_smiles FROM compound_struct")
+def q_project_structure(spark, base):
+    return C.project_structure(fx.compound_struct(spark, base))
+
+
+ENFORCED = StructType([
+    StructField("activity_id", LongType()), StructField("standard_value", FloatType()),
+    StructField("standard_units", StringType()), StructField("molregno", StringType()),
+])
+
+
+@register("enforce_schema", """
+SELECT activity_id, CAST(standard_value AS FLOAT) AS standard_value, standard_units,
+       CAST(molregno AS VARCHAR) AS molregno FROM activity""")
+def q_enforce_schema(spark, base):
+    return C.enforce_schema(fx.activity(spark, base), ENFORCED)
+
+
+@register("table_counts", """
+SELECT 'activity' AS table_name, count(*) AS n_rows FROM activity
+UNION ALL SELECT 'assay', count(*) FROM assay
+UNION ALL SELECT 'compound_struct', count(*) FROM compound_struct""")
+def q_table_counts(spark, base):
+    parts = {"activity": fx.activity, "assay": fx.assay, "compound_struct": fx.compound_struct}
+    out = None
+    for name, view in parts.items():
+        one = D.row_count(view(spark, base)).select(F.lit(name).alias("table_name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PROFILE_TYPES = [("activity_id", "bigint"), ("assay_id", "bigint"), ("molregno", "bigint"),
+                  ("standard_type", "string"), ("standard_value", "double"), ("standard_units", "string"),
+                  ("standard_relation", "string"), ("standard_flag", "bigint"), ("pchembl_value", "double"),
+                  ("type", "string"), ("value", "double"), ("units", "string"),
+                  ("potential_duplicate", "bigint")]
+PROFILE_SQL = "\nUNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS data_type, count({c}) AS non_null, "
+    f"count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM activity"
+    for i, (c, t) in enumerate(_PROFILE_TYPES))
+
+
+@register("profile_dataset", PROFILE_SQL)
+def q_profile_dataset(spark, base):
+    return D.profile_dataset(fx.activity(spark, base), exact=True)
+
+
+# --- filters (F1-F12) ---------------------------------------------------------------------
+
+_F1 = "standard_type IN ('IC50','GI50','Ki','EC50') AND potential_duplicate = 0"
+
+
+@register("filter_activity", f"SELECT {ACT_COLS_SQL} FROM activity WHERE {_F1}")
+def q_filter_activity(spark, base):
+    return _act_out(C.filter_activity(fx.activity(spark, base)))
+
+
+@register("filter_assay_and", """
+SELECT * FROM assay WHERE assay_organism IN ('Homo sapiens') AND assay_tax_id IN (9606)""")
+def q_filter_assay_and(spark, base):
+    return C.filter_assay(fx.assay(spark, base), mode="and")
+
+
+@register("filter_assay_or", """
+SELECT * FROM assay WHERE assay_organism IN ('Homo sapiens','Mus musculus','Rattus norvegicus')
+   OR assay_tax_id IN (9606, 10090, 10116)""")
+def q_filter_assay_or(spark, base):
+    return C.filter_assay(fx.assay(spark, base), C.EXPLORATION_ORGANISMS, C.EXPLORATION_TAX_IDS, mode="or")
+
+
+@register("filter_structures", """
+SELECT * FROM compound_struct WHERE canonical_smiles IS NOT NULL AND canonical_smiles <> ''""")
+def q_filter_structures(spark, base):
+    return C.filter_structures(fx.compound_struct(spark, base))
+
+
+@register("filter_exact_labels", f"""
+SELECT {ACT_COLS_SQL} FROM activity WHERE standard_type = 'IC50' AND standard_relation = '='""")
+def q_filter_exact_labels(spark, base):
+    return _act_out(C.filter_exact_labels(fx.activity(spark, base)))
+
+
+@register("drop_incomplete", f"SELECT {ACT_COLS_SQL} FROM activity WHERE {_CLEAN_ACTIVITY_SQL}")
+def q_drop_incomplete(spark, base):
+    return _act_out(C.drop_incomplete(fx.activity(spark, base)))
+
+
+@register("drop_incomplete_subset", """
+SELECT activity_id, value, units, standard_value, standard_units FROM activity
+WHERE value IS NOT NULL AND NOT isnan(value) AND units IS NOT NULL
+  AND standard_value IS NOT NULL AND NOT isnan(standard_value) AND standard_units IS NOT NULL""")
+def q_drop_incomplete_subset(spark, base):
+    cols = ["value", "units", "standard_value", "standard_units"]
+    return C.drop_incomplete(fx.activity(spark, base).select("activity_id", *cols), cols)
+
+
+@register("add_pic", """
+SELECT activity_id, standard_value, round(-log10(standard_value * 1e-9), 9) AS pIC FROM activity
+WHERE standard_units = 'nM' AND standard_value > 0""")
+def q_add_pic(spark, base):
+    df = C.add_pic(fx.activity(spark, base).select("activity_id", "standard_value", "standard_units"))
+    return df.select("activity_id", "standard_value", F.round("pIC", 9).alias("pIC"))
+
+
+@register("preprocess_activity", f"""
+SELECT {ACT_COLS_SQL}, round(-log10(standard_value * 1e-9), 9) AS pIC FROM activity
+WHERE {_CLEAN_ACTIVITY_SQL} AND standard_units = 'nM' AND standard_value > 0""")
+def q_preprocess_activity(spark, base):
+    return _act_out(C.preprocess_activity(fx.activity(spark, base))).withColumn("pIC", F.round("pIC", 9))
+
+
+@register("finite_metrics", """
+SELECT run_id, name, value, step FROM metrics
+WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE""")
+def q_finite_metrics(spark, base):
+    return C.finite_only(fx.metrics(spark, base).drop("ts"), "value")
+
+
+# --- unit normalisation (P3-P10, F10, F11, F15, A4, A16) ---------------------------------------
+
+def _nm(spark, base):
+    return C.to_nanomolar(fx.activity(spark, base).select(
+        "activity_id", "value", "units", "standard_value", "standard_units"))
+
+
+@register("to_nanomolar", f"""
+WITH {_nm_sql().strip()}
+SELECT activity_id, value, units, units_norm, round(value_nM, 6) AS value_nM FROM nm""")
+def q_to_nanomolar(spark, base):
+    return _nm(spark, base).select("activity_id", "value", "units", "units_norm",
+                                   F.round("value_nM", 6).alias("value_nM"))
+
+
+@register("unit_parts", f"""
+WITH {_nm_sql().strip()}
+SELECT DISTINCT units, units_norm,
+  CASE WHEN regexp_extract(units_norm, '(?:x?10\\^|10'')([+-]?\\d+)', 1) <> ''
+       THEN CAST(regexp_extract(units_norm, '(?:x?10\\^|10'')([+-]?\\d+)', 1) AS INTEGER) ELSE 0 END AS exponent,
+  regexp_replace(units_norm, '(?:x?10\\^|10'')([+-]?\\d+)', '', 'g') AS base_unit FROM nm""")
+def q_unit_parts(spark, base):
+    df = fx.activity(spark, base).select("units").withColumn("units_norm", U.normalize_unit("units"))
+    return df.select("units", "units_norm", U.unit_exponent("units_norm").alias("exponent"),
+                     U.unit_base("units_norm").alias("base_unit")).distinct()
+
+
+@register("unit_counts", "SELECT standard_units, count(*) AS n FROM activity GROUP BY standard_units")
+def q_unit_counts(spark, base):
+    return D.count_by(fx.activity(spark, base), ["standard_units"])
+
+
+@register("distinct_units", f"WITH {_nm_sql().strip()} SELECT DISTINCT units_norm FROM nm")
+def q_distinct_units(spark, base):
+    return _nm(spark, base).select("units_norm").distinct()
+
+
+@register("value_mismatches", f"""
+WITH {_nm_sql().strip()}
+SELECT activity_id, standard_value, round(value_nM, 6) AS value_nM FROM nm
+WHERE abs(standard_value - value_nM) >= 0.01""")
+def q_value_mismatches(spark, base):
+    return C.value_mismatches(_nm(spark, base), "standard_value", "value_nM", 1e-2).select(
+        "activity_id", "standard_value", F.round("value_nM", 6).alias("value_nM"))
+
+
+@register("value_mismatches_nm", f"""
+WITH {_nm_sql().strip()}
+SELECT activity_id, standard_value, round(value_nM, 6) AS value_nM FROM nm
+WHERE abs(standard_value - value_nM) >= 0.001 AND standard_units = 'nM'""")
+def q_value_mismatches_nm(spark, base):
+    return C.value_mismatches(_nm(spark, base), "standard_value", "value_nM", 1e-3,
+                              "standard_units", "nM").select(
+        "activity_id", "standard_value", F.round("value_nM", 6).alias("value_nM"))
+
+
+@register("where_units", f"""
+WITH {_nm_sql().strip()}
+SELECT activity_id, units_norm, round(value_nM, 6) AS value_nM FROM nm WHERE units_norm = 'umol/l'""")
+def q_where_units(spark, base):
+    return _nm(spark, base).where("units_norm = 'umol/l'").select(
+        "activity_id", "units_norm", F.round("value_nM", 6).alias("value_nM"))
+
+
+_MOLAR_SQL = """CASE lower(trim({u})) WHEN 'm' THEN 1.0 WHEN 'mm' THEN 1e-3 WHEN 'um' THEN 1e-6
+  WHEN 'µm' THEN 1e-6 WHEN 'nm' THEN 1e-9 WHEN 'pm' THEN 1e-12 END::DOUBLE"""
+
+_MEAS_SQL = f"""
+meas AS (SELECT a.*, s.assay_organism, s.assay_type, s.assay_tax_id, s.tid FROM activity a JOIN assay s USING (assay_id)
+  WHERE a.standard_type = '{{t}}' AND a.potential_duplicate = 0
+    AND (s.assay_organism IN ('Homo sapiens','Mus musculus','Rattus norvegicus')
+         OR s.assay_tax_id IN (9606, 10090, 10116))),
+cons AS (SELECT *, CAST(value AS DOUBLE) * {_MOLAR_SQL.format(u='units')} AS molar,
+           CAST(standard_value AS DOUBLE) * {_MOLAR_SQL.format(u='standard_units')} AS std_molar FROM meas
+  WHERE value IS NOT NULL AND units IS NOT NULL AND standard_value IS NOT NULL AND standard_units IS NOT NULL),
+logv AS (SELECT * EXCLUDE (std_molar), -log10(molar) AS log_value FROM cons
+  WHERE molar IS NOT NULL AND std_molar IS NOT NULL AND molar = std_molar AND molar > 0)"""
+
+
+def _log_values(spark, base, standard_type="IC50"):
+    m = J.measurement_join(fx.activity(spark, base), fx.assay(spark, base), standard_type)
+    return C.molar_log(C.consistent_measurements(m), "molar", "log_value")
+
+
+@register("measurement_join", f"""
+WITH {_MEAS_SQL.format(t='IC50').split('cons AS')[0].strip().rstrip(',')}
+SELECT activity_id, value, units, standard_value, standard_units, assay_organism, assay_type FROM meas""")
+def q_measurement_join(spark, base):
+    return J.measurement_join(fx.activity(spark, base), fx.assay(spark, base), "IC50").select(
+        "activity_id", "value", "units", "standard_value", "standard_units", "assay_organism", "assay_type")
+
+
+@register("consistent_log_values", f"""
+WITH {_MEAS_SQL.format(t='IC50').strip()}
+SELECT activity_id, round(molar, 18) AS molar, round(log_value, 9) AS log_value FROM logv""")
+def q_consistent_log_values(spark, base):
+    return _log_values(spark, base).select(
+        "activity_id", F.round("molar", 18).alias("molar"), F.round("log_value", 9).alias("log_value"))
+
+
+# --- joins (J1, J2, J6) ------------------------------------------------------------------------
+
+@register("join_assay", f"""
+SELECT a.activity_id, a.assay_id, a.molregno, s.assay_organism, s.assay_tax_id, s.tid
+FROM activity a JOIN assay s USING (assay_id)
+WHERE {_F1} AND s.assay_organism IN ('Homo sapiens') AND s.assay_tax_id IN (9606)""")
+def q_join_assay(spark, base):
+    act = C.filter_activity(fx.activity(spark, base))
+    ass = C.filter_assay(fx.assay(spark, base))
+    return J.join_assay(act, ass).select("activity_id", "assay_id", "molregno", "assay_organism",
+                                         "assay_tax_id", "tid")
+
+
+@register("join_features", f"""
+SELECT a.activity_id, a.molregno, c.canonical_smiles FROM activity a JOIN compound_struct c USING (molregno)
+WHERE {_F1} AND c.canonical_smiles IS NOT NULL AND c.canonical_smiles <> ''""")
+def q_join_features(spark, base):
+    act = C.filter_activity(fx.activity(spark, base)).select("activity_id", "molregno")
+    return J.join_features(act, C.filter_structures(fx.compound_struct(spark, base)), ["canonical_smiles"])
+
+
+ANNOTATE_SQL = f"""
+WITH {_MEAS_SQL.format(t='IC50').split('cons AS')[0].strip().rstrip(',')}
+SELECT m.activity_id, m.assay_organism, m.assay_type, cs.component_type
+FROM meas m LEFT JOIN target_dictionary td ON td.tid = m.tid
+LEFT JOIN target_components tc ON tc.tid = td.tid
+LEFT JOIN component_sequences cs ON cs.component_id = tc.component_id"""
+
+
+@register("annotate_targets", ANNOTATE_SQL)
+def q_annotate_targets(spark, base):
+    m = J.measurement_join(fx.activity(spark, base), fx.assay(spark, base), "IC50")
+    out = J.annotate_targets(m, fx.target_dictionary(spark, base), fx.target_components(spark, base),
+                             fx.component_sequences(spark, base))
+    return out.select("activity_id", "assay_organism", "assay_type", "component_type")
+
+
+# --- quantiles, labels and splits (A1-A3, F13, X1-X3, J3, J4) ----------------------------------------
+
+_PIC_BASE_SQL = f"""
+act AS (SELECT *, -log10(standard_value * 1e-9) AS pIC FROM activity
+  WHERE {_F1} AND standard_type = 'IC50' AND standard_relation = '='
+    AND {_CLEAN_ACTIVITY_SQL} AND standard_units = 'nM' AND standard_value > 0),
+b AS (SELECT quantile_cont(pIC, 0.25) AS q1, quantile_cont(pIC, 0.75) AS q3 FROM act)"""
+
+
+def _pic_base(spark, base):
+    act = C.filter_exact_labels(C.filter_activity(fx.activity(spark, base)))
+    return C.preprocess_activity(act)
+
+
+@register("quantile_bounds", f"""
+WITH {_PIC_BASE_SQL.strip()}
+SELECT round(q1, 9) AS q1, round(q3, 9) AS q3, round(q1 - 1.5 * (q3 - q1), 9) AS lower,
+       round(q3 + 1.5 * (q3 - q1), 9) AS upper FROM b""")
+def q_quantile_bounds(spark, base):
+    b = Q.iqr_bounds(_pic_base(spark, base), "pIC", exact=True)
+    return b.select(*[F.round(c, 9).alias(c) for c in ("q1", "q3", "lower", "upper")])
+
+
+@register("quantiles_exact", """
+SELECT round(quantile_cont(l_extendedprice, 0.1), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS q5,
+       round(quantile_cont(l_extendedprice, 0.99), 6) AS q99 FROM lineitem""")
+def q_quantiles_exact(spark, base):
+    from assaykit.sources.tables import read_table
+    b = Q.quantile_bounds(read_table(spark, base, "lineitem"), "l_extendedprice", (0.1, 0.5, 0.99),
+                          exact=True, names=("q1", "q5", "q99"))
+    return b.select(*[F.round(c, 6).alias(c) for c in ("q1", "q5", "q99")])
+
+
+@register("iqr_filter", f"""
+WITH {_PIC_BASE_SQL.strip()}
+SELECT activity_id, molregno, round(pIC, 9) AS pIC FROM act, b
+WHERE pIC >= q1 - 1.5 * (q3 - q1) AND pIC <= q3 + 1.5 * (q3 - q1)""")
+def q_iqr_filter(spark, base):
+    f = Q.iqr_filter(_pic_base(spark, base), "pIC", exact=True)
+    return f.select("activity_id", "molregno", F.round("pIC", 9).alias("pIC"))
+
+
+@register("aggregate_labels", f"""
+WITH {_PIC_BASE_SQL.strip()}
+SELECT molregno, min(activity_id) AS activity_id, round(quantile_disc(pIC, 0.5), 6) AS pIC,
+       count(*) AS n_measurements FROM act GROUP BY molregno""")
+def q_aggregate_labels(spark, base):
+    act = _pic_base(spark, base)
+    agg = L.aggregate_labels(act, keep=())
+    n = act.groupBy("molregno").count().withColumnRenamed("count", "n_measurements")
+    return agg.join(n, "molregno").select("molregno", "activity_id", F.round("pIC", 6).alias("pIC"),
+                                          "n_measurements")
+
+
+@register("hash_sample", f"""
+SELECT assay_id FROM assay WHERE {_bucket_sql('assay_id')} < {int(round(0.2 * 4294967296))}""")
+def q_hash_sample(spark, base):
+    return X.hash_sample(fx.assay(spark, base), "assay_id", 0.2, seed=42).select("assay_id")
+
+
+_TS_SQL = f"""
+ts AS (SELECT a.activity_id, a.molregno, c.canonical_smiles, a.pIC, s.assay_organism
+  FROM act a JOIN (SELECT * FROM assay WHERE assay_organism IN ('Homo sapiens') AND assay_tax_id IN (9606)) s
+    USING (assay_id)
+  JOIN (SELECT * FROM compound_struct WHERE canonical_smiles IS NOT NULL AND canonical_smiles <> '') c
+    USING (molregno))"""
+
+
+@register("train_val_split", f"""
+WITH act AS (SELECT *, -log10(standard_value * 1e-9) AS pIC FROM activity
+  WHERE {_F1} AND {_CLEAN_ACTIVITY_SQL} AND standard_units = 'nM' AND standard_value > 0),
+{_TS_SQL.strip()}
+SELECT activity_id, molregno, round(pIC, 9) AS pIC,
+  CASE WHEN {_bucket_sql('activity_id')} < {int(round(0.2 * 4294967296))} THEN 'val' ELSE 'train' END AS split
+FROM ts""")
+def q_train_val_split(spark, base):
+    ts = training_set(fx.activity(spark, base), fx.assay(spark, base), fx.compound_struct(spark, base))
+    out = X.with_split(ts, "activity_id", 0.2, 42)
+    return out.select("activity_id", "molregno", F.round("pIC", 9).alias("pIC"), "split")
+
+
+@register("semi_anti_split", f"""
+WITH ids AS (SELECT DISTINCT assay_id FROM assay WHERE {_bucket_sql('assay_id')} < {int(round(0.2 * 4294967296))})
+SELECT activity_id, assay_id, 'val' AS split FROM activity WHERE assay_id IN (SELECT assay_id FROM ids)
+UNION ALL
+SELECT activity_id, assay_id, 'train' AS split FROM activity WHERE assay_id NOT IN (SELECT assay_id FROM ids)""")
+def q_semi_anti_split(spark, base):
+    act = fx.activity(spark, base).select("activity_id", "assay_id")
+    ids = X.hash_sample(fx.assay(spark, base), "assay_id", 0.2, 42).select("assay_id")
+    train, val = X.train_val_split(act, key="assay_id", val_ids=ids)
+    return (val.withColumn("split", F.lit("val"))
+            .unionByName(train.withColumn("split", F.lit("train"))))

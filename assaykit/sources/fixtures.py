@@ -191,6 +191,7 @@ def inputs(spark: SparkSession, base: str) -> DataFrame:
         .otherwise(F.concat(F.col("lang"), F.lit(":"), F.col("source"))).alias("fixed"),
         F.when(k % 6 == 0, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("canonical_fixed"),
         F.when(F.col("toxic") == 1, F.lit("repair service unavailable")).alias("repair_error"),
+        F.concat(F.lit("proposal from "), F.col("source")).alias("repair_explanation"),
         ((F.length("text") % 100).cast("double") / 100).alias("repair_confidence"),
         (F.lit(4.0) + (F.length("text") % 600).cast("double") / 100).alias("prediction"),
     )
