@@ -10,9 +10,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters Python's str.strip() removes: ASCII whitespace incl. \x0b, \x1c-\x1f, \x85 and
+# the Unicode separators. Written so Java regex and RE2 read it the same way.
+STRIP_CLASS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
 def strip_text(x: str | Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(x), rf"^{STRIP_CLASS}+|{STRIP_CLASS}+$", "")
 
 
 def clean_text_key(x: str | Column) -> Column:

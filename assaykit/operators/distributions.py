@@ -84,9 +84,11 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
 def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HIST_BINS) -> DataFrame:
     """Non-empty bins per group, each group over its own min..max."""
     vals = df.select(*by, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    ranges = vals.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    joined = vals.join(ranges, [vals[k].eqNullSafe(ranges[k]) for k in by], "inner").select(
-        *[vals[k] for k in by], "x", "lo", "hi")
+    rk = [f"_rk{i}" for i in range(len(by))]
+    ranges = vals.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
+        *[F.col(k).alias(r) for k, r in zip(by, rk)], "lo", "hi")
+    # NULL keys are groups too, hence the null-safe equality.
+    joined = vals.join(ranges, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(by, rk)], "inner").drop(*rk)
     binned = joined.withColumn("bin", _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     return (binned.groupBy(*by, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))

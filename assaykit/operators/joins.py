@@ -38,12 +38,13 @@ def semi_join_keys(df: DataFrame, keys_from: DataFrame, key: str = "molregno") -
     return df.join(keys_from.select(key), key, "left_semi")
 
 
-def measurement_join(activity: DataFrame, assay: DataFrame, standard_type: str,
+def measurement_join(activity: DataFrame, assay: DataFrame, standard_type: str | Sequence[str],
                      organisms: Sequence[str] = EXPLORATION_ORGANISMS,
                      tax_ids: Sequence[int] = EXPLORATION_TAX_IDS,
                      duplicate: int = POTENTIAL_DUPLICATE) -> DataFrame:
-    """Measurements of one type in assays of the chosen species (OR rule)."""
-    act = activity.where((F.col("standard_type") == standard_type)
+    """Measurements of one type (or a list) in assays of the chosen species (OR rule)."""
+    types = [standard_type] if isinstance(standard_type, str) else list(standard_type)
+    act = activity.where(F.col("standard_type").isin(*types)
                          & (F.col("potential_duplicate") == duplicate))
     ass = filter_assay(assay, organisms, tax_ids, mode="or")
     return act.join(ass, "assay_id", "inner")
