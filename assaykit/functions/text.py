@@ -28,7 +28,9 @@ def clean_text_key(x: str | Column) -> Column:
 
 def fixed(x: str | Column, places: int, default: str = "None") -> Column:
     """Number with a fixed count of decimals, ``default`` for NULL."""
-    return F.coalesce(F.format_string(f"%.{places}f", _col(x).cast("double")), F.lit(default))
+    c = _col(x).cast("double")
+    # format_string renders NULL as "null" cut to the precision, so NULL is handled first.
+    return F.when(c.isNull(), F.lit(default)).otherwise(F.format_string(f"%.{places}f", c))
 
 
 def yes_no(flag: str | Column) -> Column:

@@ -36,4 +36,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from assaykit.plans import queries_core, queries_reports  # noqa: F401
+    from assaykit.plans import queries_core, queries_graph, queries_reports, queries_text  # noqa: F401
