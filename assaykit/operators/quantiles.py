@@ -48,19 +48,29 @@ def quantile_bounds(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.7
         q = F.percentile_approx("v", list(probs), acc)
         return vals.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    n = vals.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = global_index(vals, ["v"], "i")
-    aggs = []
+    ranked = global_index(vals, ["v"], "i", with_total=True)
+    n = F.col("i_total")
     needed = None
+    per_p = []
     for p, name in zip(probs, names):
         pos = (n - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
         wanted = (F.col("i") == lo) | (F.col("i") == hi)
         needed = wanted if needed is None else (needed | wanted)
-        v_lo = F.max(F.when(F.col("i") == lo, F.col("v")))
-        v_hi = F.max(F.when(F.col("i") == hi, F.col("v")))
-        aggs.append((v_lo + (v_hi - v_lo) * (pos - lo)).alias(name))
-    return ranked.where(needed).agg(*aggs)
+        per_p.append((name, pos, lo, hi))
+    # Only the (at most 2 per probability) rows at the needed ranks reach the aggregate.
+    aggs = [F.max("i_total").alias("_n")]
+    for name, pos, lo, hi in per_p:
+        aggs += [F.max(F.when(F.col("i") == lo, F.col("v"))).alias(f"_{name}_lo"),
+                 F.max(F.when(F.col("i") == hi, F.col("v"))).alias(f"_{name}_hi")]
+    picked = ranked.where(needed).agg(*aggs)
+    out = []
+    for name, _, _, _ in per_p:
+        p = float(probs[names.index(name)])
+        pos = (F.col("_n") - 1).cast("double") * F.lit(p)
+        v_lo, v_hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((v_lo + (v_hi - v_lo) * (pos - F.floor(pos))).alias(name))
+    return picked.select(*out)
 
 
 def iqr_bounds(df: DataFrame, col: str, k: float = IQR_MULTIPLIER, exact: bool = False,

@@ -31,8 +31,12 @@ def _partition_count(df: DataFrame) -> int:
 
 
 def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_index",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based ``out`` column following ``order`` (ascending)."""
+                 num_partitions: int | None = None, with_total: bool = False):
+    """Add a 0-based ``out`` column following ``order`` (ascending).
+
+    With ``with_total`` a ``{out}_total`` column carries the row count,
+    summed from the per-partition sizes (no extra scan).
+    """
     n_parts = num_partitions or _partition_count(df)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
@@ -42,7 +46,9 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_i
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the window below never sees more rows than partitions.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
-            .drop("_pid", "_local", "_offset"))
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                           F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(f"{out}_total"))
+    indexed = (tagged.join(F.broadcast(offsets), "_pid")
+               .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
+               .drop("_pid", "_local", "_offset"))
+    return indexed if with_total else indexed.drop(f"{out}_total")

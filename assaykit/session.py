@@ -72,3 +72,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="assaykit-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def checkpointed(df):
+    """Reliable checkpoint (lineage cut to the shared checkpoint folder), never a local one.
+
+    Used before iterative consumers such as ML optimisers, which would
+    otherwise re-run the whole upstream plan on every pass.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
