@@ -10,14 +10,17 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Characters Python's str.strip() removes: ASCII whitespace incl. \x0b, \x1c-\x1f, \x85 and
-# the Unicode separators. Written so Java regex and RE2 read it the same way.
-STRIP_CLASS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+# The characters Python's str.strip() removes (str.isspace() is true),
+# listed in code-point order: ASCII whitespace, the information separators,
+# NEL, no-break space and the Unicode space separators.
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_text(x: str | Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(x), rf"^{STRIP_CLASS}+|{STRIP_CLASS}+$", "")
+    """Python ``str.strip()``: remove leading and trailing whitespace of any kind (linear btrim)."""
+    return F.btrim(_col(x), F.lit(STRIP_CHARS))
 
 
 def clean_text_key(x: str | Column) -> Column:

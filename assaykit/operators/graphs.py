@@ -92,40 +92,47 @@ def mean_pool(nodes: DataFrame, vec: str = "x", gid: str = "gid") -> DataFrame:
 
 def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k: int = 1,
               activation: str | None = None, residual: bool = False,
-              gid: str = "gid", nid: str = "nid") -> DataFrame:
+              gid: str = "gid", nid: str = "nid", checkpoint_every: int = 0) -> DataFrame:
     """k rounds of symmetric-normalised neighbour averaging with self-loops.
 
-    h'_i = sum over j in N(i) + {i} of h_j / sqrt(d_i * d_j), d = degree + 1.
-    ``activation`` ('silu' or 'relu') is applied after each round and
-    ``residual`` adds the round's input from the second round on, as in the
-    reference's stacked layers (weights are a separate dense step).
+    h'_i = sum over j in N(i) + {i} of h_j / sqrt(d_i * d_j), d = degree + 1,
+    computed as d_i^-1/2 * sum_j (h_j * d_j^-1/2): each round is one join of
+    the link table with the scaled node vectors and one aggregate to the
+    destination node, whose row count is d_i itself (links include the
+    self-loop), so no degree table is joined per round. ``activation``
+    ('silu' or 'relu') follows each round; ``residual`` adds the round's input
+    from the second round on, as in stacked layers (learned weights are a
+    separate dense step). ``checkpoint_every`` > 0 cuts lineage every that
+    many rounds for deep stacks.
     """
-    deg = node_degree(nodes, edges, gid, nid).select(gid, nid, (F.col("degree") + 1).cast("double").alias("_d"))
-    msgs = directed_edges(edges, gid).select(gid, "src", "dst")
-    loops = nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst"))
-    links = msgs.unionByName(loops)
-    dsrc = deg.select(gid, F.col(nid).alias("src"), F.col("_d").alias("_ds"))
-    ddst = deg.select(gid, F.col(nid).alias("dst"), F.col("_d").alias("_dd"))
-    weighted = (links.join(dsrc, [gid, "src"]).join(ddst, [gid, "dst"])
-                .select(gid, "src", "dst", (F.lit(1.0) / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("_w")))
-    h = node_vectors(nodes, feature_cols, "h").select(gid, nid, "h")
+    from assaykit.session import checkpointed
+
     width = len(feature_cols)
+    links = directed_edges(edges, gid).select(gid, "src", "dst").unionByName(
+        nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst")))
+    deg = links.groupBy(gid, F.col("src").alias(nid)).agg(F.count(F.lit(1)).cast("double").alias("_d"))
+    h = (nodes.select(gid, nid, *[F.col(c).cast("double").alias(f"_h{i}") for i, c in enumerate(feature_cols)])
+         .join(deg, [gid, nid]))
     for r in range(k):
-        src_h = h.select(gid, F.col(nid).alias("src"), *[F.col("h")[i].alias(f"_h{i}") for i in range(width)])
-        contrib = weighted.join(src_h, [gid, "src"])
-        agg = contrib.groupBy(gid, F.col("dst").alias(nid)).agg(
-            *[F.sum(F.col(f"_h{i}") * F.col("_w")).alias(f"_h{i}") for i in range(width)])
-        new = F.array(*[F.col(f"_h{i}") for i in range(width)])
+        scaled = h.select(gid, F.col(nid).alias("src"),
+                          *[(F.col(f"_h{i}") / F.sqrt("_d")).alias(f"_s{i}") for i in range(width)])
+        agg = (links.join(scaled, [gid, "src"]).groupBy(gid, F.col("dst").alias(nid))
+               .agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)],
+                    F.count(F.lit(1)).cast("double").alias("_d")))
+        new = [F.col(f"_s{i}") / F.sqrt("_d") for i in range(width)]
         if activation == "silu":
-            new = numeric.silu_vec(new)
+            new = [numeric.silu(c) for c in new]
         elif activation == "relu":
-            new = numeric.relu_vec(new)
-        nxt = agg.select(gid, nid, new.alias("h"))
+            new = [numeric.relu(c) for c in new]
+        nxt = agg.select(gid, nid, *[c.alias(f"_h{i}") for i, c in enumerate(new)], "_d")
         if residual and r > 0:
-            nxt = (nxt.join(h.withColumnRenamed("h", "_prev"), [gid, nid])
-                   .select(gid, nid, numeric.add_vec("_prev", "h").alias("h")))
+            prev = h.select(gid, nid, *[F.col(f"_h{i}").alias(f"_p{i}") for i in range(width)])
+            nxt = nxt.join(prev, [gid, nid]).select(
+                gid, nid, *[(F.col(f"_p{i}") + F.col(f"_h{i}")).alias(f"_h{i}") for i in range(width)], "_d")
         h = nxt
-    return h.select(gid, nid, *[F.col("h")[i].alias(c) for i, c in enumerate(feature_cols)])
+        if checkpoint_every and (r + 1) % checkpoint_every == 0 and r + 1 < k:
+            h = checkpointed(h)
+    return h.select(gid, nid, *[F.col(f"_h{i}").alias(c) for i, c in enumerate(feature_cols)])
 
 
 def _md5_int(s: Column) -> Column:
@@ -139,26 +146,36 @@ def circular_fingerprint(nodes: DataFrame, edges: DataFrame, feature_cols: Seque
 
     Round 0 hashes each node's invariants (features scaled to integers);
     round r hashes (r, own id, sum and count of neighbour ids from round r-1).
-    The neighbour summary is a commutative sum, so it is partially aggregated
-    and a hub node of any degree costs a fixed-size buffer. Output per graph:
-    the sorted distinct set bits (at most ``n_bits``), the sparse form.
+    Each round is one join of the link table (edges both ways plus a
+    self-loop per node) with the previous ids and one aggregate per node: the
+    self-loop row supplies the node's own id, the other rows the neighbour
+    sum and count. The neighbour summary is commutative, so it is partially
+    aggregated and a hub node of any degree costs a fixed-size buffer. Every
+    round's id travels along as a column (radius + 1 of them), so no round
+    is recomputed. Output per graph: the sorted distinct set bits (at most
+    ``n_bits``), the sparse form.
     """
     inv = F.concat_ws("|", *[F.round(F.col(c) * INVARIANT_SCALE).cast("bigint").cast("string")
                              for c in feature_cols])
-    ids = nodes.select(gid, nid, _md5_int(F.concat(F.lit("0:"), inv)).alias("_id"))
-    all_ids = ids.select(gid, "_id")
-    msgs = directed_edges(edges, gid).select(gid, "src", "dst")
+    ids = nodes.select(gid, nid, _md5_int(F.concat(F.lit("0:"), inv)).alias("_b0"))
+    links = directed_edges(edges, gid).select(gid, "src", "dst").unionByName(
+        nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst")))
     for r in range(1, radius + 1):
-        nb = (msgs.join(ids.select(gid, F.col(nid).alias("src"), "_id"), [gid, "src"])
-              .groupBy(gid, F.col("dst").alias(nid))
-              .agg(F.sum("_id").alias("_s"), F.count(F.lit(1)).alias("_c")))
-        key = F.concat_ws(":", F.lit(str(r)), F.col("_id").cast("string"),
-                          F.coalesce(F.col("_s"), F.lit(0)).cast("string"),
-                          F.coalesce(F.col("_c"), F.lit(0)).cast("string"))
-        ids = ids.join(nb, [gid, nid], "left").select(gid, nid, _md5_int(key).alias("_id"))
-        all_ids = all_ids.unionByName(ids.select(gid, "_id"))
-    bits = all_ids.select(gid, (F.col("_id") % n_bits).cast("int").alias("_bit")).distinct()
-    return bits.groupBy(gid).agg(F.array_sort(F.collect_list("_bit")).alias("bits"))
+        cur, hist = f"_b{r - 1}", [f"_b{i}" for i in range(r)]
+        src_ids = ids.select(gid, F.col(nid).alias("src"), *hist)
+        own = F.col("src") == F.col("dst")
+        agg = (links.join(src_ids, [gid, "src"]).groupBy(gid, F.col("dst").alias(nid))
+               .agg(*[F.max(F.when(own, F.col(h))).alias(h) for h in hist],
+                    F.sum(F.when(~own, F.col(cur))).alias("_s"),
+                    F.count(F.when(~own, F.lit(1))).alias("_c")))
+        key = F.concat_ws(":", F.lit(str(r)), F.col(cur).cast("string"),
+                          F.coalesce(F.col("_s"), F.lit(0)).cast("string"), F.col("_c").cast("string"))
+        ids = agg.select(gid, nid, *hist, _md5_int(key).alias(f"_b{r}"))
+    every = F.array(*[F.col(f"_b{i}") for i in range(radius + 1)])
+    bits = ids.select(gid, F.explode(every).alias("_id")).select(
+        gid, (F.col("_id") % n_bits).cast("int").alias("_bit"))
+    # collect_set holds at most n_bits values per graph, whatever the graph size.
+    return bits.groupBy(gid).agg(F.array_sort(F.collect_set("_bit")).alias("bits"))
 
 
 def densify_bits(df: DataFrame, col: str = "bits", n_bits: int = FINGERPRINT_BITS,

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaykit.functions.text import STRIP_CLASS, clean_text_key
+from assaykit.functions.text import STRIP_CHARS, clean_text_key
 from assaykit.operators import text as T
 from assaykit.plans.catalog import register
 from assaykit.sources import fixtures as fx
 
 
 
+_STRIP_CHARS_SQL = " || ".join(f"chr({ord(c)})" for c in STRIP_CHARS)
+
+
 def _strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^{STRIP_CLASS}+|{STRIP_CLASS}+$', '', 'g')"
+    return f"trim({x}, {_STRIP_CHARS_SQL})"
 
 
 def _transcript_sql(n: int) -> str:
