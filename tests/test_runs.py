@@ -48,7 +48,7 @@ def test_early_stopping_matches_fold(spark, d):
 
 def test_window_and_fold_agree_at_zero_delta(spark):
     rng = np.random.default_rng(0)
-    cases = [list(rng.integers(0, 6, 12).astype(float)) for _ in range(20)]
+    cases = [[float(v) for v in rng.integers(0, 6, 12)] for _ in range(20)]
     df = _frame(spark, cases)
     a = sorted(tuple(r) for r in R.early_stopping(df, min_delta=0.0).collect())
     b = sorted(tuple(r) for r in R._early_stopping_fold(df, "run_id", "epoch", "valid_loss", 2, 0.0).collect())
