@@ -87,4 +87,7 @@ def iqr_filter(df: DataFrame, col: str = "pIC", k: float = IQR_MULTIPLIER, exact
     """Keep rows with lower <= col <= upper; bounds from ``df`` itself."""
     b = iqr_bounds(df, col, k=k, exact=exact, accuracy=accuracy)
     fence = b.select(F.struct("lower", "upper")).scalar()
-    return df.where((F.col(col) >= fence["lower"]) & (F.col(col) <= fence["upper"]))
+    # The bounds struct is bound to one column, so the plan holds a single subquery.
+    return (df.withColumn("_fence", fence)
+            .where((F.col(col) >= F.col("_fence.lower")) & (F.col(col) <= F.col("_fence.upper")))
+            .drop("_fence"))

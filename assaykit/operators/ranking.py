@@ -4,17 +4,21 @@
 does, but with DataFrame operations only:
 
 1. range-partition on the order keys (an explicit partition count, so AQE
-   never coalesces the two evaluations differently) and sort inside each
-   partition;
-2. the position inside a partition is ``monotonically_increasing_id`` minus
+   never coalesces it) and sort inside each partition;
+2. write that result once with a reliable ``checkpoint()`` to the session's
+   shared checkpoint folder. Both passes below read the same files: a range
+   partitioner samples its bounds with a seed tied to the RDD, so two
+   separately planned range shuffles of the same data can disagree, and the
+   per-partition counts would no longer match the partitions being indexed.
+   The checkpoint also means a lost executor never changes the numbering;
+3. the position inside a partition is ``monotonically_increasing_id`` minus
    the partition's base (``partition_id << 33``);
-3. a per-partition row count (one row per partition, bounded by the
+4. a per-partition row count (one row per partition, bounded by the
    partition count and not by the data) gives each partition its offset,
    which is broadcast back.
 
-Range bounds are sampled from the input deterministically, so a lost
-executor recomputes the same partitions. Callers must give a total order
-(add a unique tiebreaker) when the position of tied rows matters.
+Callers must give a total order (add a unique tiebreaker) when the position
+of tied rows matters.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_i
     """
     n_parts = num_partitions or _partition_count(df)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    from assaykit.session import checkpointed
+
+    ranged = checkpointed(df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys))
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))

@@ -26,32 +26,43 @@ def training_set(activity: DataFrame, assay: DataFrame, structures: DataFrame,
                  activity_post: Sequence[Transform] = (),
                  organisms: Sequence[str] = cleaning.ORGANISMS,
                  tax_ids: Sequence[int] = cleaning.TAX_IDS,
-                 prefilter_structures: bool = True) -> DataFrame:
+                 prefilter_structures: bool = True, join_structures: bool = True) -> DataFrame:
     """Rows (activity_id, molregno, *feature_cols, pIC, assay_organism), no nulls (F6 hooks).
 
     When ``featurise`` is given, structures are first semi-joined to the
     molecules that still have eligible measurements, because Catalyst cannot
     push a filter through a Python map and featurisation is the costly step.
+    ``join_structures=False`` stops after the assay join (callers that
+    aggregate per molecule join the features afterwards, see
+    ``graph_training_labels``).
     """
     act = cleaning.filter_activity(activity)
     for fn in activity_filters:
         act = act.transform(fn)
     ass = cleaning.filter_assay(assay, organisms, tax_ids, mode="and")
-    struct = cleaning.filter_structures(structures)
     act = cleaning.preprocess_activity(act)
     for fn in activity_post:
         act = act.transform(fn)
-    if featurise is not None:
-        if prefilter_structures:
-            struct = joins.semi_join_keys(struct, act, "molregno")
-        feats = struct.transform(featurise)
-    else:
-        feats = struct
-    out = (joins.join_features(joins.join_assay(act, ass), feats, feature_cols)
+    joined = joins.join_assay(act, ass)
+    if not join_structures:
+        return cleaning.drop_incomplete(joined.select("activity_id", "molregno", "pIC", "assay_organism"))
+    feats = structure_features(structures, featurise, joined if prefilter_structures else None)
+    out = (joins.join_features(joined, feats, feature_cols)
            .select("activity_id", "molregno", *feature_cols, "pIC", "assay_organism"))
     return cleaning.drop_incomplete(out)
 
 
+def structure_features(structures: DataFrame, featurise: Transform | None = None,
+                       eligible: DataFrame | None = None) -> DataFrame:
+    """Filtered structures, optionally featurised; with ``eligible`` only molecules it contains."""
+    struct = cleaning.filter_structures(structures)
+    if featurise is None:
+        return struct
+    if eligible is not None:
+        struct = joins.semi_join_keys(struct, eligible, "molregno")
+    return struct.transform(featurise)
+
+
 def graph_training_labels(activity: DataFrame, assay: DataFrame, structures: DataFrame,
                           exact_quantiles: bool = False, val_fraction: float = 0.3,
                           seed: int = 42, label_digits: int | None = None) -> DataFrame:
@@ -62,14 +73,19 @@ def graph_training_labels(activity: DataFrame, assay: DataFrame, structures: Dat
     """
     base = training_set(
         activity, assay, structures,
-        feature_cols=("canonical_smiles",),
         activity_filters=[cleaning.filter_exact_labels],
         activity_post=[lambda df: quantiles.iqr_filter(df, "pIC", exact=exact_quantiles)],
+        join_structures=False,
     )
+    # The structure join only removes whole molecules, so it runs after the per-molecule
+    # aggregate: one row per molecule meets the features instead of one per measurement.
+    feats = structure_features(structures).select("molregno", "canonical_smiles")
     agg = labels.aggregate_labels(base, key="molregno", label="pIC", id_col="activity_id",
-                                  keep=("assay_organism",), feature_cols=("canonical_smiles",))
+                                  keep=("assay_organism",), features=feats,
+                                  feature_cols=("canonical_smiles",))
     if label_digits is not None:
         agg = agg.withColumn("pIC", F.round("pIC", label_digits))
+    agg = agg.select("molregno", "activity_id", "canonical_smiles", "pIC", "assay_organism")
     return splits.with_split(agg, "molregno", val_fraction, seed)
 
 

@@ -53,3 +53,16 @@ def test_global_index_contiguous(spark):
     assert sorted(r.i for r in rows) == list(range(3000))
     by_i = sorted(rows, key=lambda r: r.i)
     assert [r.k for r in by_i] == sorted(r.k for r in rows)
+
+
+def test_global_index_large_post_shuffle_input(spark):
+    """Big enough that range sampling is seed dependent, and the input comes out of a shuffle."""
+    base = spark.range(0, 200000, numPartitions=4).select((F.col("id") * 7919 % 100003).alias("k"),
+                                                          (F.col("id") % 13).alias("g"))
+    df = base.groupBy("k").agg(F.sum("g").alias("s"))  # shuffled input, order within partitions not fixed
+    n = df.count()
+    g = global_index(df, ["k"], "i", num_partitions=8)
+    stats = g.agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.count("*")).collect()[0]
+    assert tuple(stats) == (0, n - 1, n, n)
+    pairs = sorted((r.i, r.k) for r in g.select("i", "k").collect())
+    assert [k for _, k in pairs] == sorted(k for _, k in pairs)
