@@ -36,5 +36,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from assaykit.plans import (queries_core, queries_graph, queries_models,  # noqa: F401
-                                queries_reports, queries_text)
+    from assaykit.plans import (queries_core, queries_graph, queries_io,  # noqa: F401
+                                queries_models, queries_reports, queries_text)
