@@ -81,9 +81,19 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
             .where(rng["lo"].isNotNull()))
 
 
-def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HIST_BINS) -> DataFrame:
-    """Non-empty bins per group, each group over its own min..max."""
+def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HIST_BINS,
+                      materialize: bool = False) -> DataFrame:
+    """Non-empty bins per group, each group over its own min..max.
+
+    Ranges need a pass of their own before binning. ``materialize`` writes the
+    narrow (group, value) input once with a reliable checkpoint so the two
+    passes do not both recompute an expensive upstream plan (joins, fan-out).
+    """
+    from assaykit.session import checkpointed
+
     vals = df.select(*by, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    if materialize:
+        vals = checkpointed(vals)
     rk = [f"_rk{i}" for i in range(len(by))]
     ranges = vals.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
         *[F.col(k).alias(r) for k, r in zip(by, rk)], "lo", "hi")
@@ -99,7 +109,7 @@ def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HI
 def activity_distributions(df: DataFrame, value: str, dims: Sequence[str],
                            within: str = "standard_type", bins: int = HIST_BINS,
                            distinct_measurements: bool = False,
-                           id_col: str = "activity_id") -> DataFrame:
+                           id_col: str = "activity_id", materialize: bool = False) -> DataFrame:
     """Overall and per-dimension histograms in one scan.
 
     Each row is expanded to one (dim, key) pair per grouping ('overall' plus
@@ -115,7 +125,7 @@ def activity_distributions(df: DataFrame, value: str, dims: Sequence[str],
         *cols, "g.dim", "g.key")
     if distinct_measurements:
         expanded = expanded.dropDuplicates([within, id_col, "dim", "key"]).drop(id_col)
-    return grouped_histogram(expanded, value, [within, "dim", "key"], bins)
+    return grouped_histogram(expanded, value, [within, "dim", "key"], bins, materialize=materialize)
 
 
 def top_groups(df: DataFrame, key: str, n: int = TOP_N, within: Sequence[str] = (),

@@ -18,7 +18,7 @@ from assaykit.plans.training import write_splits
 from assaykit.session import checkpoint_dir
 from assaykit.sources import fixtures as fx
 from assaykit.sources import io
-from assaykit.streaming.metrics_stream import stream_metrics
+from assaykit.streaming.metrics_stream import METRIC_SCHEMA, stream_metrics
 
 
 def _scratch(spark, name: str) -> str:
@@ -58,7 +58,8 @@ def q_stream_metrics(spark, base):
     io.append_metrics(fx.metrics(spark, base), src)
     query = stream_metrics(spark, src, dst, ck)
     query.awaitTermination()
-    return spark.read.parquet(dst).select("run_id", "name", "value", "step")
+    # Read back with the declared schema: partition folders would otherwise infer run_id as int.
+    return spark.read.schema(METRIC_SCHEMA).parquet(dst).select("run_id", "name", "value", "step")
 
 
 _HEAD_ORDER = ("activity_id", "assay_id", "molregno", "standard_type", "standard_value", "standard_units",
