@@ -62,15 +62,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
     (local tests) a fresh scratch folder is created and registered.
     """
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", "")
+    current = sc.getCheckpointDir()
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if current:
-            spark.sparkContext.setCheckpointDir(current)
+            sc.setCheckpointDir(current)
     if current:
         return current
     folder = tempfile.mkdtemp(prefix="assaykit-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder)
     return folder
 
 
