@@ -30,6 +30,20 @@ def directed_edges(edges: DataFrame, gid: str = "gid") -> DataFrame:
     return edges.select(gid, both.alias("e")).select(gid, F.col("e.s").alias("src"), F.col("e.d").alias("dst"))
 
 
+def _link_table(nodes: DataFrame, edges: DataFrame, gid: str, nid: str, materialize: bool) -> DataFrame:
+    """Directed edges plus one self-loop per node: the message table of every round.
+
+    With ``materialize`` the table is written once with a reliable checkpoint,
+    so the rounds read it instead of re-deriving it from its sources each time
+    (and a lost executor never forces that derivation again).
+    """
+    from assaykit.session import checkpointed
+
+    links = directed_edges(edges, gid).select(gid, "src", "dst").unionByName(
+        nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst")))
+    return checkpointed(links) if materialize else links
+
+
 def node_degree(nodes: DataFrame, edges: DataFrame, gid: str = "gid", nid: str = "nid") -> DataFrame:
     """Degree of every node; isolated nodes get 0."""
     deg = (directed_edges(edges, gid).groupBy(gid, F.col("src").alias(nid))
@@ -92,47 +106,58 @@ def mean_pool(nodes: DataFrame, vec: str = "x", gid: str = "gid") -> DataFrame:
 
 def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k: int = 1,
               activation: str | None = None, residual: bool = False,
-              gid: str = "gid", nid: str = "nid", checkpoint_every: int = 0) -> DataFrame:
+              gid: str = "gid", nid: str = "nid", checkpoint_every: int = 0,
+              materialize_links: bool = True) -> DataFrame:
     """k rounds of symmetric-normalised neighbour averaging with self-loops.
 
     h'_i = sum over j in N(i) + {i} of h_j / sqrt(d_i * d_j), d = degree + 1,
-    computed as d_i^-1/2 * sum_j (h_j * d_j^-1/2): each round is one join of
-    the link table with the scaled node vectors and one aggregate to the
-    destination node, whose row count is d_i itself (links include the
-    self-loop), so no degree table is joined per round. ``activation``
-    ('silu' or 'relu') follows each round; ``residual`` adds the round's input
-    from the second round on, as in stacked layers (learned weights are a
-    separate dense step). ``checkpoint_every`` > 0 cuts lineage every that
-    many rounds for deep stacks.
+    computed as d_i^-1/2 * sum_j (h_j * d_j^-1/2). Every round has the same
+    shape: one join of the link table with the node values and one aggregate
+    to the destination node. Because the links include a self-loop, that
+    aggregate also yields d_i (its row count) and the node's own previous
+    value (the self-loop row), so neither a degree table nor the previous
+    round is joined again and no round is planned twice. A first pass of the
+    same shape attaches the degrees. ``activation`` ('silu' or 'relu')
+    follows each round; ``residual`` adds the round's input from the second
+    round on, as in stacked layers (learned weights are a separate dense
+    step). ``checkpoint_every`` > 0 cuts lineage every that many rounds;
+    ``materialize_links`` writes the link table once (see ``_link_table``).
     """
     from assaykit.session import checkpointed
 
     width = len(feature_cols)
-    links = directed_edges(edges, gid).select(gid, "src", "dst").unionByName(
-        nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst")))
-    deg = links.groupBy(gid, F.col("src").alias(nid)).agg(F.count(F.lit(1)).cast("double").alias("_d"))
-    h = (nodes.select(gid, nid, *[F.col(c).cast("double").alias(f"_h{i}") for i, c in enumerate(feature_cols)])
-         .join(deg, [gid, nid]))
+    links = _link_table(nodes, edges, gid, nid, materialize_links)
+    own = F.col("src") == F.col("dst")
+    h_cols = [f"_h{i}" for i in range(width)]
+
+    def step(values: DataFrame, scale: bool) -> DataFrame:
+        """Join node values onto links by source, aggregate by destination."""
+        if scale:
+            send = [(F.col(h) / F.sqrt("_d")).alias(f"_s{i}") for i, h in enumerate(h_cols)]
+        else:
+            send = [F.col(h).alias(f"_s{i}") for i, h in enumerate(h_cols)]
+        src_vals = values.select(gid, F.col(nid).alias("src"), *send, *[F.col(h) for h in h_cols])
+        return (links.join(src_vals, [gid, "src"]).groupBy(gid, F.col("dst").alias(nid))
+                .agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)],
+                     *[F.max(F.when(own, F.col(h))).alias(f"_p{i}") for i, h in enumerate(h_cols)],
+                     F.count(F.lit(1)).cast("double").alias("_d")))
+
+    start = nodes.select(gid, nid, *[F.col(c).cast("double").alias(h) for c, h in zip(feature_cols, h_cols)])
+    # Degree pass: the self-loop row returns each node's own features, the row count its degree.
+    h = step(start, scale=False).select(gid, nid, *[F.col(f"_p{i}").alias(h) for i, h in enumerate(h_cols)], "_d")
     for r in range(k):
-        scaled = h.select(gid, F.col(nid).alias("src"),
-                          *[(F.col(f"_h{i}") / F.sqrt("_d")).alias(f"_s{i}") for i in range(width)])
-        agg = (links.join(scaled, [gid, "src"]).groupBy(gid, F.col("dst").alias(nid))
-               .agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)],
-                    F.count(F.lit(1)).cast("double").alias("_d")))
+        agg = step(h, scale=True)
         new = [F.col(f"_s{i}") / F.sqrt("_d") for i in range(width)]
         if activation == "silu":
             new = [numeric.silu(c) for c in new]
         elif activation == "relu":
             new = [numeric.relu(c) for c in new]
-        nxt = agg.select(gid, nid, *[c.alias(f"_h{i}") for i, c in enumerate(new)], "_d")
         if residual and r > 0:
-            prev = h.select(gid, nid, *[F.col(f"_h{i}").alias(f"_p{i}") for i in range(width)])
-            nxt = nxt.join(prev, [gid, nid]).select(
-                gid, nid, *[(F.col(f"_p{i}") + F.col(f"_h{i}")).alias(f"_h{i}") for i in range(width)], "_d")
-        h = nxt
+            new = [F.col(f"_p{i}") + c for i, c in enumerate(new)]
+        h = agg.select(gid, nid, *[c.alias(h) for c, h in zip(new, h_cols)], "_d")
         if checkpoint_every and (r + 1) % checkpoint_every == 0 and r + 1 < k:
             h = checkpointed(h)
-    return h.select(gid, nid, *[F.col(f"_h{i}").alias(c) for i, c in enumerate(feature_cols)])
+    return h.select(gid, nid, *[F.col(h).alias(c) for h, c in zip(h_cols, feature_cols)])
 
 
 def _md5_int(s: Column) -> Column:
@@ -141,7 +166,7 @@ def _md5_int(s: Column) -> Column:
 
 def circular_fingerprint(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str],
                          radius: int = FINGERPRINT_RADIUS, n_bits: int = FINGERPRINT_BITS,
-                         gid: str = "gid", nid: str = "nid") -> DataFrame:
+                         gid: str = "gid", nid: str = "nid", materialize_links: bool = True) -> DataFrame:
     """Morgan-style circular fingerprint folded to ``n_bits``.
 
     Round 0 hashes each node's invariants (features scaled to integers);
@@ -158,8 +183,7 @@ def circular_fingerprint(nodes: DataFrame, edges: DataFrame, feature_cols: Seque
     inv = F.concat_ws("|", *[F.round(F.col(c) * INVARIANT_SCALE).cast("bigint").cast("string")
                              for c in feature_cols])
     ids = nodes.select(gid, nid, _md5_int(F.concat(F.lit("0:"), inv)).alias("_b0"))
-    links = directed_edges(edges, gid).select(gid, "src", "dst").unionByName(
-        nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst")))
+    links = _link_table(nodes, edges, gid, nid, materialize_links)
     for r in range(1, radius + 1):
         cur, hist = f"_b{r - 1}", [f"_b{i}" for i in range(r)]
         src_ids = ids.select(gid, F.col(nid).alias("src"), *hist)
