@@ -82,16 +82,18 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
 
 
 def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HIST_BINS,
-                      materialize: bool = False) -> DataFrame:
+                      materialize: bool = False, weight: str | None = None) -> DataFrame:
     """Non-empty bins per group, each group over its own min..max.
 
     Ranges need a pass of their own before binning. ``materialize`` writes the
     narrow (group, value) input once with a reliable checkpoint so the two
     passes do not both recompute an expensive upstream plan (joins, fan-out).
+    ``weight`` names a row multiplicity column; counts are then its sum.
     """
     from assaykit.session import checkpointed
 
-    vals = df.select(*by, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    vals = df.select(*by, F.col(col).cast("double").alias("x"), w.alias("_w")).where(F.col("x").isNotNull())
     if materialize:
         vals = checkpointed(vals)
     rk = [f"_rk{i}" for i in range(len(by))]
@@ -101,7 +103,7 @@ def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HI
     joined = vals.join(ranges, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(by, rk)], "inner").drop(*rk)
     binned = joined.withColumn("bin", _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    return (binned.groupBy(*by, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    return (binned.groupBy(*by, "bin", "lo", "hi").agg(F.sum("_w").alias("n"))
             .select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), "n"))
 
@@ -109,32 +111,39 @@ def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HI
 def activity_distributions(df: DataFrame, value: str, dims: Sequence[str],
                            within: str = "standard_type", bins: int = HIST_BINS,
                            distinct_measurements: bool = False,
-                           id_col: str = "activity_id", materialize: bool = False) -> DataFrame:
+                           id_col: str = "activity_id", materialize: bool = False,
+                           weight: str | None = None) -> DataFrame:
     """Overall and per-dimension histograms in one scan.
 
     Each row is expanded to one (dim, key) pair per grouping ('overall' plus
     one per ``dims`` column), then binned per (within, dim, key) group. A NULL
     key is a real group, told apart from the overall one by ``dim``.
     ``distinct_measurements`` drops the join fan-out (one row per measurement
-    and key) before counting.
+    and key) before counting. ``weight`` is a multiplicity column (see
+    ``joins.annotate_target_types``): counts become its sum.
     """
+    if distinct_measurements and weight:
+        raise ValueError("distinct_measurements counts each measurement once; drop the weight")
     pairs = [F.struct(F.lit("overall").alias("dim"), F.lit(None).cast("string").alias("key"))]
     pairs += [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key")) for d in dims]
-    cols = [within, value] + ([id_col] if distinct_measurements else [])
+    cols = [within, value] + ([id_col] if distinct_measurements else []) + ([weight] if weight else [])
     expanded = df.select(*cols, F.explode(F.array(*pairs)).alias("g")).select(
         *cols, "g.dim", "g.key")
     if distinct_measurements:
         expanded = expanded.dropDuplicates([within, id_col, "dim", "key"]).drop(id_col)
-    return grouped_histogram(expanded, value, [within, "dim", "key"], bins, materialize=materialize)
+    return grouped_histogram(expanded, value, [within, "dim", "key"], bins, materialize=materialize,
+                             weight=weight)
 
 
 def top_groups(df: DataFrame, key: str, n: int = TOP_N, within: Sequence[str] = (),
-               out: str = "n") -> DataFrame:
+               out: str = "n", weight: str | None = None) -> DataFrame:
     """The ``n`` largest groups of ``key`` (NULL key excluded), ties by key.
 
-    The window runs over the per-group counts, not over rows.
+    The window runs over the per-group counts, not over rows. ``weight`` is a
+    row multiplicity column whose sum is the group size.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(*within, key).agg(F.count(F.lit(1)).alias(out))
+    size = F.sum(F.col(weight).cast("bigint")) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(key).isNotNull()).groupBy(*within, key).agg(size.alias(out))
     order = [F.col(out).desc(), F.col(key).asc()]
     if not within:
         # Distributed top-k (per-partition top n, then merge); the window sees n rows.

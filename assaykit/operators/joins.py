@@ -67,3 +67,30 @@ def annotate_targets(df: DataFrame, target_dictionary: DataFrame, target_compone
            .join(cs, F.col("_cs_cid") == F.col("_tc_cid"), "left")
            .drop("_td_tid", "_tc_tid", "_tc_cid", "_cs_cid"))
     return out.distinct() if distinct else out
+
+
+def target_type_weights(target_dictionary: DataFrame, target_components: DataFrame,
+                        component_sequences: DataFrame, out: str = "n_components") -> DataFrame:
+    """(tid, component_type, n_components): how many fan-out rows a target contributes per type.
+
+    The component table is aggregated before it meets the measurements, so
+    the result is dimension-sized (targets x types), not measurements x components.
+    """
+    td = target_dictionary.select("tid").distinct()
+    tc = target_components.select("tid", "component_id")
+    cs = component_sequences.select("component_id", "component_type")
+    return (td.join(tc, "tid").join(cs, "component_id", "left")
+            .groupBy("tid", "component_type").agg(F.count(F.lit(1)).alias(out)))
+
+
+def annotate_target_types(df: DataFrame, target_dictionary: DataFrame, target_components: DataFrame,
+                          component_sequences: DataFrame, out: str = "n_components") -> DataFrame:
+    """Weighted form of ``annotate_targets``: one row per measurement and component type.
+
+    ``n_components`` is the number of rows ``annotate_targets`` would emit for
+    that pair, so sums of it reproduce every fan-out count exactly while the
+    data never grows by the number of components per target.
+    """
+    w = target_type_weights(target_dictionary, target_components, component_sequences, out)
+    return (df.join(w, "tid", "left")
+            .withColumn(out, F.coalesce(F.col(out), F.lit(1)).cast("bigint")))

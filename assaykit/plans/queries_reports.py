@@ -44,12 +44,17 @@ logv AS (SELECT * EXCLUDE (std_molar), -log10(molar) AS log_value FROM cons
   WHERE molar IS NOT NULL AND std_molar IS NOT NULL AND molar = std_molar AND molar > 0)""".strip()
 
 
-def _log_values(spark, base, types, annotate: bool = False):
-    """Consistent measurements as -log10(molar), optionally fanned out to target components."""
+def _log_values(spark, base, types, annotate: bool = False, weighted: bool = False):
+    """Consistent measurements as -log10(molar), optionally annotated with target component types.
+
+    ``weighted`` keeps one row per measurement and component type with an
+    ``n_components`` multiplicity instead of one row per component.
+    """
     m = J.measurement_join(fx.activity(spark, base), fx.assay(spark, base), types)
     if annotate:
-        m = J.annotate_targets(m, fx.target_dictionary(spark, base), fx.target_components(spark, base),
-                               fx.component_sequences(spark, base))
+        tables = (fx.target_dictionary(spark, base), fx.target_components(spark, base),
+                  fx.component_sequences(spark, base))
+        m = J.annotate_target_types(m, *tables) if weighted else J.annotate_targets(m, *tables)
     return C.molar_log(C.consistent_measurements(m), "molar", "log_value")
 
 
@@ -88,8 +93,9 @@ FROM bn GROUP BY standard_type, dim, key, bin, bn.lo, bn.hi"""
 
 @register("activity_distributions", _DIST_SQL)
 def q_activity_distributions(spark, base):
-    lv = _log_values(spark, base, TYPES, annotate=True)
-    d = D.activity_distributions(lv, "log_value", ["assay_organism", "assay_type", "component_type"])
+    lv = _log_values(spark, base, TYPES, annotate=True, weighted=True)
+    d = D.activity_distributions(lv, "log_value", ["assay_organism", "assay_type", "component_type"],
+                                 weight="n_components")
     return d.select("standard_type", "dim", "key", "bin", F.round("lo", 9).alias("lo"),
                     F.round("hi", 9).alias("hi"), "n")
 
@@ -114,8 +120,8 @@ SELECT * FROM (
     row_number() OVER (PARTITION BY standard_type ORDER BY count(*) DESC, component_type ASC) AS rank
   FROM logv WHERE component_type IS NOT NULL GROUP BY standard_type, component_type) t WHERE rank <= 6""")
 def q_top_component_types(spark, base):
-    lv = _log_values(spark, base, TYPES, annotate=True)
-    t = D.top_groups(lv, "component_type", 6, within=["standard_type"])
+    lv = _log_values(spark, base, TYPES, annotate=True, weighted=True)
+    t = D.top_groups(lv, "component_type", 6, within=["standard_type"], weight="n_components")
     return t.withColumn("rank", F.col("rank").cast("bigint"))
 
 
