@@ -130,7 +130,9 @@ def activity_distributions(df: DataFrame, value: str, dims: Sequence[str],
     expanded = df.select(*cols, F.explode(F.array(*pairs)).alias("g")).select(
         *cols, "g.dim", "g.key")
     if distinct_measurements:
-        expanded = expanded.dropDuplicates([within, id_col, "dim", "key"]).drop(id_col)
+        # The value is part of the key: ids may repeat across measurements, and keeping an
+        # arbitrary one of them would make the counts depend on row order.
+        expanded = expanded.dropDuplicates([within, id_col, value, "dim", "key"]).drop(id_col)
     return grouped_histogram(expanded, value, [within, "dim", "key"], bins, materialize=materialize,
                              weight=weight)
 

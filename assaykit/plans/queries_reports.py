@@ -100,6 +100,24 @@ def q_activity_distributions(spark, base):
                     F.round("hi", 9).alias("hi"), "n")
 
 
+_DIST_DISTINCT_SQL = _DIST_SQL.replace(
+    "ex AS (SELECT standard_type, log_value, 'overall' AS dim, CAST(NULL AS VARCHAR) AS key FROM logv",
+    "ex0 AS (SELECT standard_type, activity_id, log_value, 'overall' AS dim, CAST(NULL AS VARCHAR) AS key FROM logv"
+).replace("UNION ALL SELECT standard_type, log_value,", "UNION ALL SELECT standard_type, activity_id, log_value,").replace(
+    "component_type FROM logv),",
+    "component_type FROM logv),\nex AS (SELECT DISTINCT standard_type, activity_id, log_value, dim, key FROM ex0),")
+
+
+@register("activity_distributions_distinct", _DIST_DISTINCT_SQL)
+def q_activity_distributions_distinct(spark, base):
+    """A7 with each measurement counted once per key, whatever the target fan-out."""
+    lv = _log_values(spark, base, TYPES, annotate=True, weighted=True)
+    d = D.activity_distributions(lv, "log_value", ["assay_organism", "assay_type", "component_type"],
+                                 distinct_measurements=True)
+    return d.select("standard_type", "dim", "key", "bin", F.round("lo", 9).alias("lo"),
+                    F.round("hi", 9).alias("hi"), "n")
+
+
 @register("histogram_by_organism", f"""
 WITH {_log_sql("= 'IC50'", False)},
 rg AS (SELECT assay_organism, min(log_value) AS lo, max(log_value) AS hi FROM logv GROUP BY ALL),
