@@ -18,6 +18,13 @@ from assaykit.plans.queries_core import _bucket_sql, flagship
 from assaykit.session import checkpointed
 from assaykit.sources import fixtures as fx
 
+def demo_layers(width: int = 64, hidden: int = 16, seed: int = 0):
+    """Deterministic small weight stack for the dense-layer query and tests."""
+    rng = np.random.default_rng(seed)
+    return [(rng.normal(0, 0.1, (width, hidden)), np.zeros(hidden)),
+            (rng.normal(0, 0.1, (hidden, 1)), np.zeros(1))]
+
+
 TOKEN_FEATURES = ("f_len", "f_degree", "f_charge", "f_vowels", "f_upper", "f_digits")
 
 
@@ -28,12 +35,39 @@ def _structure_graphs(spark, base):
     return S.map_structures(structs, S.token_graph_kernel), labels
 
 
-@register("structure_graphs")
+_TOKENS = "string_split_regex(trim(canonical_smiles), '\\s+')"
+STRUCTURE_GRAPHS_SQL = f"""
+WITH tok AS (
+  SELECT molregno, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS i, len({_TOKENS}) AS n
+  FROM compound_struct WHERE canonical_smiles IS NOT NULL AND trim(canonical_smiles) <> ''),
+nf AS (SELECT molregno, max(n) AS n, list([CAST(length(w) AS FLOAT),
+    CAST((CASE WHEN i > 0 THEN 1 ELSE 0 END) + (CASE WHEN i < n - 1 THEN 1 ELSE 0 END) AS FLOAT),
+    CAST(0 AS FLOAT),
+    CAST(length(w) - length(regexp_replace(lower(w), '[aeiou]', '', 'g')) AS FLOAT),
+    CAST(CASE WHEN regexp_matches(w, '^[A-Z]') THEN 1 ELSE 0 END AS FLOAT),
+    CAST(length(w) - length(regexp_replace(w, '[0-9]', '', 'g')) AS FLOAT)] ORDER BY i) AS node_features
+  FROM tok GROUP BY molregno)
+SELECT molregno, node_features,
+  [flatten(list_transform(range(n - 1), lambda k: [k, k + 1])),
+   flatten(list_transform(range(n - 1), lambda k: [k + 1, k]))] AS edge_index FROM nf"""
+
+
+@register("structure_graphs", STRUCTURE_GRAPHS_SQL)
 def q_structure_graphs(spark, base):
     return S.map_structures(fx.compound_struct(spark, base), S.token_graph_kernel)
 
 
-@register("validate_structures")
+_BLANK = "coalesce(trim(canonical_smiles), '') = ''"
+_BAD = "regexp_matches(trim(canonical_smiles), '[^A-Za-z\\s]')"
+
+
+@register("validate_structures", f"""
+SELECT molregno,
+  CASE WHEN {_BLANK} OR {_BAD} THEN false ELSE true END AS is_valid,
+  CASE WHEN {_BLANK} OR {_BAD} THEN NULL
+       ELSE regexp_replace(lower(trim(canonical_smiles)), '\\s+', ' ', 'g') END AS canonical,
+  CASE WHEN {_BLANK} THEN 'SMILES is empty.' WHEN {_BAD} THEN 'unsupported characters' END AS issue
+FROM compound_struct""")
 def q_validate_structures(spark, base):
     return S.validate_structures(fx.compound_struct(spark, base))
 
@@ -64,18 +98,32 @@ def q_robust_pooled_regression(spark, base):
         "molregno", "pIC", F.col("prediction").alias("predicted_pIC"))
 
 
-def demo_layers(width: int = 64, hidden: int = 16, seed: int = 0):
-    """Deterministic small weight stack for the dense-layer query and tests."""
-    rng = np.random.default_rng(seed)
-    return [(rng.normal(0, 0.1, (width, hidden)), np.zeros(hidden)),
-            (rng.normal(0, 0.1, (hidden, 1)), np.zeros(1))]
+def _values_sql(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v!r}'::DOUBLE" for v in r) + ")"
+                     for r in rows)
+
+
+def _dense_forward_sql() -> str:
+    (w1, b1), (w2, b2) = demo_layers()
+    w1_rows = [(i, k, float(w1[i, k])) for i in range(w1.shape[0]) for k in range(w1.shape[1])]
+    b1_rows = [(k, float(b1[k])) for k in range(b1.shape[0])]
+    w2_rows = [(k, float(w2[k, 0])) for k in range(w2.shape[0])]
+    return f"""
+WITH w1(i, k, w) AS (VALUES {_values_sql(w1_rows)}),
+b1(k, b) AS (VALUES {_values_sql(b1_rows)}),
+w2(k, w) AS (VALUES {_values_sql(w2_rows)}),
+x AS (SELECT vec_id, CAST(unnest("values") AS DOUBLE) AS v, generate_subscripts("values", 1) - 1 AS i FROM tensors),
+z AS (SELECT x.vec_id, w1.k, sum(x.v * w1.w) + max(b1.b) AS z FROM x JOIN w1 ON x.i = w1.i
+      JOIN b1 ON b1.k = w1.k GROUP BY x.vec_id, w1.k),
+a AS (SELECT vec_id, k, z / (1 + exp(-z)) AS h FROM z)
+SELECT a.vec_id, round(sum(a.h * w2.w) + {float(b2[0])!r}, 9) AS score FROM a JOIN w2 ON a.k = w2.k GROUP BY a.vec_id"""
 
 
-@register("dense_forward")
+@register("dense_forward", _dense_forward_sql())
 def q_dense_forward(spark, base):
     t = fx.tensors(spark, base)
     out = Mo.dense_forward(t, "values", demo_layers(), activation="silu", out="output")
-    return out.select("vec_id", F.col("output")[0].alias("score"))
+    return out.select("vec_id", F.round(F.col("output")[0], 9).alias("score"))
 
 
 @register("val_split_assays", f"""
