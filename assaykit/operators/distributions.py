@@ -66,9 +66,17 @@ def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi > lo, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("bigint")
 
 
+def _finite(c: Column) -> Column:
+    # NaN sorts above every number in Spark and +-inf has no bin width: both are left out.
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
-    """All ``bins`` equal-width bins over min..max of ``col``: bin, lo, hi, n."""
-    vals = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    """All ``bins`` equal-width bins over min..max of ``col``: bin, lo, hi, n.
+
+    NULL, NaN and infinite values are not counted; an empty input gives no rows.
+    """
+    vals = df.select(F.col(col).cast("double").alias("x")).where(_finite(F.col("x")))
     rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     counts = (vals.select(_bin_index(F.col("x"), rng["lo"], rng["hi"], bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
@@ -93,7 +101,7 @@ def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HI
     from assaykit.session import checkpointed
 
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    vals = df.select(*by, F.col(col).cast("double").alias("x"), w.alias("_w")).where(F.col("x").isNotNull())
+    vals = df.select(*by, F.col(col).cast("double").alias("x"), w.alias("_w")).where(_finite(F.col("x")))
     if materialize:
         vals = checkpointed(vals)
     rk = [f"_rk{i}" for i in range(len(by))]
