@@ -10,6 +10,7 @@ import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -25,16 +26,28 @@ def table_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+# Schemas already read from a footer, keyed by (path, modification time): later reads of
+# an unchanged table pass the schema and skip the footer-reading job.
+_SCHEMAS: dict[tuple[str, float], StructType] = {}
+
+
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Read one table; fails fast when the location holds no Parquet."""
     path = table_path(base, name)
-    if "://" not in path and os.path.isdir(path):
+    local = "://" not in path
+    if local and os.path.isdir(path):
         has_parquet = any(
             f.endswith(".parquet") for _, _, files in os.walk(path) for f in files
         )
         if not has_parquet:
             raise FileNotFoundError(f"No parquet files found in {path}")
-    return spark.read.parquet(path)
+    key = (path, os.path.getmtime(path)) if local and os.path.exists(path) else None
+    if key is not None and key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    df = spark.read.parquet(path)
+    if key is not None:
+        _SCHEMAS[key] = df.schema
+    return df
 
 
 def load_tables(spark: SparkSession, base: str,
