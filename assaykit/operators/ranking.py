@@ -58,3 +58,23 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_i
                .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
                .drop("_pid", "_local", "_offset"))
     return indexed if with_total else indexed.drop(f"{out}_total")
+
+
+def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
+                     out: str = "row_number", num_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row inside its group, in ``order``, without a per-group window.
+
+    ``row_number() over (partition by group order by ...)`` sends a whole group
+    to one task; a group holding a third of the data would then run on one
+    core. Here the rows are numbered once in the total order (group keys,
+    then ``order``) with ``global_index``, so a large group is spread over
+    many range partitions, and the group's first position (a partially
+    aggregated ``min`` per group) is subtracted.
+    """
+    keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
+    indexed = global_index(df, keys, "_gi", num_partitions)
+    starts = indexed.groupBy(*group).agg(F.min("_gi").alias("_g0"))
+    joined = indexed.join(starts.select(*[F.col(g).alias(f"_k_{g}") for g in group], "_g0"),
+                          [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group])
+    return (joined.withColumn(out, (F.col("_gi") - F.col("_g0")).cast("bigint"))
+            .drop("_gi", "_g0", *[f"_k_{g}" for g in group]))

@@ -66,3 +66,17 @@ def test_global_index_large_post_shuffle_input(spark):
     assert tuple(stats) == (0, n - 1, n, n)
     pairs = sorted((r.i, r.k) for r in g.select("i", "k").collect())
     assert [k for _, k in pairs] == sorted(k for _, k in pairs)
+
+
+def test_group_row_number_matches_window_with_hot_group(spark):
+    from pyspark.sql import Window
+
+    from assaykit.operators.ranking import group_row_number
+
+    # group 0 holds a third of the rows; NULL is a group of its own
+    df = spark.range(0, 9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 50)
+        .alias("g"), ((F.col("id") * 7919) % 10007).alias("t"), F.col("id"))
+    got = group_row_number(df, ["g"], ["t", "id"], "rn", num_partitions=6)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")) - 1)
+    assert sorted(map(tuple, got.select("id", "rn").collect())) == sorted(map(tuple, ref.select("id", "rn").collect()))
