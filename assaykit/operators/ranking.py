@@ -78,3 +78,52 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str |
                           [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group])
     return (joined.withColumn(out, (F.col("_gi") - F.col("_g0")).cast("bigint"))
             .drop("_gi", "_g0", *[f"_k_{g}" for g in group]))
+
+
+_COMBINE = {
+    "min": (F.min, lambda a, b: F.least(a, b)),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+}
+
+
+def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
+                     specs: dict[str, tuple[str, Column]], inclusive: bool = True,
+                     num_partitions: int | None = None) -> DataFrame:
+    """Running min / max / sum per group in ``order`` as a distributed segmented scan.
+
+    ``specs`` maps an output name to (``"min"``|``"max"``|``"sum"``, value column);
+    NULL values are ignored. ``inclusive=False`` excludes the current row.
+
+    A running window per group sends the whole group to one task. Instead the
+    rows are numbered in (group, order) with ``global_index`` and cut into
+    ``num_partitions`` blocks of equal size; each (block, group) piece is
+    scanned locally, and the totals of earlier blocks of the same group (a
+    table with at most blocks + groups rows) are carried in. A group holding a
+    third of the data is therefore scanned by a third of the tasks.
+    """
+    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
+    vals = df
+    for name, (_, col) in specs.items():
+        vals = vals.withColumn(f"_v_{name}", col)
+    idx = global_index(vals, keys, "_gi", n_parts, with_total=True)
+    block_size = F.greatest(F.ceil(F.col("_gi_total") / F.lit(n_parts)), F.lit(1))
+    t = idx.withColumn("_blk", F.floor(F.col("_gi") / block_size)).drop("_gi_total")
+    frame = (Window.partitionBy("_blk", *group).orderBy("_gi")
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    for name, (fn, _) in specs.items():
+        t = t.withColumn(f"_l_{name}", _COMBINE[fn][0](f"_v_{name}").over(frame))
+    totals = t.groupBy("_blk", *group).agg(*[_COMBINE[fn][0](f"_v_{name}").alias(f"_t_{name}")
+                                            for name, (fn, _) in specs.items()])
+    before = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_blk", *[F.col(g).alias(f"_k_{g}") for g in group],
+                          *[_COMBINE[fn][0](f"_t_{name}").over(before).alias(f"_c_{name}")
+                            for name, (fn, _) in specs.items()])
+    joined = t.join(carry, [t["_blk"] == carry["_blk"]] + [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group])
+    out = joined.drop(carry["_blk"])
+    for name, (fn, _) in specs.items():
+        out = out.withColumn(name, _COMBINE[fn][1](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
+    drop = ["_gi", "_blk"] + [f"_k_{g}" for g in group]
+    drop += [f"_{p}_{name}" for name in specs for p in ("v", "l", "c")]
+    return out.drop(*drop)

@@ -6,8 +6,12 @@ regression when loss > best + min_delta (counter += 1), otherwise no change;
 NaN losses change nothing. Training stops after the first epoch whose
 counter reaches ``patience``; that epoch is still logged.
 
-With ``min_delta == 0`` the best-so-far is a running minimum, so the rule is
-a pair of windows per run (sorted and spillable, no arrays). A positive
+With ``min_delta == 0`` the best-so-far is a running minimum and the counter
+is "regressions since the last improvement", so the whole rule is a few
+prefix aggregates. The default runs them as distributed segmented scans
+(``ranking.prefix_aggregate``): a run with an enormous epoch list is spread
+over many tasks, at the price of a few extra passes on small inputs.
+``method="window"`` is the plain per-run window form. A positive
 ``min_delta`` makes it a true recurrence: the epochs of each run are folded
 with ``aggregate`` over the run's sorted epoch array; that array is bounded
 by the number of training epochs, not by the data.
@@ -30,10 +34,19 @@ def _finite(c):
 
 def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch",
                    loss: str = "valid_loss", patience: int = PATIENCE,
-                   min_delta: float = MIN_DELTA) -> DataFrame:
-    """Per-epoch trace up to the stop: best_loss, best_epoch, counter, improved, stop."""
+                   min_delta: float = MIN_DELTA, method: str = "scan") -> DataFrame:
+    """Per-epoch trace up to the stop: best_loss, best_epoch, counter, improved, stop.
+
+    ``min_delta == 0``: ``method="scan"`` (default) runs the running minimum
+    and counters as distributed prefix scans (``ranking.prefix_aggregate``),
+    so a run with a very long epoch list is spread over many tasks;
+    ``method="window"`` uses plain per-run windows. ``min_delta > 0`` folds
+    each run's epoch list.
+    """
     if min_delta != 0:
         return _early_stopping_fold(df, run, epoch, loss, patience, min_delta)
+    if method == "scan":
+        return _early_stopping_scan(df, run, epoch, loss, patience)
     order = Window.partitionBy(run).orderBy(epoch)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -56,6 +69,34 @@ def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch",
             .select(run, epoch, loss, "improved", "best_loss", "best_epoch", "counter", "stop"))
 
 
+def _early_stopping_scan(df, run, epoch, loss, patience):
+    """min_delta = 0 as three prefix scans; counter = regressions since the last improvement."""
+    from assaykit.operators.ranking import prefix_aggregate
+
+    lc = F.col(loss)
+    valid = lc.isNotNull() & ~F.isnan(lc)
+    base = df.select(run, epoch, loss)
+    a = prefix_aggregate(base, [run], [epoch], {"_prev": ("min", _finite(lc))}, inclusive=False)
+    prev = F.coalesce(F.col("_prev"), F.lit(float("inf")))
+    a = (a.withColumn("_prev", prev)
+         .withColumn("improved", valid & (lc < F.col("_prev")))
+         .withColumn("_reg", (valid & (lc > F.col("_prev"))).cast("bigint")))
+    b = prefix_aggregate(a, [run], [epoch], {
+        "_r": ("sum", F.col("_reg")),
+        "best_epoch": ("max", F.when(F.col("improved"), F.col(epoch))),
+    })
+    # regressions counted at the last improvement (R only grows, so a running max finds it)
+    c = prefix_aggregate(b, [run], [epoch], {"_rk": ("max", F.when(F.col("improved"), F.col("_r")))})
+    t = (c.withColumn("counter", (F.col("_r") - F.coalesce(F.col("_rk"), F.lit(0))).cast("int"))
+         .withColumn("best_loss", F.when(F.col("improved"), lc).otherwise(F.col("_prev")))
+         .withColumn("stop", F.col("counter") >= patience))
+    first = t.groupBy(run).agg(F.min(F.when(F.col("stop"), F.col(epoch))).alias("_first_stop"))
+    return (t.join(first, run)
+            .where(F.col("_first_stop").isNull() | (F.col(epoch) <= F.col("_first_stop")))
+            .select(run, epoch, loss, "improved", "best_loss", F.col("best_epoch").cast(
+                dict(df.dtypes)[epoch]).alias("best_epoch"), "counter", "stop"))
+
+
 def _early_stopping_fold(df, run, epoch, loss, patience, min_delta):
     d = F.lit(float(min_delta))
     runs = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(

@@ -80,3 +80,23 @@ def test_group_row_number_matches_window_with_hot_group(spark):
     got = group_row_number(df, ["g"], ["t", "id"], "rn", num_partitions=6)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")) - 1)
     assert sorted(map(tuple, got.select("id", "rn").collect())) == sorted(map(tuple, ref.select("id", "rn").collect()))
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_prefix_aggregate_matches_windows(spark, inclusive):
+    from pyspark.sql import Window
+
+    from assaykit.operators.ranking import prefix_aggregate
+
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40).alias("g"),
+        F.col("id").alias("t"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(((F.col("id") * 7919) % 1009).cast("double")).alias("x"))
+    specs = {"mn": ("min", F.col("x")), "mx": ("max", F.col("x")), "sm": ("sum", F.col("x"))}
+    got = prefix_aggregate(df, ["g"], ["t"], specs, inclusive=inclusive, num_partitions=7)
+    w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    ref = df.select("t", F.min("x").over(w).alias("mn"), F.max("x").over(w).alias("mx"),
+                    F.coalesce(F.sum("x").over(w), F.lit(0.0)).alias("sm"))
+    a = sorted(tuple(r) for r in got.select("t", "mn", "mx", "sm").collect())
+    b = sorted(tuple(r) for r in ref.collect())
+    assert a == b

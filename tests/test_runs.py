@@ -37,9 +37,9 @@ def _frame(spark, cases):
     return spark.createDataFrame(rows, "run_id long, epoch long, valid_loss double")
 
 
-@pytest.mark.parametrize("d", [0.0, 0.75])
-def test_early_stopping_matches_fold(spark, d):
-    out = R.early_stopping(_frame(spark, CASES), patience=2, min_delta=d).collect()
+@pytest.mark.parametrize("d,method", [(0.0, "scan"), (0.0, "window"), (0.75, "scan")])
+def test_early_stopping_matches_fold(spark, d, method):
+    out = R.early_stopping(_frame(spark, CASES), patience=2, min_delta=d, method=method).collect()
     for r, losses in enumerate(CASES):
         got = sorted((x.epoch, x.improved, x.best_loss, x.best_epoch, x.counter, x.stop)
                      for x in out if x.run_id == r)
@@ -52,7 +52,8 @@ def test_window_and_fold_agree_at_zero_delta(spark):
     df = _frame(spark, cases)
     a = sorted(tuple(r) for r in R.early_stopping(df, min_delta=0.0).collect())
     b = sorted(tuple(r) for r in R._early_stopping_fold(df, "run_id", "epoch", "valid_loss", 2, 0.0).collect())
-    assert a == b
+    c = sorted(tuple(r) for r in R.early_stopping(df, min_delta=0.0, method="window").collect())
+    assert a == b == c
 
 
 def test_best_epoch(spark):
