@@ -28,7 +28,8 @@ SCALE_NOTES = {
                               "by (group, bin); group ranges are a small table joined back.",
     "to_nanomolar": "Narrow projection, no shuffle.",
     "regression_metrics": "One rollup with partial aggregation; output size is epochs x batches.",
-    "early_stopping": "Windows partitioned by run; the data per run is its epoch list.",
+    "early_stopping": "Three distributed prefix scans (numbered, blocked, carried across blocks) and a "
+                      "per-run min; a run with a third of all epochs is spread over many tasks.",
     "assign_batches": "Range partition + per-partition offsets; no single-partition window over rows.",
     "assemble_graphs": "Shuffles by graph id; each output row is one graph by definition.",
     "propagate": "One join + one aggregate per round over a materialized link table; hub nodes are "
