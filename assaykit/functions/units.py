@@ -40,7 +40,7 @@ MOLAR_MULTIPLIER = {
 }
 # Power-of-ten prefix forms: 10^-9M, x10^-10M, 10'-9M.
 EXPONENT_PATTERN = r"(?:x?10\^|10')([+-]?\d+)"
-MICRO_SIGNS = "[µμ]"
+MICRO_SIGNS = "µμ"
 
 
 def _col(c: str | Column) -> Column:
@@ -51,12 +51,19 @@ def _literal_map(table: dict[str, float]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in table.items()))
 
 
+# Whitespace removed from units: the characters of the regex class \s (space, tab, LF, VT, FF, CR).
+UNIT_WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def normalize_unit(unit: str | Column) -> Column:
-    """trim, lower-case, both micro signs and the word 'micro' to 'u', drop all whitespace."""
+    """trim, lower-case, both micro signs and the word 'micro' to 'u', drop all whitespace.
+
+    Literal character work uses ``translate``/``replace`` rather than regexes.
+    """
     u = F.lower(F.trim(_col(unit)))
-    u = F.regexp_replace(u, MICRO_SIGNS, "u")
-    u = F.regexp_replace(u, "micro", "u")
-    return F.regexp_replace(u, r"\s+", "")
+    u = F.translate(u, MICRO_SIGNS, "u" * len(MICRO_SIGNS))
+    u = F.replace(u, F.lit("micro"), F.lit("u"))
+    return F.translate(u, UNIT_WHITESPACE, "")
 
 
 def unit_exponent(norm_unit: str | Column) -> Column:
