@@ -26,17 +26,20 @@ def aggregate_labels(df: DataFrame, key: str = "molregno", label: str = "pIC",
                      id_col: str = "activity_id", keep: Sequence[str] = ("assay_organism",),
                      features: DataFrame | None = None,
                      feature_cols: Sequence[str] = (),
-                     accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+                     accuracy: int = MEDIAN_ACCURACY, count_col: str | None = None) -> DataFrame:
     """One row per ``key``: min id, approximate median label, first-by-id ``keep`` columns.
 
     ``feature_cols`` already in ``df`` are carried as first-by-id values; when
     ``features`` is given they are joined back from it after the aggregate.
+    ``count_col`` adds the number of measurements per key in the same aggregate.
     """
     carried = [c for c in feature_cols if features is None]
     aggs = [F.min(id_col).alias(id_col)]
     aggs += [first_by_id(c, id_col).alias(c) for c in carried]
     aggs.append(F.percentile_approx(label, 0.5, accuracy).alias(label))
     aggs += [first_by_id(c, id_col).alias(c) for c in keep]
+    if count_col:
+        aggs.append(F.count(F.lit(1)).alias(count_col))
     out = df.groupBy(key).agg(*aggs)
     if features is not None and feature_cols:
         out = out.join(features.select(key, *feature_cols), key, "inner")

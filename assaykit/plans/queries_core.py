@@ -410,11 +410,8 @@ WITH {_PIC_BASE_SQL.strip()}
 SELECT molregno, min(activity_id) AS activity_id, round(quantile_disc(pIC, 0.5), 6) AS pIC,
        count(*) AS n_measurements FROM act GROUP BY molregno""")
 def q_aggregate_labels(spark, base):
-    act = _pic_base(spark, base)
-    agg = L.aggregate_labels(act, keep=())
-    n = act.groupBy("molregno").count().withColumnRenamed("count", "n_measurements")
-    return agg.join(n, "molregno").select("molregno", "activity_id", F.round("pIC", 6).alias("pIC"),
-                                          "n_measurements")
+    agg = L.aggregate_labels(_pic_base(spark, base), keep=(), count_col="n_measurements")
+    return agg.select("molregno", "activity_id", F.round("pIC", 6).alias("pIC"), "n_measurements")
 
 
 @register("hash_sample", f"""
