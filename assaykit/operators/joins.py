@@ -34,8 +34,13 @@ def join_features(df: DataFrame, features: DataFrame, cols: Sequence[str] | None
 
 
 def semi_join_keys(df: DataFrame, keys_from: DataFrame, key: str = "molregno") -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``keys_from`` (J3 form; prefilter before costly maps)."""
-    return df.join(keys_from.select(key), key, "left_semi")
+    """Rows of ``df`` whose key occurs in ``keys_from`` (J3 form; prefilter before costly maps).
+
+    The keys are de-duplicated first; ``distinct`` aggregates map-side, so the
+    shuffle carries each key about once per partition instead of once per
+    measurement.
+    """
+    return df.join(keys_from.select(key).distinct(), key, "left_semi")
 
 
 def measurement_join(activity: DataFrame, assay: DataFrame, standard_type: str | Sequence[str],
