@@ -34,3 +34,11 @@ def test_weighted_histogram_equals_fanout_histogram(spark):
     w = D.activity_distributions(J.annotate_target_types(m, td, tc, cs).withColumn("t", F.lit("IC50")),
                                  "log_value", ["component_type"], within="t", bins=4, weight="n_components")
     assert sorted(map(tuple, fan.collect()), key=str) == sorted(map(tuple, w.collect()), key=str)
+
+
+def test_semi_join_keys_dedupes(spark):
+    structs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "molregno long, canonical_smiles string")
+    acts = spark.createDataFrame([(1,), (1,), (1,), (3,)], "molregno long")
+    out = J.semi_join_keys(structs, acts)
+    assert sorted(r.molregno for r in out.collect()) == [1, 3]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()

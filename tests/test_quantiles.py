@@ -100,3 +100,15 @@ def test_prefix_aggregate_matches_windows(spark, inclusive):
     a = sorted(tuple(r) for r in got.select("t", "mn", "mx", "sm").collect())
     b = sorted(tuple(r) for r in ref.collect())
     assert a == b
+
+
+def test_prefix_aggregate_null_groups_single_block(spark):
+    from assaykit.operators.ranking import prefix_aggregate
+
+    df = spark.createDataFrame([(None, 1, 5.0), (None, 2, 3.0), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 1.0)],
+                               "g string, t long, x double")
+    for parts in (1, 4):
+        got = {(r.g, r.t): (r.mn, r.sm) for r in prefix_aggregate(
+            df, ["g"], ["t"], {"mn": ("min", F.col("x")), "sm": ("sum", F.col("x"))}, num_partitions=parts).collect()}
+        assert got == {(None, 1): (5.0, 5.0), (None, 2): (3.0, 8.0),
+                       ("a", 1): (2.0, 2.0), ("a", 2): (2.0, 2.0), ("a", 3): (1.0, 3.0)}
