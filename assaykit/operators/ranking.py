@@ -89,7 +89,7 @@ _COMBINE = {
 
 def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
                      specs: dict[str, tuple[str, Column]], inclusive: bool = True,
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None, keep_index: bool = False) -> DataFrame:
     """Running min / max / sum per group in ``order`` as a distributed segmented scan.
 
     ``specs`` maps an output name to (``"min"``|``"max"``|``"sum"``, value column);
@@ -101,15 +101,24 @@ def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str |
     scanned locally, and the totals of earlier blocks of the same group (a
     table with at most blocks + groups rows) are carried in. A group holding a
     third of the data is therefore scanned by a third of the tasks.
+
+    ``keep_index=True`` leaves the numbering columns (``_gi``, ``_blk``) on the
+    result; a later call on a frame that still has them, for the same group
+    and order, reuses them instead of sorting again. Each scan reads its input
+    twice (rows and block totals), so checkpoint the intermediate frame when
+    chaining scans this way, or the plan re-runs earlier scans.
     """
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
     vals = df
     for name, (_, col) in specs.items():
         vals = vals.withColumn(f"_v_{name}", col)
-    idx = global_index(vals, keys, "_gi", n_parts, with_total=True)
-    block_size = F.greatest(F.ceil(F.col("_gi_total") / F.lit(n_parts)), F.lit(1))
-    t = idx.withColumn("_blk", F.floor(F.col("_gi") / block_size)).drop("_gi_total")
+    if "_gi" in df.columns and "_blk" in df.columns:
+        t = vals
+    else:
+        idx = global_index(vals, keys, "_gi", n_parts, with_total=True)
+        block_size = F.greatest(F.ceil(F.col("_gi_total") / F.lit(n_parts)), F.lit(1))
+        t = idx.withColumn("_blk", F.floor(F.col("_gi") / block_size)).drop("_gi_total")
     frame = (Window.partitionBy("_blk", *group).orderBy("_gi")
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for name, (fn, _) in specs.items():
@@ -124,6 +133,6 @@ def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str |
     out = joined.drop(carry["_blk"])
     for name, (fn, _) in specs.items():
         out = out.withColumn(name, _COMBINE[fn][1](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    drop = ["_gi", "_blk"] + [f"_k_{g}" for g in group]
+    drop = ([] if keep_index else ["_gi", "_blk"]) + [f"_k_{g}" for g in group]
     drop += [f"_{p}_{name}" for name in specs for p in ("v", "l", "c")]
     return out.drop(*drop)

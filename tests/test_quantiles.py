@@ -112,3 +112,18 @@ def test_prefix_aggregate_null_groups_single_block(spark):
             df, ["g"], ["t"], {"mn": ("min", F.col("x")), "sm": ("sum", F.col("x"))}, num_partitions=parts).collect()}
         assert got == {(None, 1): (5.0, 5.0), (None, 2): (3.0, 8.0),
                        ("a", 1): (2.0, 2.0), ("a", 2): (2.0, 2.0), ("a", 3): (1.0, 3.0)}
+
+
+def test_prefix_aggregate_reuses_index(spark):
+    from assaykit.operators.ranking import prefix_aggregate
+    from assaykit.session import checkpointed
+
+    df = spark.range(0, 500).select((F.col("id") % 4).alias("g"), F.col("id").alias("t"),
+                                    (F.col("id") % 9).cast("double").alias("x"))
+    a = checkpointed(prefix_aggregate(df, ["g"], ["t"], {"s1": ("sum", F.col("x"))}, keep_index=True))
+    assert "_gi" in a.columns and "_blk" in a.columns
+    b = prefix_aggregate(a, ["g"], ["t"], {"s2": ("sum", F.col("s1"))})
+    direct = prefix_aggregate(prefix_aggregate(df, ["g"], ["t"], {"s1": ("sum", F.col("x"))}),
+                              ["g"], ["t"], {"s2": ("sum", F.col("s1"))})
+    assert sorted(tuple(r) for r in b.select("t", "s2").collect()) == \
+        sorted(tuple(r) for r in direct.select("t", "s2").collect())
