@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, lang_id, token_counts, token_file
+from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, token_counts, token_file
 from assaykit.llm.common import table
 from assaykit.session import shared_path
 
@@ -69,6 +69,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@register
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "class_id", "n_links")
+
+
 @register
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-file")
