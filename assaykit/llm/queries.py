@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, token_counts, token_file
+from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, pieces, token_counts, token_file, topk
 from assaykit.llm.common import table
 from assaykit.session import shared_path
 
@@ -16,6 +16,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: Longest context, in tokens, of the models the counts are for.
 CONTEXT = 512
 
@@ -25,6 +26,13 @@ def register(fn: QueryFn) -> QueryFn:
     return fn
 
 
+@register
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
+        "vec_id", topk.to_integers(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, 5)
+
+
 @register
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,6 +40,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
 
 
+@register
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, PIECE_BPE, key=["doc_id"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
+
+
 @register
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
