@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, pieces, token_counts, token_file, topk
+from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, pieces, token_counts, token_file, topk, toxicity
 from assaykit.llm.common import table
 from assaykit.session import shared_path
 
@@ -47,6 +47,15 @@ def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
+@register
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit_chain(docs, labels, ["low_quality", "toxic"])
+    return toxicity.predict(docs, chain).select(
+        "doc_id", "p_low_quality", "p_toxic", F.col("is_low_quality").alias("low_quality"), F.col("is_toxic").alias("toxic"))
+
+
 @register
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
