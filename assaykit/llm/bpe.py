@@ -15,6 +15,7 @@ import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
+import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: White space here is more than what the library takes for it (U+001C to U+001F too), never less.
@@ -65,6 +66,65 @@ class Pieces(dict):
             return self.one(" " + piece)
 
 
+class Ids(dict):
+    """Ids (little-endian, 4 bytes each) by piece without its leading blank; None for an odd one.
+
+    Pieces that aren't in the table are encoded together, as one text of all of
+    them: by the rule above its ids are theirs, and the bytes that each id
+    stands for show where a piece ends.
+    """
+
+    def __init__(self, tok: Tokenizer):
+        super().__init__()
+        self.tok = tok
+        added = {i: len(t.content.encode()) for i, t in tok.get_added_tokens_decoder().items()}
+        self.n_bytes = np.zeros(tok.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in tok.get_vocab(with_added_tokens=True).items():
+            self.n_bytes[i] = added.get(i, len(token))  # the byte alphabet has one character a byte
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 50_000):
+            some = pieces[at:at + 50_000]
+            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum(self.n_bytes[ids])
+            wanted = np.cumsum([1 + len(p.encode()) for p in some])
+            cuts = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[cuts], wanted):
+                raise ValueError("an id reaches across two pieces")
+            data, cuts = ids.tobytes(), (4 * (cuts + 1)).tolist()
+            self.update(zip(some, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self) > KEPT_PIECES:
+            self.clear()
+        rows = [t.split(" ") for t in texts]
+        new = set().union(*rows).difference(self)
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        new.difference_update(odd)
+        self.update(dict.fromkeys(odd))
+        self._learn(list(new))
+        out = []
+        for text, (first, *rest) in zip(texts, rows):
+            if not text:
+                out.append(b"")
+                continue
+            try:
+                if first[-1:].isspace():
+                    raise TypeError
+                out.append((self._one(first) if first else b"") + b"".join(map(self.__getitem__, rest)))
+            except TypeError:  # None for an odd piece
+                first, *rest = _SAFE.split(text)
+                out.append(b"".join([self._one(first), *(self.get(p) or self._one(" " + p) for p in rest)]))
+        for p in new:  # long pieces seldom come again
+            if len(p) > KEPT_CHARS // 4:
+                del self[p]
+        return out
+
+
 _loaded: dict[str, Tokenizer] = {}
 
 

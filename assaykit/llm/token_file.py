@@ -123,15 +123,13 @@ class Codes:
         return out
 
 
-_tables: dict[str, bpe.Pieces] = {}
+_tables: dict[str, bpe.Ids] = {}
 
 
-def _encoder(path: str) -> bpe.Pieces:
-    """Ids (as little-endian bytes) by piece, kept between the tasks of a worker."""
+def _encoder(path: str) -> bpe.Ids:
+    """Ids by piece, kept between the tasks of a worker."""
     if path not in _tables:
-        tok = bpe.load(path)
-        _tables[path] = bpe.Pieces(
-            lambda piece: np.array(tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        _tables[path] = bpe.Ids(bpe.load(path))
     return _tables[path]
 
 
@@ -150,8 +148,8 @@ def _segments(path: str, end_id: int | None, segment_ids: int):
                  "doc_starts": pa.array([starts], pa.list_(pa.int64())), "codes": pa.array([codes], pa.binary())})
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = b"".join(table.of(text or "")) + end
+            for doc, data in zip(batch.column(0).to_pylist(), table.of([t or "" for t in batch.column(1).to_pylist()])):
+                data += end
                 docs.append(doc)
                 starts.append(n)
                 parts.append(data)
