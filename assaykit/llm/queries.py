@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, pieces, token_counts, token_file, topk, toxicity
+from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, pieces, secret_scan, token_counts, token_file, topk, toxicity
 from assaykit.llm.common import table
 from assaykit.session import shared_path
 
@@ -26,6 +26,16 @@ def register(fn: QueryFn) -> QueryFn:
     return fn
 
 
+@register
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_candidates"),
+        F.filter("findings", lambda f: f["score"] >= secret_scan.LEAST_SCORE).alias("secrets")).withColumn(
+        "n_secrets", F.size("secrets").cast("long"))
+
+
 @register
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
