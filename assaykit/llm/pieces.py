@@ -8,7 +8,7 @@ and takes an edge with its share of that sum. Since every path passes the cuts,
 sampling chunks one by one samples the whole text.
 
 A path's weight is the product of its pieces' weights, (1 + rank) ** -alpha by
-the model's own order of pieces; a byte piece has the weight of the last rank.
+the model's own order of pieces.
 Each draw is a hash of the row's seed, the chunk's number in the text and the
 step, so a row gets the same segmentation in any run, batch or partition.
 
@@ -36,8 +36,11 @@ from pyspark.sql import types as T
 from assaykit.llm.common import append_columns, col, free_prefix, prefixed, texts
 
 ALPHA = 1.0
-#: Nodes of lattices kept in a worker at most (each holds its edges: about 250 bytes).
-KEPT_NODES = 400_000
+#: Nodes of lattices kept in a worker at most (each holds its edges: about 100 bytes).
+KEPT_NODES = 1_200_000
+#: Ids from here on stand for a character that is written as its bytes.
+BYTES = 1 << 24
+_CELLS = 1 << 13  # characters filtered together
 _BATCH_CHARS = 1 << 20  # sampled together
 
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -56,7 +59,9 @@ class Vocabulary:
         self.bytes: list[bytes] = [b""] * n
         ranked = sorted((i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))),
                         key=lambda i: -sp.get_score(i))
-        self.weight = np.full(n, -alpha * math.log(1 + len(ranked)))
+        # Behind the pieces: a character as bytes (every path has it, so the number of bytes doesn't matter), no piece.
+        self.weight = np.full(n + 2, -alpha * math.log(1 + len(ranked)))
+        self.weight[-1] = -np.inf
         for rank, i in enumerate(ranked):
             piece = sp.id_to_piece(i).replace("▁", " ")
             self.ids[piece] = i
@@ -68,54 +73,76 @@ class Vocabulary:
                 self.byte_ids[value] = i
                 self.bytes[i] = bytes([value])
         self.longest = max(map(len, self.ids))
+        self._tree()
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece goes on behind a blank: texts can't be cut there")
 
+    def _tree(self) -> None:
+        """Prefixes of the pieces as sorted keys (prefix, next character), and the piece at each prefix."""
+        nodes, piece_at = {"": 0}, [-1]
+        for piece in self.ids:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(piece_at)
+                    piece_at.append(-1)
+            piece_at[nodes[piece]] = self.ids[piece]
+        keys = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), k) for p, k in nodes.items() if p)
+        self.keys = np.array([k for k, _ in keys], np.int64)
+        self.child = np.array([c for _, c in keys], np.int64)
+        self.piece_at = np.array(piece_at, np.int64)
+
+    def match(self, codes: np.ndarray) -> np.ndarray:
+        """Ids by [text, end - 1, length - 1] of all pieces in rows of characters (-1 behind their ends); -1: none.
+
+        A character that no piece stands for has BYTES plus its code at length 1.
+        """
+        n, most = codes.shape
+        out = np.full((n, most, min(self.longest, most)), -1, np.int32)
+        found = 1
+        row, start = np.nonzero(codes >= 0)
+        node = np.zeros(len(row), np.int64)
+        for size in range(1, out.shape[2] + 1):
+            key = node << 21 | codes[row, start + size - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            live = self.keys[at] == key
+            if size == 1:
+                out[row, start, 0] = np.where(live & (self.piece_at[self.child[at]] >= 0), -1, BYTES + codes[row, start])
+            row, start, node = row[live], start[live], self.child[at[live]]
+            piece = self.piece_at[node]
+            hit = piece >= 0
+            if hit.any():
+                out[row[hit], start[hit] + size - 1, size - 1] = piece[hit]
+                found = size
+            inside = start + size < most
+            row, start, node = row[inside], start[inside], node[inside]
+            if not len(row):
+                break
+        return out[:, :, :found]
+
     def decode(self, ids: list[int]) -> bytes:
         """The text (UTF-8) of any segmentation, without the blank that encoding puts first."""
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
-def edges_of(vocab: Vocabulary, chunk: str) -> list[list[tuple[int, int, float]]]:
-    """Edges into each node of the chunk's lattice, as (from node, id, log weight). Node 0 is the start."""
-    places = [0]  # node before each character
-    into: list[list[tuple[int, int, float]]] = [[]]
-    get, weight = vocab.ids.get, vocab.weight
-    reach: list[list[tuple[int, int]]] = [[] for _ in range(len(chunk) + 1)]  # (start, id) of the pieces that end here
-    for s in range(len(chunk)):
-        for e in range(s + 1, min(len(chunk), s + vocab.longest) + 1):
-            if (i := get(chunk[s:e])) is not None:
-                reach[e].append((s, i))
-    for e in range(1, len(chunk) + 1):
-        last: list[tuple[int, int, float]] = []
-        c = chunk[e - 1]
-        if c not in vocab.ids:
-            at = places[e - 1]
-            data = c.encode()
-            for b in data[:-1]:
-                into.append([(at, vocab.byte_ids[b], weight[vocab.byte_ids[b]])])
-                at = len(into) - 1
-            last.append((at, vocab.byte_ids[data[-1]], weight[vocab.byte_ids[data[-1]]]))
-        last += [(places[s], i, weight[i]) for s, i in reach[e]]
-        into.append(last)
-        places.append(len(into) - 1)
-    return into
-
-
 class Lattices:
-    """Filtered lattices of chunks: for each node the edges into it with their cumulative shares."""
+    """Filtered lattices of chunks: for each node the edges into it with their cumulative shares.
+
+    A node stands behind each character of a chunk. All new chunks of a batch
+    are matched and filtered together, place by place.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.clear()
+        self.width = 4
+        self.shares = np.ones((4096, self.width), np.float32)
+        self.froms = np.zeros((4096, self.width), np.int32)  # -1: the start
+        self.ids = np.zeros((4096, self.width), np.int32)    # from BYTES on: a character as bytes
 
     def clear(self) -> None:
+        """Forget all chunks; the arrays are filled anew."""
         self.ends: dict[str, int] = {}
         self.n = 0
-        self.width = 4
-        self.shares = np.ones((4096, self.width), np.float32)
-        self.froms = np.zeros((4096, self.width), np.int32)  # -1: the start
-        self.ids = np.zeros((4096, self.width), np.int32)
 
     def _grow(self, nodes: int, width: int) -> None:
         rows = max(len(self.shares), 2 * nodes) if nodes > len(self.shares) else len(self.shares)
@@ -129,33 +156,55 @@ class Lattices:
             setattr(self, name, new)
         self.width = width
 
-    def add(self, chunk: str) -> int:
-        """Forward filtering; returns the end node's row."""
-        into = edges_of(self.vocab, chunk)
-        self._grow(self.n + len(into), max(map(len, into)))
-        total = [0.0] * len(into)
-        for node in range(1, len(into)):
-            edges = into[node]
-            row = self.n + node - 1
-            if len(edges) == 1:
-                f, i, w = edges[0]
-                total[node] = total[f] + w
-                self.froms[row, 0], self.ids[row, 0] = (self.n + f - 1 if f else -1), i
-                continue
-            logs = [total[f] + w for f, _, w in edges]
-            top = max(logs)
-            parts = [math.exp(x - top) for x in logs]
-            all_ = sum(parts)
-            total[node] = top + math.log(all_)
-            run = 0.0
-            for k, ((f, i, _), p) in enumerate(zip(edges, parts)):
-                run += p / all_
-                self.shares[row, k] = run
-                self.froms[row, k], self.ids[row, k] = (self.n + f - 1 if f else -1), i
-            self.shares[row, len(edges) - 1:] = 1
-        self.n += len(into) - 1
-        self.ends[chunk] = self.n - 1
-        return self.n - 1
+    def add(self, chunks: list[str]) -> None:
+        """Forward filtering of new chunks."""
+        chunks = sorted(chunks, key=len)
+        at = 0
+        while at < len(chunks):
+            end = at + 1
+            while end < len(chunks) and (end - at + 1) * len(chunks[end]) <= _CELLS:
+                end += 1
+            self._add(chunks[at:end])
+            at = end
+
+    def _add(self, chunks: list[str]) -> None:
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        n, most = len(chunks), int(sizes.max())
+        codes = np.full((n, most), -1, np.int64)
+        codes[np.arange(most) < sizes[:, None]] = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        found = self.vocab.match(codes)  # [chunk, end - 1, length - 1]
+        weight, as_bytes = self.vocab.weight, len(self.vocab.weight) - 2
+        shares = np.ones(found.shape, np.float32)
+        total = np.full((n, most + 1), -np.inf)
+        total[:, 0] = 0
+        for e in range(1, most + 1):
+            reach = min(e, found.shape[2])
+            logs = total[:, e - reach:e][:, ::-1] + weight[np.minimum(found[:, e - 1, :reach], as_bytes)]
+            top = logs.max(axis=1)
+            top[np.isinf(top)] = 0  # behind the chunk's end
+            parts = np.exp(logs - top[:, None])
+            run = parts.cumsum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total[:, e] = top + np.log(run[:, -1])
+                shares[:, e - 1, :reach] = run / run[:, -1:]
+        cells = np.arange(most) < sizes[:, None]
+        found, shares = found[cells], shares[cells]  # one row a node, chunk after chunk
+        valid = found >= 0
+        width = int(valid.sum(axis=1).max())
+        order = np.argsort(~valid, axis=1, kind="stable")[:, :width]
+        valid = np.take_along_axis(valid, order, 1)
+        place = np.broadcast_to(np.arange(most), (n, most))[cells]
+        rows = self.n + np.arange(len(found))
+        self._grow(self.n + len(found), width)
+        mine = slice(self.n, self.n + len(found))
+        self.ids[mine, :width] = np.where(valid, np.take_along_axis(found, order, 1), 0)
+        self.froms[mine, :width] = np.where(order == place[:, None], -1, rows[:, None] - order - 1)
+        own = np.where(valid, np.take_along_axis(shares, order, 1), 1)
+        own[np.arange(len(own)), valid.sum(axis=1) - 1] = 1
+        self.shares[mine, :width] = own
+        self.shares[mine, width:] = 1
+        self.n += len(found)
+        self.ends.update(zip(chunks, (rows[0] + np.cumsum(sizes) - 1).tolist()))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -175,35 +224,39 @@ def sample(lattices: Lattices, rows: list[str], seeds: np.ndarray) -> tuple[np.n
             own = _CHUNK.findall(" " + text)
             chunks += own
             counts[k] = len(own)
-    get = lattices.ends.get
-    node = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-    for at in np.flatnonzero(node < 0).tolist():
-        c = chunks[at]
-        end = get(c)
-        node[at] = lattices.add(c) if end is None else end
+    new = set(chunks).difference(lattices.ends)
+    if new:
+        lattices.add(list(new))
+    node = np.fromiter(map(lattices.ends.__getitem__, chunks), np.int64, len(chunks))
     first = np.cumsum(counts) - counts
     number = np.arange(len(chunks)) - np.repeat(first, counts)
     draw = np.repeat(_mix(seeds.astype(np.int64).view(np.uint64)), counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     draw = _mix(draw)
     length = np.zeros(len(chunks), np.int64)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     live = np.arange(len(chunks))
     step = 0
     while len(live):
         u = (_mix(draw[live] + np.uint64(step)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
         at = node[live]
         edge = (lattices.shares[at] <= u[:, None]).sum(axis=1)
-        edge = np.minimum(edge, lattices.width - 1)
-        steps.append((live, lattices.ids[at, edge]))
-        length[live] += 1
+        got = lattices.ids[at, edge]
+        steps.append((live, got, length[live]))
+        code = got - BYTES
+        length[live] += np.where(code < 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
         came = lattices.froms[at, edge]
         node[live] = came
         live = live[came >= 0]
         step += 1
     ends = np.cumsum(length)
     ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-    for k, (who, what) in enumerate(steps):
-        ids[ends[who] - 1 - k] = what
+    for who, what, behind in steps:
+        whole = what < BYTES
+        ids[(ends[who] - 1 - behind)[whole]] = what[whole]
+        for k in np.flatnonzero(~whole).tolist():
+            data = chr(what[k] - BYTES).encode()
+            end = ends[who[k]] - behind[k]
+            ids[end - len(data):end] = [lattices.vocab.byte_ids[b] for b in data]
     per_row = np.zeros(len(rows) + 1, np.int64)
     if len(chunks):
         upto = np.concatenate(([0], ends))
