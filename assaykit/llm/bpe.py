@@ -21,6 +21,9 @@ from tokenizers import Tokenizer  # noqa: E402
 #: White space here is more than what the library takes for it (U+001C to U+001F too), never less.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+#: A word of letters that are surely letters to the library, and a short run of common signs.
+_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{1,3})")
+
 #: Pieces kept in a worker at most, and the longest kept one in characters.
 KEPT_PIECES, KEPT_CHARS = 600_000, 64
 
@@ -77,6 +80,7 @@ class Ids(dict):
     def __init__(self, tok: Tokenizer):
         super().__init__()
         self.tok = tok
+        self.signs: dict[str, bytes] = {}
         added = {i: len(t.content.encode()) for i, t in tok.get_added_tokens_decoder().items()}
         self.n_bytes = np.zeros(tok.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in tok.get_vocab(with_added_tokens=True).items():
@@ -88,7 +92,7 @@ class Ids(dict):
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 50_000):
             some = pieces[at:at + 50_000]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(self.n_bytes[ids])
             wanted = np.cumsum([1 + len(p.encode()) for p in some])
             cuts = np.searchsorted(ends, wanted)
@@ -106,7 +110,16 @@ class Ids(dict):
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         new.difference_update(odd)
         self.update(dict.fromkeys(odd))
+        # A word and the signs behind it are two pre-tokens: words that come with different signs are encoded once.
+        signed = [m for m in map(_SIGNED.fullmatch, new) if m]
+        new.update(m[1] for m in signed if m[1] not in self)
+        new.difference_update(m[0] for m in signed)
         self._learn(list(new))
+        for m in signed:
+            if m[2] not in self.signs:
+                self.signs[m[2]] = self._one(m[2])
+            self[m[0]] = self[m[1]] + self.signs[m[2]]
+        new.update(m[0] for m in signed)
         out = []
         for text, (first, *rest) in zip(texts, rows):
             if not text:
