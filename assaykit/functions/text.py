@@ -30,10 +30,16 @@ def clean_text_key(x: str | Column) -> Column:
 
 
 def fixed(x: str | Column, places: int, default: str = "None") -> Column:
-    """Number with a fixed count of decimals, ``default`` for NULL."""
+    """Number with a fixed count of decimals, ``default`` for NULL.
+
+    The binary value is rounded, half to even, as Python's ``:.2f`` does: 0.125
+    is 0.12 and 1.005 (a little less than that in binary) is 1.00.
+    ``format_string`` would round the printed decimal half up instead.
+    """
     c = _col(x).cast("double")
-    # format_string renders NULL as "null" cut to the precision, so NULL is handled first.
-    return F.when(c.isNull(), F.lit(default)).otherwise(F.format_string(f"%.{places}f", c))
+    plain = F.replace(F.format_number(c, places), F.lit(","), F.lit(""))
+    return (F.when(c.isNull(), F.lit(default)).when(F.isnan(c), F.lit("nan"))
+            .when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf")).otherwise(plain))
 
 
 def yes_no(flag: str | Column) -> Column:

@@ -38,7 +38,7 @@ MOLAR_MULTIPLIER = {
     "nm": 1e-9,
     "pm": 1e-12,
 }
-# Power-of-ten prefix forms: 10^-9M, x10^-10M, 10'-9M.
+# Fixed value: power-of-ten prefix forms 10^-9M, x10^-10M, 10'-9M.
 EXPONENT_PATTERN = r"(?:x?10\^|10')([+-]?\d+)"
 MICRO_SIGNS = "µμ"
 
@@ -67,9 +67,9 @@ def normalize_unit(unit: str | Column) -> Column:
 
 
 def unit_exponent(norm_unit: str | Column) -> Column:
-    """Integer power of ten written in the unit, 0 when there is none."""
+    """Integer power of ten written in the unit, 0 when there is none, NULL when it is beyond any int."""
     e = F.regexp_extract(_col(norm_unit), EXPONENT_PATTERN, 1)
-    return F.when(e != "", e.cast("int")).otherwise(F.lit(0))
+    return F.when(e != "", e.try_cast("int")).otherwise(F.lit(0))
 
 
 def unit_base(norm_unit: str | Column) -> Column:

@@ -24,13 +24,11 @@ def assign_batches(df: DataFrame, order: Sequence[str], batch_size: int = LOADER
     Adds ``row_index`` (0-based) and ``batch_id`` = row_index // batch_size,
     the same as streaming rows with the remainder carried across files.
     """
-    idx = global_index(df, order, "row_index")
+    idx = global_index(df, order, "row_index", with_total=True)
     out_df = idx.withColumn(out, F.floor(F.col("row_index") / F.lit(batch_size)).cast("bigint"))
     if drop_last:
-        n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-        full = F.floor(n / F.lit(batch_size)) * F.lit(batch_size)
-        out_df = out_df.where(F.col("row_index") < full)
-    return out_df
+        out_df = out_df.where(F.col("row_index") < F.floor(F.col("row_index_total") / batch_size) * batch_size)
+    return out_df.drop("row_index_total")
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "position") -> DataFrame:

@@ -35,11 +35,11 @@ ASSAY_COLUMNS = ("assay_id", "assay_type", "assay_organism", "assay_tax_id", "ti
 
 # --- schema and projections ---------------------------------------------------------
 
-def enforce_schema(df: DataFrame, schema: StructType, safe: bool = True) -> DataFrame:
+def enforce_schema(df: DataFrame, schema: StructType, safe: bool = False) -> DataFrame:
     """Project ``df`` onto ``schema``: column order, names and types (S3).
 
-    ``safe`` uses ``try_cast`` so malformed values become NULL instead of
-    failing the job under ANSI mode.
+    A value that doesn't fit its type fails the job, as an enforced schema
+    should; ``safe=True`` turns it into NULL instead.
     """
     cols = []
     for field in schema.fields:

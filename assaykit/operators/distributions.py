@@ -27,6 +27,17 @@ def row_count(df: DataFrame, out: str = "n_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(out))
 
 
+def filter_report(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """Row counts after each of several filters, applied one after the other, in one scan (A5)."""
+    kept, aggs = F.lit(True), []
+    for i, test in enumerate(stages.values()):
+        kept = kept & F.coalesce(test, F.lit(False))
+        aggs.append(F.count_if(kept).alias(f"_s{i}"))
+    rows = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), F.col(f"_s{i}").alias("n_rows"))
+                     for i, name in enumerate(stages)])
+    return df.agg(*aggs).select(F.inline(rows))
+
+
 def cleaning_report(stages: Mapping[str, DataFrame]) -> DataFrame:
     """One row per named stage with its row count (A5); counts should shrink."""
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(i).alias("stage_no"),
@@ -98,12 +109,12 @@ def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HI
     passes do not both recompute an expensive upstream plan (joins, fan-out).
     ``weight`` names a row multiplicity column; counts are then its sum.
     """
-    from assaykit.session import checkpointed
+    from assaykit.session import stored
 
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     vals = df.select(*by, F.col(col).cast("double").alias("x"), w.alias("_w")).where(_finite(F.col("x")))
     if materialize:
-        vals = checkpointed(vals)
+        vals = stored(vals, "values")
     rk = [f"_rk{i}" for i in range(len(by))]
     ranges = vals.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
         *[F.col(k).alias(r) for k, r in zip(by, rk)], "lo", "hi")

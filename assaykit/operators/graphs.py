@@ -19,7 +19,7 @@ from assaykit.functions import numeric
 
 FINGERPRINT_BITS = 2048
 FINGERPRINT_RADIUS = 2
-INVARIANT_SCALE = 1000
+NULL_INVARIANT = "-"
 
 
 def directed_edges(edges: DataFrame, gid: str = "gid") -> DataFrame:
@@ -37,11 +37,11 @@ def _link_table(nodes: DataFrame, edges: DataFrame, gid: str, nid: str, material
     so the rounds read it instead of re-deriving it from its sources each time
     (and a lost executor never forces that derivation again).
     """
-    from assaykit.session import checkpointed
+    from assaykit.session import stored
 
     links = directed_edges(edges, gid).select(gid, "src", "dst").unionByName(
         nodes.select(gid, F.col(nid).alias("src"), F.col(nid).alias("dst")))
-    return checkpointed(links) if materialize else links
+    return stored(links, "graph") if materialize else links
 
 
 def node_degree(nodes: DataFrame, edges: DataFrame, gid: str = "gid", nid: str = "nid") -> DataFrame:
@@ -104,10 +104,16 @@ def mean_pool(nodes: DataFrame, vec: str = "x", gid: str = "gid") -> DataFrame:
         gid, F.transform("_s", lambda s: s["_m"]).alias("pooled"))
 
 
+def mean_pool_columns(nodes: DataFrame, feature_cols: Sequence[str], gid: str = "gid",
+                      out: str = "pooled") -> DataFrame:
+    """Mean of each feature column per graph as one vector (A17): one partial aggregate, one shuffle."""
+    return nodes.groupBy(gid).agg(F.array(*[F.avg(F.col(c).cast("double")) for c in feature_cols]).alias(out))
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k: int = 1,
               activation: str | None = None, residual: bool = False,
               gid: str = "gid", nid: str = "nid", checkpoint_every: int = 0,
-              materialize_links: bool = True) -> DataFrame:
+              materialize_links: bool = True, weights: Sequence[tuple] | None = None) -> DataFrame:
     """k rounds of symmetric-normalised neighbour averaging with self-loops.
 
     h'_i = sum over j in N(i) + {i} of h_j / sqrt(d_i * d_j), d = degree + 1,
@@ -119,11 +125,12 @@ def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k
     round is joined again and no round is planned twice. A first pass of the
     same shape attaches the degrees. ``activation`` ('silu' or 'relu')
     follows each round; ``residual`` adds the round's input from the second
-    round on, as in stacked layers (learned weights are a separate dense
-    step). ``checkpoint_every`` > 0 cuts lineage every that many rounds;
+    round on, as in stacked layers. ``weights`` gives a (matrix, bias) for each
+    round, applied to the node values before they are passed on (matrices are
+    square: the number of features stays). ``checkpoint_every`` > 0 cuts lineage every that many rounds;
     ``materialize_links`` writes the link table once (see ``_link_table``).
     """
-    from assaykit.session import checkpointed
+    from assaykit.session import stored
 
     width = len(feature_cols)
     links = _link_table(nodes, edges, gid, nid, materialize_links)
@@ -133,7 +140,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k
     def step(values: DataFrame, scale: bool) -> DataFrame:
         """Join node values onto links by source, aggregate by destination."""
         if scale:
-            send = [(F.col(h) / F.sqrt("_d")).alias(f"_s{i}") for i, h in enumerate(h_cols)]
+            passed = [f"_w{i}" for i in range(width)] if f"_w{width - 1}" in values.columns else h_cols
+            send = [(F.col(c) / F.sqrt("_d")).alias(f"_s{i}") for i, c in enumerate(passed)]
         else:
             send = [F.col(h).alias(f"_s{i}") for i, h in enumerate(h_cols)]
         src_vals = values.select(gid, F.col(nid).alias("src"), *send, *[F.col(h) for h in h_cols])
@@ -146,6 +154,12 @@ def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k
     # Degree pass: the self-loop row returns each node's own features, the row count its degree.
     h = step(start, scale=False).select(gid, nid, *[F.col(f"_p{i}").alias(h) for i, h in enumerate(h_cols)], "_d")
     for r in range(k):
+        if weights is not None:
+            matrix, bias = weights[r]
+            dense = [sum((F.col(h_cols[i]) * F.lit(float(matrix[i][j])) for i in range(width)), F.lit(float(bias[j])))
+                     for j in range(width)]
+            # The round's own input stays for the residual.
+            h = h.select(gid, nid, *[c.alias(f"_w{i}") for i, c in enumerate(dense)], *h_cols, "_d")
         agg = step(h, scale=True)
         new = [F.col(f"_s{i}") / F.sqrt("_d") for i in range(width)]
         if activation == "silu":
@@ -156,7 +170,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str], k
             new = [F.col(f"_p{i}") + c for i, c in enumerate(new)]
         h = agg.select(gid, nid, *[c.alias(h) for c, h in zip(new, h_cols)], "_d")
         if checkpoint_every and (r + 1) % checkpoint_every == 0 and r + 1 < k:
-            h = checkpointed(h)
+            h = stored(h, "graph")
     return h.select(gid, nid, *[F.col(h).alias(c) for h, c in zip(h_cols, feature_cols)])
 
 
@@ -166,10 +180,13 @@ def _md5_int(s: Column) -> Column:
 
 def circular_fingerprint(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str],
                          radius: int = FINGERPRINT_RADIUS, n_bits: int = FINGERPRINT_BITS,
-                         gid: str = "gid", nid: str = "nid", materialize_links: bool = True) -> DataFrame:
+                         gid: str = "gid", nid: str = "nid", materialize_links: bool = True,
+                         decimals: int | None = None) -> DataFrame:
     """Morgan-style circular fingerprint folded to ``n_bits``.
 
-    Round 0 hashes each node's invariants (features scaled to integers);
+    Round 0 hashes each node's invariants: the features as they are, or rounded
+    to ``decimals`` where the caller wants near values to be the same; a NULL
+    feature has a mark of its own, so it holds its position.
     round r hashes (r, own id, sum and count of neighbour ids from round r-1).
     Each round is one join of the link table (edges both ways plus a
     self-loop per node) with the previous ids and one aggregate per node: the
@@ -180,8 +197,11 @@ def circular_fingerprint(nodes: DataFrame, edges: DataFrame, feature_cols: Seque
     is recomputed. Output per graph: the sorted distinct set bits (at most
     ``n_bits``), the sparse form.
     """
-    inv = F.concat_ws("|", *[F.round(F.col(c) * INVARIANT_SCALE).cast("bigint").cast("string")
-                             for c in feature_cols])
+    def invariant(c: str) -> Column:
+        value = F.col(c) if decimals is None else F.round(F.col(c) * F.lit(10 ** decimals)).cast("bigint")
+        return F.coalesce(value.cast("string"), F.lit(NULL_INVARIANT))
+
+    inv = F.concat_ws("|", *[invariant(c) for c in feature_cols])
     ids = nodes.select(gid, nid, _md5_int(F.concat(F.lit("0:"), inv)).alias("_b0"))
     links = _link_table(nodes, edges, gid, nid, materialize_links)
     for r in range(1, radius + 1):
@@ -204,7 +224,17 @@ def circular_fingerprint(nodes: DataFrame, edges: DataFrame, feature_cols: Seque
 
 def densify_bits(df: DataFrame, col: str = "bits", n_bits: int = FINGERPRINT_BITS,
                  out: str = "fingerprint") -> DataFrame:
-    """Sparse set-bit list -> dense 0/1 byte array of width ``n_bits``."""
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)),
-                        lambda i: F.when(F.array_contains(F.col(col), i), F.lit(1)).otherwise(F.lit(0)).cast("byte"))
-    return df.withColumn(out, dense)
+    """Sparse set-bit list -> dense 0/1 byte array of width ``n_bits``.
+
+    Linear in the width: a run of zeros and a one for each set bit, then the
+    last zeros. Bits outside the width are left out.
+    """
+    bits = F.array_sort(F.array_distinct(F.filter(col, lambda b: (b >= 0) & (b < n_bits))))
+    df = df.withColumn("_bits", bits).withColumn(
+        "_prev", F.concat(F.array(F.lit(-1)), F.slice("_bits", 1, F.greatest(F.size("_bits") - 1, F.lit(0)))))
+    zero, one = F.lit(0).cast("byte"), F.lit(1).cast("byte")
+    runs = F.transform(F.arrays_zip("_bits", "_prev"), lambda p: F.when(p["_bits"].isNotNull(), F.concat(
+        F.array_repeat(zero, p["_bits"] - p["_prev"] - 1), F.array(one))).otherwise(F.array().cast("array<tinyint>")))
+    last = F.coalesce(F.get("_bits", F.size("_bits") - 1), F.lit(-1))
+    dense = F.concat(F.flatten(runs), F.array_repeat(zero, F.lit(n_bits - 1) - last))
+    return df.withColumn(out, dense).drop("_bits", "_prev")

@@ -15,15 +15,17 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from assaykit.operators.splits import in_sample
+
 HUBER_EPSILON = 1.35
+# Where the loss that chooses the model turns from squared to linear.
+HUBER_DELTA = 0.5
 
 
 def to_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -44,19 +46,32 @@ def fit_baseline(train: DataFrame, features: str = "features", label: str = "pIC
 
 
 def fit_robust(train: DataFrame, features: str = "features", label: str = "pIC",
-               reg_params: Sequence[float] = (0.0, 0.01, 0.1), train_ratio: float = 0.8,
-               seed: int = 42, epsilon: float = HUBER_EPSILON) -> Model:
-    """Huber-loss linear regression, regularisation chosen on a validation split (M2).
+               reg_params: Sequence[float] = (0.0, 0.01, 0.1), valid: Column | None = None,
+               key: str | None = None, delta: float = HUBER_DELTA, epsilon: float = HUBER_EPSILON) -> Model:
+    """Huber-loss linear regression, regularisation chosen by Huber loss on a validation split (M2).
+
+    ``valid`` marks the validation rows; without it they are a fifth of the
+    rows by the hash of ``key`` (or of the features and the label), which
+    doesn't depend on the partitions.
 
     Spark's ``epsilon`` is relative to a fitted scale and must exceed 1, so
     it is not the reference's absolute delta of 0.5.
     """
-    est = LinearRegression(featuresCol=features, labelCol=label, loss="huber", epsilon=epsilon)
-    grid = ParamGridBuilder().addGrid(est.regParam, list(reg_params)).build()
-    evaluator = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, evaluator=evaluator,
-                               trainRatio=train_ratio, seed=seed)
-    return tvs.fit(train).bestModel
+    if valid is None:
+        by = F.col(key).cast("string") if key else F.concat_ws("|", F.col(features).cast("string"), F.col(label))
+        valid = in_sample(by, 0.2, 42)
+    rows = train.withColumn("_valid", valid)
+    fitted = rows.where(~F.col("_valid"))
+    best: tuple[float, Model] | None = None
+    for reg in reg_params:
+        model = LinearRegression(featuresCol=features, labelCol=label, loss="huber", epsilon=epsilon,
+                                 regParam=reg).fit(fitted)
+        off = F.abs(F.col("prediction") - F.col(label))
+        huber = F.when(off <= delta, 0.5 * off * off).otherwise(delta * (off - 0.5 * delta))
+        loss = model.transform(rows.where(F.col("_valid"))).agg(F.avg(huber)).first()[0]
+        if best is None or (loss is not None and loss < best[0]):
+            best = (float("inf") if loss is None else loss, model)
+    return best[1]
 
 
 def predict_table(df: DataFrame, model: Model) -> DataFrame:
@@ -78,15 +93,28 @@ def model_spark():
     return SparkSession.getActiveSession()
 
 
+def fold_batch_norm(weights: np.ndarray, bias: np.ndarray, gamma: np.ndarray, beta: np.ndarray, mean: np.ndarray,
+                    variance: np.ndarray, eps: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """One (W, b) for a dense layer and the batch normalisation behind it, at inference.
+
+    (x W + b - mean) / sqrt(variance + eps) * gamma + beta is again a dense layer.
+    """
+    scale = np.asarray(gamma, dtype=np.float64) / np.sqrt(np.asarray(variance, dtype=np.float64) + eps)
+    return np.asarray(weights) * scale, (np.asarray(bias) - np.asarray(mean)) * scale + np.asarray(beta)
+
+
 def dense_forward(df: DataFrame, col: str, layers: Sequence[tuple[np.ndarray, np.ndarray]],
                   activation: str = "silu", out: str = "output") -> DataFrame:
     """Apply dense layers x -> act(x W + b) ... to an array column, batch-wise.
 
     The weights are fixed-size model parameters captured by the UDF closure;
     each Arrow batch becomes one matrix product per layer. No activation
-    after the last layer.
+    after the last layer. A NULL array, one of another width or one that
+    holds a NULL has a NULL output. ``fold_batch_norm`` puts a normalisation
+    layer into the weights before it.
     """
     mats = [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
+    width = mats[0][0].shape[0]
 
     def act(x: np.ndarray) -> np.ndarray:
         if activation == "silu":
@@ -97,13 +125,16 @@ def dense_forward(df: DataFrame, col: str, layers: Sequence[tuple[np.ndarray, np
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def forward(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(a, dtype=np.float64) for a in v])
-        for i, (w, b) in enumerate(mats):
-            x = x @ w + b
-            if i < len(mats) - 1:
-                x = act(x)
-        return pd.Series(list(x))
+        good = [a is not None and len(a) == width and not any(e is None for e in a) for a in v]
+        result: list = [None] * len(v)
+        if any(good):
+            x = np.stack([np.asarray(a, dtype=np.float64) for a, g in zip(v, good) if g])
+            for i, (w, b) in enumerate(mats):
+                x = x @ w + b
+                if i < len(mats) - 1:
+                    x = act(x)
+            for i, row in zip(np.flatnonzero(good), x):
+                result[i] = row
+        return pd.Series(result, dtype=object)
 
     return df.withColumn(out, forward(F.col(col)))

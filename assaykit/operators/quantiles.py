@@ -7,11 +7,11 @@ needed.
 
 * ``exact=False`` (default, for very large inputs): ``percentile_approx``;
   its sketch has a fixed size per partition, merged map-side.
-* ``exact=True``: linear-interpolated quantiles (SQL ``quantile_cont``) from a
-  distributed sort: ``global_index`` numbers the values, then only the rows at
-  the needed ranks are kept. No task ever holds more than one sorted
-  partition, unlike Spark's ``percentile`` whose final buffer holds every
-  distinct value.
+* ``exact=True``: linear-interpolated quantiles (SQL ``quantile_cont``) from
+  counts per distinct value: the values are counted map-side, the distinct ones
+  are range-partitioned and their counts summed up, and the values at the needed
+  ranks are picked. A value that most rows hold is one row of that, and no task
+  holds all distinct values, unlike the final buffer of Spark's ``percentile``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.operators.ranking import global_index
+from assaykit.operators.ranking import cumulative_counts
 
 IQR_MULTIPLIER = 1.5
 QUANTILE_RELATIVE_ERROR = 0.001
@@ -48,29 +48,19 @@ def quantile_bounds(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.7
         q = F.percentile_approx("v", list(probs), acc)
         return vals.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    ranked = global_index(vals, ["v"], "i", with_total=True)
-    n = F.col("i_total")
-    needed = None
-    per_p = []
+    counted = cumulative_counts(vals, "v")
+
+    def at(rank):  # the value that holds a rank (from 0)
+        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("v")))
+
+    aggs, out = [F.max("n_total").alias("_n")], []
     for p, name in zip(probs, names):
-        pos = (n - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        wanted = (F.col("i") == lo) | (F.col("i") == hi)
-        needed = wanted if needed is None else (needed | wanted)
-        per_p.append((name, pos, lo, hi))
-    # Only the (at most 2 per probability) rows at the needed ranks reach the aggregate.
-    aggs = [F.max("i_total").alias("_n")]
-    for name, pos, lo, hi in per_p:
-        aggs += [F.max(F.when(F.col("i") == lo, F.col("v"))).alias(f"_{name}_lo"),
-                 F.max(F.when(F.col("i") == hi, F.col("v"))).alias(f"_{name}_hi")]
-    picked = ranked.where(needed).agg(*aggs)
-    out = []
-    for name, _, _, _ in per_p:
-        p = float(probs[names.index(name)])
-        pos = (F.col("_n") - 1).cast("double") * F.lit(p)
-        v_lo, v_hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((v_lo + (v_hi - v_lo) * (pos - F.floor(pos))).alias(name))
-    return picked.select(*out)
+        pos = (F.col("n_total") - 1).cast("double") * F.lit(float(p))
+        aggs += [at(F.floor(pos)).alias(f"_{name}_lo"), at(F.ceil(pos)).alias(f"_{name}_hi")]
+        place = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    return counted.agg(*aggs).select(*out)
 
 
 def iqr_bounds(df: DataFrame, col: str, k: float = IQR_MULTIPLIER, exact: bool = False,

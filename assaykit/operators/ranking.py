@@ -4,16 +4,16 @@
 does, but with DataFrame operations only:
 
 1. range-partition on the order keys (an explicit partition count, so AQE
-   never coalesces it) and sort inside each partition;
-2. write that result once with a reliable ``checkpoint()`` to the session's
-   shared checkpoint folder. Both passes below read the same files: a range
-   partitioner samples its bounds with a seed tied to the RDD, so two
-   separately planned range shuffles of the same data can disagree, and the
-   per-partition counts would no longer match the partitions being indexed.
-   The checkpoint also means a lost executor never changes the numbering;
-3. the position inside a partition is ``monotonically_increasing_id`` minus
-   the partition's base (``partition_id << 33``);
-4. a per-partition row count (one row per partition, bounded by the
+   never coalesces it), sort inside each partition, and tag every row with its
+   partition and its place there (``monotonically_increasing_id`` minus the
+   partition's base);
+2. write that once, as Parquet, to the session's shared folder
+   (``session.stored``; this runs when the plan is built). Both passes below
+   read the same files: a range partitioner samples its bounds with a seed tied
+   to the RDD, so two separately planned range shuffles of the same data can
+   disagree. The copy also means a lost executor never changes the numbering,
+   and later reads take only the columns they need;
+3. a per-partition row count (one row per partition, bounded by the
    partition count and not by the data) gives each partition its offset,
    which is broadcast back.
 
@@ -28,12 +28,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.session import stored
+
 
 def _partition_count(df: DataFrame) -> int:
     spark = df.sparkSession
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _running_totals(sizes: DataFrame) -> DataFrame:
+    """_pid, _offset (sum of _n before) and _sum: one row per partition, so the windows see no more than that."""
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_sum"))
+
+
+def cumulative_counts(df: DataFrame, value: str) -> DataFrame:
+    """One row per distinct ``value``: n, n_before (rows of smaller values) and n_total.
+
+    Values are counted first (map-side), so a value that most rows hold is one
+    row here, and the range shuffle deals distinct values.
+    """
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = stored(counts.repartitionByRange(_partition_count(df), value).withColumn("_pid", F.spark_partition_id()), "counts")
+    offsets = _running_totals(ranged.groupBy("_pid").agg(F.sum("n").alias("_n")))
+    before = Window.partitionBy("_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn("_local", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            .join(F.broadcast(offsets), "_pid")
+            .select(value, "n", (F.col("_offset") + F.col("_local")).alias("n_before"), F.col("_sum").alias("n_total")))
+
+
 def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_index",
                  num_partitions: int | None = None, with_total: bool = False):
     """Add a 0-based ``out`` column following ``order`` (ascending).
@@ -43,17 +67,12 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_i
     """
     n_parts = num_partitions or _partition_count(df)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    from assaykit.session import checkpointed
-
-    ranged = checkpointed(df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys))
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    tagged = stored(ranged.withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_local", F.monotonically_increasing_id()
+                                - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)), "index")
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: the window below never sees more rows than partitions.
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                           F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(f"{out}_total"))
+    offsets = _running_totals(sizes).withColumnRenamed("_sum", f"{out}_total")
     indexed = (tagged.join(F.broadcast(offsets), "_pid")
                .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
                .drop("_pid", "_local", "_offset"))
@@ -87,9 +106,19 @@ _COMBINE = {
 }
 
 
+def number_blocks(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
+                  num_partitions: int | None = None) -> DataFrame:
+    """``df`` with _gi (place in the order of group and order) and _blk (equal blocks of it), for several scans."""
+    n_parts = num_partitions or _partition_count(df)
+    keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
+    idx = global_index(df, keys, "_gi", n_parts, with_total=True)
+    block_size = F.greatest(F.ceil(F.col("_gi_total") / F.lit(n_parts)), F.lit(1))
+    return idx.withColumn("_blk", F.floor(F.col("_gi") / block_size)).drop("_gi_total")
+
+
 def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
                      specs: dict[str, tuple[str, Column]], inclusive: bool = True,
-                     num_partitions: int | None = None, keep_index: bool = False) -> DataFrame:
+                     num_partitions: int | None = None, numbered: bool = False) -> DataFrame:
     """Running min / max / sum per group in ``order`` as a distributed segmented scan.
 
     ``specs`` maps an output name to (``"min"``|``"max"``|``"sum"``, value column);
@@ -102,23 +131,15 @@ def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str |
     table with at most blocks + groups rows) are carried in. A group holding a
     third of the data is therefore scanned by a third of the tasks.
 
-    ``keep_index=True`` leaves the numbering columns (``_gi``, ``_blk``) on the
-    result; a later call on a frame that still has them, for the same group
-    and order, reuses them instead of sorting again. Each scan reads its input
-    twice (rows and block totals), so checkpoint the intermediate frame when
-    chaining scans this way, or the plan re-runs earlier scans.
+    ``numbered=True`` says that ``df`` comes from ``number_blocks`` (or from a
+    scan of such a frame) for this very group and order; the numbering is then
+    used, and kept for the next scan. Each scan reads its input twice (rows and
+    block totals), so store the frame between chained scans.
     """
-    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
     vals = df
     for name, (_, col) in specs.items():
         vals = vals.withColumn(f"_v_{name}", col)
-    if "_gi" in df.columns and "_blk" in df.columns:
-        t = vals
-    else:
-        idx = global_index(vals, keys, "_gi", n_parts, with_total=True)
-        block_size = F.greatest(F.ceil(F.col("_gi_total") / F.lit(n_parts)), F.lit(1))
-        t = idx.withColumn("_blk", F.floor(F.col("_gi") / block_size)).drop("_gi_total")
+    t = vals if numbered else number_blocks(vals, group, order, num_partitions)
     frame = (Window.partitionBy("_blk", *group).orderBy("_gi")
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for name, (fn, _) in specs.items():
@@ -133,6 +154,6 @@ def prefix_aggregate(df: DataFrame, group: Sequence[str], order: Sequence[str |
     out = joined.drop(carry["_blk"])
     for name, (fn, _) in specs.items():
         out = out.withColumn(name, _COMBINE[fn][1](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    drop = ([] if keep_index else ["_gi", "_blk"]) + [f"_k_{g}" for g in group]
+    drop = ([] if numbered else ["_gi", "_blk"]) + [f"_k_{g}" for g in group]
     drop += [f"_{p}_{name}" for name in specs for p in ("v", "l", "c")]
     return out.drop(*drop)

@@ -12,17 +12,23 @@ prefix aggregates. The default runs them as distributed segmented scans
 (``ranking.prefix_aggregate``): a run with an enormous epoch list is spread
 over many tasks, at the price of a few extra passes on small inputs.
 ``method="window"`` is the plain per-run window form. A positive
-``min_delta`` makes it a true recurrence: the epochs of each run are folded
-with ``aggregate`` over the run's sorted epoch array; that array is bounded
-by the number of training epochs, not by the data.
+``min_delta`` makes it a true recurrence, which only its own order can
+compute: rows are dealt by run, sorted, and folded as they stream by, with a
+state of four numbers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from assaykit.operators.ranking import number_blocks, prefix_aggregate
+from assaykit.session import stored
 
 PATIENCE = 2
 MIN_DELTA = 0.0
@@ -41,7 +47,7 @@ def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch",
     and counters as distributed prefix scans (``ranking.prefix_aggregate``),
     so a run with a very long epoch list is spread over many tasks;
     ``method="window"`` uses plain per-run windows. ``min_delta > 0`` folds
-    each run's epoch list.
+    each run's epochs in order.
     """
     if min_delta != 0:
         return _early_stopping_fold(df, run, epoch, loss, patience, min_delta)
@@ -71,22 +77,21 @@ def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch",
 
 def _early_stopping_scan(df, run, epoch, loss, patience):
     """min_delta = 0 as three prefix scans; counter = regressions since the last improvement."""
-    from assaykit.operators.ranking import prefix_aggregate
-
     lc = F.col(loss)
     valid = lc.isNotNull() & ~F.isnan(lc)
-    base = df.select(run, epoch, loss)
-    a = prefix_aggregate(base, [run], [epoch], {"_prev": ("min", _finite(lc))}, inclusive=False)
+    # Numbered once; each scan's result is written, since the next one reads it twice.
+    base = number_blocks(df.select(run, epoch, loss), [run], [epoch])
+    a = prefix_aggregate(base, [run], [epoch], {"_prev": ("min", _finite(lc))}, inclusive=False, numbered=True)
     prev = F.coalesce(F.col("_prev"), F.lit(float("inf")))
-    a = (a.withColumn("_prev", prev)
-         .withColumn("improved", valid & (lc < F.col("_prev")))
-         .withColumn("_reg", (valid & (lc > F.col("_prev"))).cast("bigint")))
-    b = prefix_aggregate(a, [run], [epoch], {
+    a = stored(a.withColumn("_prev", prev)
+               .withColumn("improved", valid & (lc < F.col("_prev")))
+               .withColumn("_reg", (valid & (lc > F.col("_prev"))).cast("bigint")), "scan")
+    b = stored(prefix_aggregate(a, [run], [epoch], {
         "_r": ("sum", F.col("_reg")),
         "best_epoch": ("max", F.when(F.col("improved"), F.col(epoch))),
-    })
+    }, numbered=True), "scan")
     # regressions counted at the last improvement (R only grows, so a running max finds it)
-    c = prefix_aggregate(b, [run], [epoch], {"_rk": ("max", F.when(F.col("improved"), F.col("_r")))})
+    c = prefix_aggregate(b, [run], [epoch], {"_rk": ("max", F.when(F.col("improved"), F.col("_r")))}, numbered=True)
     t = (c.withColumn("counter", (F.col("_r") - F.coalesce(F.col("_rk"), F.lit(0))).cast("int"))
          .withColumn("best_loss", F.when(F.col("improved"), lc).otherwise(F.col("_prev")))
          .withColumn("stop", F.col("counter") >= patience))
@@ -98,33 +103,39 @@ def _early_stopping_scan(df, run, epoch, loss, patience):
 
 
 def _early_stopping_fold(df, run, epoch, loss, patience, min_delta):
-    d = F.lit(float(min_delta))
-    runs = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(epoch).alias("e"), F.col(loss).cast("double").alias("l")))).alias("_eps"))
-    init = F.struct(F.lit(float("inf")).alias("best"), F.lit(None).cast("long").alias("best_epoch"),
-                    F.lit(0).alias("counter"), F.lit(False).alias("done"),
-                    F.array().cast("array<struct<e:bigint,l:double,improved:boolean,best:double,"
-                                   "best_epoch:bigint,counter:int,stop:boolean>>").alias("trace"))
-
-    def step(acc, x):
-        ok = ~F.isnan(x["l"]) & x["l"].isNotNull()
-        imp = ok & (x["l"] < acc["best"] - d)
-        reg = ok & ~imp & (x["l"] > acc["best"] + d)
-        best = F.when(imp, x["l"]).otherwise(acc["best"])
-        best_epoch = F.when(imp, x["e"].cast("long")).otherwise(acc["best_epoch"])
-        counter = F.when(imp, F.lit(0)).when(reg, acc["counter"] + 1).otherwise(acc["counter"])
-        stop = counter >= patience
-        rec = F.struct(x["e"].cast("long").alias("e"), x["l"].alias("l"), imp.alias("improved"),
-                       best.alias("best"), best_epoch.alias("best_epoch"), counter.alias("counter"),
-                       stop.alias("stop"))
-        return F.when(acc["done"], acc).otherwise(F.struct(
-            best.alias("best"), best_epoch.alias("best_epoch"), counter.alias("counter"),
-            stop.alias("done"), F.concat(acc["trace"], F.array(rec)).alias("trace")))
-
-    folded = runs.select(run, F.aggregate("_eps", init, step)["trace"].alias("t"))
-    return folded.select(run, F.inline("t")).select(
-        run, F.col("e").alias(epoch), F.col("l").alias(loss), "improved",
-        F.col("best").alias("best_loss"), "best_epoch", "counter", "stop")
+    """The recurrence itself, over the epochs of a run as they come by: its state is four numbers a run."""
+    small = df.select(run, F.col(epoch).cast("long").alias("e"), F.col(loss).cast("double").alias("l"))
+    schema = T.StructType([
+        small.schema[run], T.StructField(epoch, T.LongType()), T.StructField(loss, T.DoubleType()),
+        T.StructField("improved", T.BooleanType()), T.StructField("best_loss", T.DoubleType()),
+        T.StructField("best_epoch", T.LongType()), T.StructField("counter", T.IntegerType()),
+        T.StructField("stop", T.BooleanType())])
+
+    def fold(batches):
+        now, best, best_at, counter, done = (object(),), math.inf, None, 0, False
+        for batch in batches:
+            rows = []
+            for r, e, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (r,) != now:
+                    now, best, best_at, counter, done = (r,), math.inf, None, 0, False
+                if done:
+                    continue
+                valid = x is not None and not math.isnan(x)
+                improved = valid and x < best - min_delta
+                if improved:
+                    best, best_at, counter = x, e, 0
+                elif valid and x > best + min_delta:
+                    counter += 1
+                done = counter >= patience
+                rows.append((r, e, x, improved, best, best_at, counter, done))
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    return small.repartition(run).sortWithinPartitions(run, "e").mapInArrow(fold, schema)
 
 
 def best_epoch(trace: DataFrame, run: str = "run_id", epoch: str = "epoch",

@@ -25,7 +25,8 @@ def hash_bucket(key: str | Column, seed: int) -> Column:
 
 
 def in_sample(key: str | Column, fraction: float, seed: int) -> Column:
-    return hash_bucket(key, seed) < F.lit(int(round(fraction * TWO_POW_32)))
+    """Whether a key is in the sample; a NULL key never is, so both sides of a split keep all rows."""
+    return F.coalesce(hash_bucket(key, seed) < F.lit(int(round(fraction * TWO_POW_32))), F.lit(False))
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

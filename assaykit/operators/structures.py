@@ -1,161 +1,53 @@
-"""Structure featurisation through Arrow batches.
-
-A structure string is turned into a graph by a chemistry toolkit, one
-molecule at a time; that part is per-row Python by nature. Spark runs it
-with ``mapInArrow`` over the partitions it already has: each task receives
-Arrow record batches (size bounded by
-``spark.sql.execution.arrow.maxRecordsPerBatch``) and yields batches back,
-so no group or partition is ever materialised as a Python list.
-
-Kernels are plain functions ``(key, text) -> record | None`` (``None`` drops
-the row). Two are provided: an RDKit kernel used when RDKit is installed
-(it is optional and not present here), and a dependency-free token-chain
-kernel used by the tests and examples.
+"""Structure strings as tables (N1, F14, R3), with Spark expressions.
+
+Parsing chemistry needs a toolkit and isn't done here: a structure is read as a
+chain of white-space separated tokens, which gives the pipelines behind it
+(graph tables, fingerprints, propagation) rows of the training layout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, FloatType, LongType, StringType, StructField,
-                               StructType)
-
-GRAPH_SCHEMA = StructType([
-    StructField("molregno", LongType(), False),
-    StructField("node_features", ArrayType(ArrayType(FloatType(), False), False), False),
-    StructField("edge_index", ArrayType(ArrayType(LongType(), False), False), False),
-])
-VALIDATION_SCHEMA = StructType([
-    StructField("molregno", LongType(), False),
-    StructField("is_valid", BooleanType(), False),
-    StructField("canonical", StringType(), True),
-    StructField("issue", StringType(), True),
-])
-
-Kernel = Callable[[int, str], dict | None]
-
-
-def _arrow_mapper(kernel: Kernel, schema: StructType, key: str, text: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    names = [f.name for f in schema.fields]
-    arrow_schema = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(key).to_pylist()
-            texts = batch.column(text).to_pylist()
-            cols: dict[str, list] = {n: [] for n in names}
-            for k, t in zip(keys, texts):
-                rec = kernel(k, t)
-                if rec is None:
-                    continue
-                for n in names:
-                    cols[n].append(rec[n])
-            # Explicit Arrow types: Python floats would otherwise arrive as float64.
-            yield pa.RecordBatch.from_pydict(cols, schema=arrow_schema)
-
-    return run
-
-
-def map_structures(df: DataFrame, kernel: Kernel, schema: StructType = GRAPH_SCHEMA,
-                   key: str = "molregno", text: str = "canonical_smiles") -> DataFrame:
-    """Apply a per-structure kernel to every row with ``mapInArrow``.
-
-    Only the two needed columns enter Python; Catalyst cannot push filters
-    through this node, so callers semi-join the input to the keys they need
-    first (see ``plans.training.training_set``).
-    """
-    slim = df.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text))
-    return slim.mapInArrow(_arrow_mapper(kernel, schema, key, text), schema)
 
+from assaykit.functions.text import strip_text
 
-def validate_structures(df: DataFrame, kernel: Kernel | None = None, key: str = "molregno",
-                        text: str = "canonical_smiles") -> DataFrame:
-    """(key, is_valid, canonical, issue) for every structure."""
-    return map_structures(df, kernel or token_validation_kernel, VALIDATION_SCHEMA, key, text)
 
+def token_graphs(df: DataFrame, key: str = "molregno", text: str = "canonical_smiles") -> DataFrame:
+    """(key, node_features, edge_index): tokens are nodes, neighbours are linked; blank texts have no row.
 
-# --- dependency-free stand-in kernels -------------------------------------------------------------
+    Node features: token length, degree, 0, vowels, 1 if the first letter is a
+    capital, digits.
+    """
+    clean = F.regexp_replace(strip_text(F.coalesce(F.col(text), F.lit(""))), r"\s+", " ")
+    rows = df.select(F.col(key).cast("bigint").alias(key), clean.alias("_t")).where(F.col("_t") != "")
+    rows = rows.select(key, F.split("_t", " ").alias("_t")).withColumn("_n", F.size("_t"))
 
-def _tokens(text: str | None) -> list[str]:
-    return text.split() if text else []
+    def features(t, i):
+        degree = (i > 0).cast("int") + (i < F.col("_n") - 1).cast("int")
+        values = (F.length(t), degree, F.lit(0), F.regexp_count(F.lower(t), F.lit("[aeiou]")),
+                  t.rlike("^[A-Z]").cast("int"), F.regexp_count(t, F.lit("[0-9]")))
+        return F.array(*[v.cast("float") for v in values])
 
+    steps = F.filter(F.sequence(F.lit(0), F.col("_n")), lambda k: k < F.col("_n") - 1)
 
-def token_graph_kernel(key: int, text: str | None, drop_empty: bool = True) -> dict | None:
-    """Toy structure model: each whitespace token is an atom, consecutive tokens are bonded.
+    def ends(first: int, second: int):
+        return F.flatten(F.transform(steps, lambda k: F.array((k + first).cast("bigint"), (k + second).cast("bigint"))))
 
-    Node features (6 floats, the training layout): token length, degree, 0,
-    number of vowels, 1 if the token is capitalised else 0, number of digits.
-    Blank input (and, with ``drop_empty``, zero atoms) yields no row.
-    """
-    toks = _tokens(text.strip() if text else text)
-    if not toks and drop_empty:
-        return None
-    n = len(toks)
-    feats = []
-    for i, t in enumerate(toks):
-        degree = (1 if i > 0 else 0) + (1 if i < n - 1 else 0)
-        feats.append([float(len(t)), float(degree), 0.0, float(sum(c in "aeiou" for c in t.lower())),
-                      float(t[:1].isupper()), float(sum(c.isdigit() for c in t))])
-    src, dst = [], []
-    for i in range(n - 1):
-        src += [i, i + 1]
-        dst += [i + 1, i]
-    return {"molregno": int(key), "node_features": feats, "edge_index": [src, dst]}
-
-
-def token_validation_kernel(key: int, text: str | None) -> dict:
-    """Toy validity rule: non-blank and letters/spaces only; canonical = lower-case, single spaces."""
-    s = (text or "").strip()
-    if not s:
-        return {"molregno": int(key), "is_valid": False, "canonical": None, "issue": "SMILES is empty."}
-    if not all(c.isalpha() or c.isspace() for c in s):
-        return {"molregno": int(key), "is_valid": False, "canonical": None,
-                "issue": "unsupported characters"}
-    return {"molregno": int(key), "is_valid": True, "canonical": " ".join(s.lower().split()), "issue": None}
-
-
-# --- optional RDKit kernel --------------------------------------------------------------------------
-
-# Fixed node feature layout of the training data, in order.
-NODE_FEATURE_LAYOUT = ("atomic_number", "degree", "formal_charge", "hybridization",
-                       "is_aromatic", "total_h_count")
-
-
-def rdkit_graph_kernel(key: int, text: str | None) -> dict | None:
-    """Graph from a SMILES string with RDKit (import deferred to the executor).
-
-    Rows whose text is blank, does not parse, or has no atoms are dropped.
-    """
-    from rdkit import Chem  # optional dependency
-
-    if not text:
-        return None
-    try:
-        mol = Chem.MolFromSmiles(text)
-    except Exception:  # noqa: BLE001 - any parser failure drops the row
-        return None
-    if mol is None or mol.GetNumAtoms() == 0:
-        return None
-    readers = {
-        "atomic_number": lambda a: a.GetAtomicNum(),
-        "degree": lambda a: a.GetDegree(),
-        "formal_charge": lambda a: a.GetFormalCharge(),
-        "hybridization": lambda a: int(a.GetHybridization().real),
-        "is_aromatic": lambda a: int(a.GetIsAromatic()),
-        "total_h_count": lambda a: a.GetTotalNumHs(),
-    }
-    feats = [[float(readers[f](atom)) for f in NODE_FEATURE_LAYOUT] for atom in mol.GetAtoms()]
-    src, dst = [], []
-    for bond in mol.GetBonds():
-        i, j = bond.GetBeginAtomIdx(), bond.GetEndAtomIdx()
-        src += [i, j]
-        dst += [j, i]
-    return {"molregno": int(key), "node_features": feats, "edge_index": [src, dst]}
+    return rows.select(key, F.transform("_t", features).alias("node_features"),
+                       F.array(ends(0, 1), ends(1, 0)).alias("edge_index"))
+
+
+def validate_tokens(df: DataFrame, key: str = "molregno", text: str = "canonical_smiles") -> DataFrame:
+    """(key, is_valid, canonical, issue): letters and white space only; canonical is lower-case, single blanks."""
+    s = strip_text(F.coalesce(F.col(text), F.lit("")))
+    blank, bad = s == "", s.rlike(r"[^\p{L}\s]")
+    issue = F.when(blank, F.lit("SMILES is empty.")).when(bad, F.lit("unsupported characters"))
+    return df.select(F.col(key).cast("bigint").alias(key), issue.isNull().alias("is_valid"),
+                     F.when(issue.isNull(), F.regexp_replace(F.lower(s), r"\s+", " ")).alias("canonical"),
+                     issue.alias("issue"))
 
 
 def graph_tables(graphs: DataFrame, key: str = "molregno",

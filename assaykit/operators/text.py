@@ -20,6 +20,8 @@ ERR_EMPTY = "Enter a SMILES string."
 ERR_REPAIR_FAILED = "Invalid SMILES. The LLM repair agent failed: "
 ERR_NO_FIX = "Invalid SMILES. The LLM repair agent did not return a fix."
 ERR_BAD_FIX = "The LLM repair agent returned an invalid SMILES string."
+ERR_AFTER_VALIDATION = "Prediction failed after SMILES validation: "
+ERR_AFTER_REPAIR = "Prediction failed after SMILES repair: "
 NO_REPAIR_NOTE = "No LLM repair was used."
 NO_HISTORY = "No previous chat messages."
 HISTORY_WINDOW = 8
@@ -32,12 +34,12 @@ def resolve_inputs(df: DataFrame, text: str = "input_text", canonical: str = "ca
                    confidence: str = "repair_confidence") -> DataFrame:
     """Resolution record per input.
 
-    Ladder: blank -> error; parses -> use canonical; repair raised -> error
+    Ladder: blank (or NULL) -> error; parses -> use canonical; repair raised -> error
     with its message; no proposal -> error; proposal does not parse -> error;
     else use the canonical proposal and flag ``was_fixed``. ``status`` names
     the branch taken.
     """
-    s = strip_text(text)
+    s = F.coalesce(strip_text(text), F.lit(""))
     blank = s == ""
     ok = ~blank & F.col(canonical).isNotNull()
     failed = ~blank & ~ok & F.col(repair_error).isNotNull()
@@ -110,23 +112,37 @@ def render_context(df: DataFrame, transcript: str = "transcript", question: str
     return df.withColumn(out, lines)
 
 
-def predict_with_retry(resolved: DataFrame, predict: Callable[[DataFrame], DataFrame],
-                       key: str = "doc_id", repair: Callable[[DataFrame], DataFrame] | None = None
-                       ) -> DataFrame:
-    """Predict for resolved inputs; give failures one repair pass and predict again (R2).
+def predict_with_retry(resolved: DataFrame, predict: Callable[[DataFrame, str, str, str], DataFrame],
+                       canonical_fixed: str = "canonical_fixed", repair_error: str = "repair_error",
+                       explanation: str = "repair_explanation") -> DataFrame:
+    """Predict for resolved inputs; a failed one gets one repair and one more prediction (R2).
 
-    ``predict`` adds a ``prediction`` column for rows with a prediction
-    structure (it may drop rows it cannot score); ``repair`` maps failed rows to
-    new resolution rows. Results of both passes are combined by name.
+    ``predict(df, structure, out, failure)`` adds two columns for the structure
+    column it is given: the prediction, and the failure's message (NULL when it
+    went well). Rows stay where they are: no join, no second scan.
+
+    Only rows whose own structure failed are repaired: not those that the ladder
+    ended with an error (kept as they are), nor those that were repaired before.
+    Without a repair (it failed, or its proposal doesn't parse) the row keeps the
+    first failure's message; with one it becomes the repaired row, with its
+    prediction or the second failure's message.
     """
-    ready = resolved.where(F.col("prediction_smiles").isNotNull())
-    first = predict(ready)
-    failed = resolved.join(first.select(key), key, "left_anti")
-    if repair is None:
-        return first.unionByName(failed.withColumn("prediction", F.lit(None).cast("double")),
-                                 allowMissingColumns=True)
-    retried = repair(failed)
-    second = predict(retried.where(F.col("prediction_smiles").isNotNull()))
-    still = retried.join(second.select(key), key, "left_anti").withColumn(
-        "prediction", F.lit(None).cast("double"))
-    return first.unionByName(second, allowMissingColumns=True).unionByName(still, allowMissingColumns=True)
+    df = predict(resolved, "prediction_smiles", "_first", "_failure")
+    ready = F.col("prediction_smiles").isNotNull()
+    failed = ready & F.col("_failure").isNotNull()
+    again = (failed & ~F.coalesce(F.col("was_fixed"), F.lit(False)) & F.col(repair_error).isNull()
+             & F.col(canonical_fixed).isNotNull())
+    df = df.withColumn("_again", again).withColumn("_retry", F.when(F.col("_again"), F.col(canonical_fixed)))
+    df = predict(df, "_retry", "_second", "_second_failure")
+    error = (F.when(F.col("_again") & F.col("_second_failure").isNotNull(),
+                    F.concat(F.lit(ERR_AFTER_REPAIR), F.col("_second_failure")))
+             .when(failed & ~F.col("_again"), F.concat(F.lit(ERR_AFTER_VALIDATION), F.col("_failure")))
+             .when(~ready, F.col("error")))
+    prediction = (F.when(F.col("_again"), F.when(F.col("_second_failure").isNull(), F.col("_second")))
+                  .when(ready & F.col("_failure").isNull(), F.col("_first")))
+    return df.withColumns({
+        "prediction": prediction, "error": error,
+        "prediction_smiles": F.coalesce("_retry", "prediction_smiles"),
+        "was_fixed": F.col("_again") | F.coalesce(F.col("was_fixed"), F.lit(False)),
+        "resolved_explanation": F.when(F.col("_again"), F.col(explanation)).otherwise(F.col("resolved_explanation")),
+    }).drop("_first", "_failure", "_again", "_retry", "_second", "_second_failure")

@@ -19,7 +19,8 @@ SELECT l_orderkey*8+l_linenumber AS activity_id, l_orderkey AS assay_id, l_partk
   CASE WHEN l_linenumber = 7 THEN NULL ELSE 9 - log10(l_extendedprice) END AS pchembl_value,
   CASE l_returnflag WHEN 'A' THEN 'IC50' WHEN 'R' THEN 'Ki' ELSE 'Kd' END AS type,
   CASE l_suppkey % 4 WHEN 0 THEN l_extendedprice/1000 WHEN 1 THEN l_extendedprice/1000
-       WHEN 2 THEN l_extendedprice ELSE l_extendedprice*1000 END AS value,
+       WHEN 2 THEN l_extendedprice ELSE l_extendedprice*1000 END
+    * CASE WHEN l_orderkey % 97 = 0 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END AS value,
   CASE l_suppkey % 4 WHEN 0 THEN ' µM ' WHEN 1 THEN 'umol/L' WHEN 2 THEN '10^-9M' ELSE 'pM' END AS units,
   CAST(CASE WHEN l_tax > 0.075 THEN 1 ELSE 0 END AS BIGINT) AS potential_duplicate
 FROM lineitem""",
@@ -36,7 +37,8 @@ SELECT p_partkey AS molregno, CASE WHEN p_partkey % 50 = 0 THEN '' WHEN p_partke
        ELSE p_name END AS canonical_smiles FROM part""",
     "target_dictionary": "SELECT c_custkey AS tid FROM customer WHERE c_custkey % 10 <> 0",
     "target_components": """
-SELECT c_custkey AS tid, s_suppkey AS component_id FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
+SELECT DISTINCT tid, (tid * (j * 7 + 3) + j) % (SELECT count(*) FROM supplier) AS component_id
+FROM (SELECT c_custkey AS tid, unnest(range(c_custkey % 4 + 1)) AS j FROM customer) p""",
     "component_sequences": """
 SELECT s_suppkey AS component_id, CASE s_suppkey % 3 WHEN 0 THEN 'PROTEIN' WHEN 1 THEN 'DNA' ELSE 'RNA' END
        AS component_type FROM supplier""",
@@ -63,14 +65,17 @@ SELECT l_linenumber AS epoch, l_suppkey AS batch_id, log10(l_extendedprice) AS t
   3.0::DOUBLE + l_quantity / 25 AS pred FROM lineitem""",
     "messages": "SELECT conv_id, turn, role, text FROM conversations",
     "inputs": """
-SELECT d.doc_id, d.text AS input_text,
+SELECT d.doc_id, CASE WHEN d.doc_id % 17 = 0 THEN NULL WHEN d.doc_id % 19 = 0 THEN ' ' || chr(9)
+    ELSE d.text END AS input_text,
   CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.source END AS canonical,
   CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE d.lang || ':' || d.source END AS fixed,
   CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE d.lang END AS canonical_fixed,
   CASE WHEN l.toxic = 1 THEN 'repair service unavailable' END AS repair_error,
   'proposal from ' || d.source AS repair_explanation,
-  CAST(length(d.text) % 100 AS DOUBLE) / 100 AS repair_confidence,
-  4.0::DOUBLE + CAST(length(d.text) % 600 AS DOUBLE) / 100 AS prediction
+  CASE d.doc_id % 5 WHEN 0 THEN 0.125::DOUBLE WHEN 1 THEN 1.005::DOUBLE
+    ELSE CAST(length(d.text) % 100 AS DOUBLE) / 100 END AS repair_confidence,
+  CASE WHEN d.doc_id % 7 = 1 THEN 6.03125::DOUBLE
+    ELSE 4.0::DOUBLE + CAST(length(d.text) % 600 AS DOUBLE) / 100 END AS prediction
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 }
 

@@ -441,6 +441,17 @@ def q_train_val_split(spark, base):
     return out.select("activity_id", "molregno", F.round("pIC", 9).alias("pIC"), "split")
 
 
+@register("split_null_keys", f"""
+SELECT activity_id, CASE WHEN molregno % 3 = 0 THEN NULL ELSE molregno END AS key,
+  CASE WHEN molregno % 3 <> 0 AND {_bucket_sql('molregno')} < {int(round(0.4 * 4294967296))} THEN 'val' ELSE 'train' END
+    AS split FROM activity""")
+def q_split_null_keys(spark, base):
+    """Both frames of the split over a key that is NULL in a third of the rows: no row may be lost."""
+    act = fx.activity(spark, base).select("activity_id", F.when(F.col("molregno") % 3 != 0, F.col("molregno")).alias("key"))
+    train, val = X.train_val_split(act, key="key", fraction=0.4)
+    return train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+
+
 @register("semi_anti_split", f"""
 WITH ids AS (SELECT DISTINCT assay_id FROM assay WHERE {_bucket_sql('assay_id')} < {int(round(0.2 * 4294967296))})
 SELECT activity_id, assay_id, 'val' AS split FROM activity WHERE assay_id IN (SELECT assay_id FROM ids)

@@ -50,7 +50,7 @@ def q_feature_width(spark, base):
 @register("mean_pool", """
 SELECT gid, [round(avg(f0), 9), round(avg(f1), 9)] AS pooled FROM nodes GROUP BY gid""")
 def q_mean_pool(spark, base):
-    pooled = G.mean_pool(G.node_vectors(fx.nodes(spark, base), FEATS, "x"), "x")
+    pooled = G.mean_pool_columns(fx.nodes(spark, base), FEATS)
     return pooled.select("gid", F.transform("pooled", lambda x: F.round(x, 9)).alias("pooled"))
 
 
@@ -94,8 +94,10 @@ id{r} AS (SELECT i.gid, i.nid, ('0x' || substring(md5('{r}:' || CAST(i.id AS VAR
 
 _FP_SQL = f"""
 {_DIRECTED_SQL},
-inv AS (SELECT gid, nid, CAST(CAST(round(f0 * 1000) AS BIGINT) AS VARCHAR) || '|' ||
-               CAST(CAST(round(f1 * 1000) AS BIGINT) AS VARCHAR) AS s FROM nodes),
+inv AS (SELECT gid, nid, coalesce(CAST(CAST(round(g0 * 1000000) AS BIGINT) AS VARCHAR), '-') || '|' ||
+               coalesce(CAST(CAST(round(g1 * 1000000) AS BIGINT) AS VARCHAR), '-') AS s
+        FROM (SELECT gid, nid, CASE WHEN nid % 5 = 1 THEN NULL ELSE f0 END AS g0,
+                     CASE WHEN nid % 5 = 2 THEN NULL ELSE f1 + (gid % 7) / 10000.0::DOUBLE END AS g1 FROM nodes) g),
 id0 AS (SELECT gid, nid, ('0x' || substring(md5('0:' || s), 1, 8))::BIGINT AS id FROM inv),
 {_fp_round_sql(1).strip()},
 {_fp_round_sql(2).strip()},
@@ -104,9 +106,17 @@ bitset AS (SELECT DISTINCT gid, CAST(id % 2048 AS INTEGER) AS bit FROM allids),
 fp AS (SELECT gid, list(bit ORDER BY bit) AS bits FROM bitset GROUP BY gid)"""
 
 
+def _fingerprint_nodes(spark, base):
+    """Nodes whose features have gaps in either place and differ in the fourth decimal."""
+    n = fx.nodes(spark, base)
+    return n.select("gid", "nid", F.when(F.col("nid") % 5 != 1, F.col("f0")).alias("f0"),
+                    F.when(F.col("nid") % 5 != 2, F.col("f1") + (F.col("gid") % 7) / F.lit(10000.0)).alias("f1"))
+
+
 @register("circular_fingerprint", f"WITH {_FP_SQL.strip()} SELECT gid, bits FROM fp")
 def q_circular_fingerprint(spark, base):
-    return G.circular_fingerprint(fx.nodes(spark, base), fx.edges(spark, base), FEATS, radius=2, n_bits=2048)
+    return G.circular_fingerprint(_fingerprint_nodes(spark, base), fx.edges(spark, base), FEATS, radius=2,
+                                  n_bits=2048, decimals=6)
 
 
 @register("densify_bits", f"""
@@ -114,7 +124,7 @@ WITH {_FP_SQL.strip()}
 SELECT gid, CAST(list_transform(range(2048), lambda i: CASE WHEN list_contains(bits, CAST(i AS INTEGER)) THEN 1 ELSE 0 END)
             AS TINYINT[]) AS fingerprint FROM fp""")
 def q_densify_bits(spark, base):
-    fp = G.circular_fingerprint(fx.nodes(spark, base), fx.edges(spark, base), FEATS)
+    fp = G.circular_fingerprint(_fingerprint_nodes(spark, base), fx.edges(spark, base), FEATS, decimals=6)
     return G.densify_bits(fp, "bits", 2048, "fingerprint").select("gid", "fingerprint")
 
 

@@ -15,7 +15,7 @@ from assaykit.operators import splits as X
 from assaykit.operators import structures as S
 from assaykit.plans.catalog import register
 from assaykit.plans.queries_core import _bucket_sql, flagship
-from assaykit.session import checkpointed
+from assaykit.session import stored
 from assaykit.sources import fixtures as fx
 
 def demo_layers(width: int = 64, hidden: int = 16, seed: int = 0):
@@ -32,7 +32,7 @@ def _structure_graphs(spark, base):
     # Featurise only molecules that still have a label (the semi-join the optimizer cannot do).
     labels = flagship(spark, base).select("molregno", "pIC", "split")
     structs = fx.compound_struct(spark, base).join(labels.select("molregno"), "molregno", "left_semi")
-    return S.map_structures(structs, S.token_graph_kernel), labels
+    return S.token_graphs(structs), labels
 
 
 _TOKENS = "string_split_regex(trim(canonical_smiles), '\\s+')"
@@ -54,7 +54,7 @@ SELECT molregno, node_features,
 
 @register("structure_graphs", STRUCTURE_GRAPHS_SQL)
 def q_structure_graphs(spark, base):
-    return S.map_structures(fx.compound_struct(spark, base), S.token_graph_kernel)
+    return S.token_graphs(fx.compound_struct(spark, base))
 
 
 _BLANK = "coalesce(trim(canonical_smiles), '') = ''"
@@ -69,7 +69,7 @@ SELECT molregno,
   CASE WHEN {_BLANK} THEN 'SMILES is empty.' WHEN {_BAD} THEN 'unsupported characters' END AS issue
 FROM compound_struct""")
 def q_validate_structures(spark, base):
-    return S.validate_structures(fx.compound_struct(spark, base))
+    return S.validate_tokens(fx.compound_struct(spark, base))
 
 
 @register("fingerprint_baseline")
@@ -78,8 +78,8 @@ def q_fingerprint_baseline(spark, base):
     nodes, edges = S.graph_tables(graphs, "molregno", TOKEN_FEATURES)
     fp = G.densify_bits(G.circular_fingerprint(nodes, edges, TOKEN_FEATURES, radius=2, n_bits=2048),
                         "bits", 2048, "fingerprint")
-    data = checkpointed(Mo.to_vector(fp.withColumnRenamed("gid", "molregno").join(labels, "molregno"),
-                                     "fingerprint", "features").select("molregno", "pIC", "split", "features"))
+    data = stored(Mo.to_vector(fp.withColumnRenamed("gid", "molregno").join(labels, "molregno"),
+                                     "fingerprint", "features").select("molregno", "pIC", "split", "features"), "features")
     model = Mo.fit_baseline(data.where(F.col("split") == "train"), "features", "pIC", regParam=0.1)
     return Mo.predict_table(data.where(F.col("split") == "val"), model).select(
         "molregno", "pIC", F.col("prediction").alias("predicted_pIC"))
@@ -90,9 +90,9 @@ def q_robust_pooled_regression(spark, base):
     graphs, labels = _structure_graphs(spark, base)
     nodes, edges = S.graph_tables(graphs, "molregno", TOKEN_FEATURES)
     h = G.propagate(nodes, edges, TOKEN_FEATURES, k=2, activation="silu", residual=True)
-    pooled = G.mean_pool(G.node_vectors(h, TOKEN_FEATURES, "x"), "x")
-    data = checkpointed(Mo.to_vector(pooled.withColumnRenamed("gid", "molregno").join(labels, "molregno"),
-                                     "pooled", "features").select("molregno", "pIC", "split", "features"))
+    pooled = G.mean_pool_columns(h, TOKEN_FEATURES)
+    data = stored(Mo.to_vector(pooled.withColumnRenamed("gid", "molregno").join(labels, "molregno"),
+                                     "pooled", "features").select("molregno", "pIC", "split", "features"), "features")
     model = Mo.fit_robust(data.where(F.col("split") == "train"), "features", "pIC")
     return Mo.predict_table(data.where(F.col("split") == "val"), model).select(
         "molregno", "pIC", F.col("prediction").alias("predicted_pIC"))

@@ -12,6 +12,7 @@ from assaykit.operators import metrics as M
 from assaykit.operators import runs as R
 from assaykit.plans.catalog import register
 from assaykit.plans.queries_core import _CLEAN_ACTIVITY_SQL, _bucket_sql
+from assaykit.session import shared_path
 from assaykit.sources import fixtures as fx
 from assaykit.sources.tables import read_table
 
@@ -163,12 +164,17 @@ UNION ALL SELECT 3, 'complete_nm_positive', count(*) FROM activity
   WHERE standard_type IN ({_TYPES_SQL}) AND potential_duplicate = 0 AND standard_type = 'IC50'
     AND standard_relation = '=' AND {_CLEAN_ACTIVITY_SQL} AND standard_units = 'nM' AND standard_value > 0""")
 def q_cleaning_report(spark, base):
-    raw = fx.activity(spark, base)
-    s1 = C.filter_activity(raw)
-    s2 = C.filter_exact_labels(s1)
-    s3 = C.preprocess_activity(s2)
-    return D.cleaning_report({"raw": raw, "type_and_duplicate": s1, "exact_ic50": s2,
-                              "complete_nm_positive": s3})
+    complete = F.lit(True)
+    for c in C.ACTIVITY_COLUMNS:
+        complete = complete & F.col(c).isNotNull()
+    for c in ("standard_value", "pchembl_value", "value"):
+        complete = complete & ~F.isnan(c)
+    return D.filter_report(fx.activity(spark, base), {
+        "raw": F.lit(True),
+        "type_and_duplicate": F.col("standard_type").isin(*C.STANDARD_TYPES) & (F.col("potential_duplicate") == 0),
+        "exact_ic50": (F.col("standard_type") == C.GRAPH_STANDARD_TYPE)
+        & (F.col("standard_relation") == C.GRAPH_STANDARD_RELATION),
+        "complete_nm_positive": complete & (F.col("standard_units") == "nM") & (F.col("standard_value") > 0)})
 
 
 # --- regression metrics (P15, A9-A14) -------------------------------------------------------------
@@ -343,7 +349,12 @@ def q_seeded_shuffle(spark, base):
     return B.seeded_shuffle(ev, "event_id", seed=7)
 
 
-@register("assign_shards")
+@register("assign_shards", """
+SELECT event_id, CAST(event_id % 8 % 3 AS INTEGER) AS worker FROM events""")
 def q_assign_shards(spark, base):
-    ev = read_table(spark, base, "events").select("event_id", "user_id")
-    return B.assign_shards(ev, 4).select("event_id", "worker")
+    """Eight files, in the order of their names, dealt to three workers."""
+    path = shared_path(spark, "shards")
+    ev = read_table(spark, base, "events").select("event_id", (F.col("event_id") % 8).alias("part"))
+    ev.repartition(8, "part").write.partitionBy("part").parquet(path)
+    files = spark.read.schema("event_id long, part long").parquet(path)
+    return B.assign_shards(files, 3).select("event_id", "worker")

@@ -37,7 +37,7 @@ def q_recent_transcript_3(spark, base):
 
 
 _RESOLVE_SQL = f"""
-st AS (SELECT *, {_strip_sql('input_text')} AS s FROM inputs),
+st AS (SELECT *, coalesce({_strip_sql('input_text')}, '') AS s FROM inputs),
 lad AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN canonical IS NOT NULL THEN 'valid'
           WHEN repair_error IS NOT NULL THEN 'repair_failed' WHEN fixed IS NULL THEN 'no_fix'
           WHEN canonical_fixed IS NULL THEN 'invalid_fix' ELSE 'repaired' END AS status FROM st),
@@ -77,14 +77,51 @@ SELECT r.doc_id, concat_ws(chr(10),
   '- Prediction model checkpoint: {T.DEFAULT_MODEL_PATH}',
   '',
   'Recent chat history:',
-  CASE WHEN t.transcript IS NULL OR t.transcript = '' THEN '{T.NO_HISTORY}' ELSE t.transcript END) AS prompt
+  CASE WHEN t.transcript IS NULL OR t.transcript = '' THEN '{T.NO_HISTORY}' ELSE t.transcript END,
+  '',
+  'User question:',
+  'Why ' || r.status || '?') AS prompt
 FROM res r LEFT JOIN tr t ON t.conv_id = r.doc_id
 WHERE r.prediction_smiles IS NOT NULL""")
 def q_render_context(spark, base):
     res = T.resolve_inputs(fx.inputs(spark, base)).where(F.col("prediction_smiles").isNotNull())
     tr = T.recent_transcript(fx.messages(spark, base), 8)
     j = res.join(tr, res.doc_id == tr.conv_id, "left")
-    return T.render_context(j).select("doc_id", "prompt")
+    asked = j.withColumn("question", F.concat(F.lit("Why "), F.col("status"), F.lit("?")))
+    return T.render_context(asked, question="question").select("doc_id", "prompt")
+
+
+# A predictor that SQL can express: structures that end in an odd digit or in "e" can't be scored.
+_FAILS = "[13579e]$"
+_MESSAGE = "no score for "
+
+
+def _score(df, structure, out, failure):
+    s = F.col(structure)
+    bad = s.rlike(_FAILS)
+    return df.withColumns({out: F.when(s.isNotNull() & ~bad, F.length(s) + F.lit(0.5)),
+                           failure: F.when(s.isNotNull() & bad, F.concat(F.lit(_MESSAGE), s))})
+
+
+@register("predict_with_retry", f"""
+WITH {_RESOLVE_SQL.strip()},
+j AS (SELECT res.*, i.canonical_fixed, i.repair_error, i.repair_explanation,
+       regexp_matches(coalesce(prediction_smiles, ''), '{_FAILS}') AS failed
+     FROM res JOIN inputs i USING (doc_id)),
+a AS (SELECT *, failed AND NOT was_fixed AND repair_error IS NULL AND canonical_fixed IS NOT NULL AS again FROM j),
+b AS (SELECT *, again AND regexp_matches(canonical_fixed, '{_FAILS}') AS failed_again FROM a)
+SELECT doc_id, CASE WHEN again THEN canonical_fixed ELSE prediction_smiles END AS prediction_smiles,
+  CASE WHEN again THEN CASE WHEN NOT failed_again THEN length(canonical_fixed) + 0.5::DOUBLE END
+       WHEN prediction_smiles IS NOT NULL AND NOT failed THEN length(prediction_smiles) + 0.5::DOUBLE END AS prediction,
+  again OR was_fixed AS was_fixed,
+  CASE WHEN again THEN repair_explanation ELSE resolved_explanation END AS resolved_explanation,
+  CASE WHEN again THEN CASE WHEN failed_again THEN '{T.ERR_AFTER_REPAIR}{_MESSAGE}' || canonical_fixed END
+       WHEN failed THEN '{T.ERR_AFTER_VALIDATION}{_MESSAGE}' || prediction_smiles
+       WHEN prediction_smiles IS NULL THEN error END AS error
+FROM b""")
+def q_predict_with_retry(spark, base):
+    return T.predict_with_retry(T.resolve_inputs(fx.inputs(spark, base)), _score).select(
+        "doc_id", "prediction_smiles", "prediction", "was_fixed", "resolved_explanation", "error")
 
 
 @register("clean_text_key", f"""

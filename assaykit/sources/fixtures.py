@@ -36,8 +36,10 @@ def activity(spark: SparkSession, base: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("double"))
         .otherwise(9 - F.log10(price)).alias("pchembl_value"),
         _case_flag(F.col("l_returnflag")).alias("type"),
-        F.when(supp4 == 0, price / 1000).when(supp4 == 1, price / 1000)
-        .when(supp4 == 2, price).otherwise(price * 1000).alias("value"),
+        # One row in 97 holds a value that doesn't agree with its standard value.
+        (F.when(supp4 == 0, price / 1000).when(supp4 == 1, price / 1000)
+         .when(supp4 == 2, price).otherwise(price * 1000)
+         * F.when(F.col("l_orderkey") % 97 == 0, 1.25).otherwise(1.0)).alias("value"),
         F.when(supp4 == 0, " µM ").when(supp4 == 1, "umol/L")
         .when(supp4 == 2, "10^-9M").otherwise("pM").alias("units"),
         F.when(F.col("l_tax") > 0.075, 1).otherwise(0).cast("bigint").alias("potential_duplicate"),
@@ -79,10 +81,11 @@ def target_dictionary(spark: SparkSession, base: str) -> DataFrame:
 
 
 def target_components(spark: SparkSession, base: str) -> DataFrame:
-    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
-    s = read_table(spark, base, "supplier").select("s_suppkey", "s_nationkey")
-    return c.join(s, c.c_nationkey == s.s_nationkey).select(
-        F.col("c_custkey").alias("tid"), F.col("s_suppkey").alias("component_id"))
+    """One to four components for each target: linear in the customers. Keys of suppliers count from 0."""
+    c = read_table(spark, base, "customer").select("c_custkey")
+    n = read_table(spark, base, "supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
+    picks = c.select(F.col("c_custkey").alias("tid"), F.explode(F.sequence(F.lit(0), F.col("c_custkey") % 4)).alias("j"))
+    return picks.select("tid", ((F.col("tid") * (F.col("j") * 7 + 3) + F.col("j")) % n).alias("component_id")).distinct()
 
 
 def component_sequences(spark: SparkSession, base: str) -> DataFrame:
@@ -179,6 +182,7 @@ def inputs(spark: SparkSession, base: str) -> DataFrame:
     canonical: null when doc_id % 3 = 0 (input did not parse), else the source tag;
     fixed: repair proposal, null when doc_id % 9 = 0; canonical_fixed: null when
     doc_id % 6 = 0, else lang; repair_error: set when the document is labelled toxic.
+    Some texts are NULL or blank, some numbers lie halfway between two roundings.
     """
     d = read_table(spark, base, "documents").select("doc_id", "text", "lang", "source")
     lab = read_table(spark, base, "labels").select("doc_id", "toxic")
@@ -186,13 +190,16 @@ def inputs(spark: SparkSession, base: str) -> DataFrame:
     k = F.col("doc_id")
     return j.select(
         "doc_id",
-        F.col("text").alias("input_text"),
+        F.when(k % 17 == 0, F.lit(None).cast("string")).when(k % 19 == 0, F.lit(" \t"))
+        .otherwise(F.col("text")).alias("input_text"),
         F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("source")).alias("canonical"),
         F.when(k % 9 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.col("lang"), F.lit(":"), F.col("source"))).alias("fixed"),
         F.when(k % 6 == 0, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("canonical_fixed"),
         F.when(F.col("toxic") == 1, F.lit("repair service unavailable")).alias("repair_error"),
         F.concat(F.lit("proposal from "), F.col("source")).alias("repair_explanation"),
-        ((F.length("text") % 100).cast("double") / 100).alias("repair_confidence"),
-        (F.lit(4.0) + (F.length("text") % 600).cast("double") / 100).alias("prediction"),
+        F.when(k % 5 == 0, 0.125).when(k % 5 == 1, 1.005)
+        .otherwise((F.length("text") % 100).cast("double") / 100).alias("repair_confidence"),
+        F.when(k % 7 == 1, 6.03125).otherwise(
+            F.lit(4.0) + (F.length("text") % 600).cast("double") / 100).alias("prediction"),
     )

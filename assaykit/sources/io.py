@@ -85,8 +85,13 @@ def read_source(spark: SparkSession, kind: str, path: str | None = None,
 
 
 def append_metrics(df: DataFrame, path: str, run: str = "run_id") -> None:
-    """Append finite metric rows (run_id, name, value, step) partitioned by run."""
-    (df.where(is_finite("value")).write.mode("append").partitionBy(run).parquet(path))
+    """Append finite metric rows (run_id, name, value, step) partitioned by run.
+
+    Rows are dealt by run first, so a run's rows make few files; the hint lets
+    AQE split a run that holds a large share of them.
+    """
+    rows = df.where(is_finite("value")).hint("rebalance", F.col(run))
+    rows.write.mode("append").partitionBy(run).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
@@ -99,22 +104,3 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     if options:
         w = w.options(**options)
     w.parquet(path)
-
-
-def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Cut lineage by writing ``df`` under the session's shared checkpoint folder and reading it back.
-
-    Used between long iterative stages; survives executor loss because the
-    data lives in shared storage, not on executors.
-    """
-    from assaykit.session import checkpoint_dir
-
-    spark = spark or df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def with_row_source(df: DataFrame, out: str = "source_file") -> DataFrame:
-    """Tag rows with the file they were read from."""
-    return df.withColumn(out, F.col("_metadata.file_path"))

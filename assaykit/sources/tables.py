@@ -6,7 +6,6 @@ prunes the read schema and pushes filters into the scan.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,35 +17,44 @@ TABLES = (
 ).split()
 
 
-def table_path(base: str, name: str) -> str:
-    """``{base}/{name}.parquet`` when that file exists, else the dataset dir ``{base}/{name}``."""
+def _status(spark: SparkSession, path: str):
+    """Hadoop's file status of a path in any file system, None where there is nothing."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(jpath) if fs.exists(jpath) else None
+
+
+def table_path(spark: SparkSession, base: str, name: str) -> str:
+    """``{base}/{name}.parquet`` when that exists, else the dataset dir ``{base}/{name}``."""
     single = f"{base.rstrip('/')}/{name}.parquet"
-    if "://" in base or os.path.exists(single):
-        return single
-    return f"{base.rstrip('/')}/{name}"
+    return single if _status(spark, single) is not None else f"{base.rstrip('/')}/{name}"
+
+
+def _holds_parquet(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(jpath, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
 
 
 # Schemas already read from a footer, keyed by (path, modification time): later reads of
 # an unchanged table pass the schema and skip the footer-reading job.
-_SCHEMAS: dict[tuple[str, float], StructType] = {}
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Read one table; fails fast when the location holds no Parquet."""
-    path = table_path(base, name)
-    local = "://" not in path
-    if local and os.path.isdir(path):
-        has_parquet = any(
-            f.endswith(".parquet") for _, _, files in os.walk(path) for f in files
-        )
-        if not has_parquet:
-            raise FileNotFoundError(f"No parquet files found in {path}")
-    key = (path, os.path.getmtime(path)) if local and os.path.exists(path) else None
-    if key is not None and key in _SCHEMAS:
+    """Read one table; fails fast when the location holds no Parquet (S12), in any file system."""
+    path = table_path(spark, base, name)
+    status = _status(spark, path)
+    if status is None or (status.isDirectory() and not _holds_parquet(spark, path)):
+        raise FileNotFoundError(f"No parquet files found in {path}")
+    key = (path, status.getModificationTime())
+    if key in _SCHEMAS:
         return spark.read.schema(_SCHEMAS[key]).parquet(path)
     df = spark.read.parquet(path)
-    if key is not None:
-        _SCHEMAS[key] = df.schema
+    _SCHEMAS[key] = df.schema
     return df
 
 

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from assaykit.operators import cleaning as C
@@ -58,5 +59,19 @@ def test_enforce_schema_try_cast(spark):
 
     df = spark.createDataFrame([("1", "2.5"), ("x", "abc")], "a string, b string")
     schema = StructType([StructField("b", DoubleType()), StructField("a", LongType())])
-    rows = C.enforce_schema(df, schema).collect()
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        C.enforce_schema(df, schema).collect()
+    rows = C.enforce_schema(df, schema, safe=True).collect()
     assert rows[0] == (2.5, 1) and rows[1] == (None, None)
+
+
+def test_value_mismatches(spark):
+    df = spark.createDataFrame([(1, 1.0, 1.0, "nM"), (2, 1.0, 2.0, "nM"), (3, 1.0, 3.0, "M"), (4, None, 1.0, "nM")],
+                               "id long, a double, b double, u string")
+    assert [r.id for r in C.value_mismatches(df, "a", "b", 0.5).collect()] == [2, 3]
+    assert [r.id for r in C.value_mismatches(df, "a", "b", 0.5, "u", "nM").collect()] == [2]
+
+
+def test_huge_exponent_is_unknown(spark):
+    df = spark.createDataFrame([(1.0, "10^99999999999M"), (2.0, "10^-9M")], "value double, units string")
+    assert [r.value_nM for r in C.to_nanomolar(df).collect()] == [None, 2.0]

@@ -107,11 +107,36 @@ def test_mean_pool_and_width(graph):
 
 def test_token_kernel_and_tables(spark):
     df = spark.createDataFrame([(1, "red big ring"), (2, ""), (3, None), (4, "solo")], "molregno long, canonical_smiles string")
-    g = {r.molregno: r for r in S.map_structures(df, S.token_graph_kernel).collect()}
+    g = {r.molregno: r for r in S.token_graphs(df).collect()}
     assert set(g) == {1, 4}
     assert g[1].edge_index == [[0, 1, 1, 2], [1, 0, 2, 1]] and len(g[1].node_features) == 3
     assert g[4].edge_index == [[], []]
-    nodes, edges = S.graph_tables(S.map_structures(df, S.token_graph_kernel), feature_names=["a", "b", "c", "d", "e", "f"])
+    nodes, edges = S.graph_tables(S.token_graphs(df), feature_names=["a", "b", "c", "d", "e", "f"])
     assert nodes.count() == 4 and sorted(tuple(r) for r in edges.collect()) == [(1, 0, 1), (1, 1, 2)]
-    v = {r.molregno: r for r in S.validate_structures(df).collect()}
+    v = {r.molregno: r for r in S.validate_tokens(df).collect()}
     assert v[1].is_valid and v[1].canonical == "red big ring" and not v[2].is_valid and v[2].issue
+
+
+def test_fingerprint_tells_null_places_and_small_differences_apart(spark):
+    e = spark.createDataFrame([], "gid long, src int, dst int")
+    n = spark.createDataFrame([(1, 0, None, 5.0), (2, 0, 5.0, None), (3, 0, 0.12341, 1.0), (4, 0, 0.12342, 1.0)],
+                              "gid long, nid int, f0 double, f1 double")
+    bits = {r.gid: r.bits for r in G.circular_fingerprint(n, e, ("f0", "f1"), radius=0, n_bits=1 << 30).collect()}
+    assert len({tuple(b) for b in bits.values()}) == 4
+    rounded = {r.gid: r.bits for r in G.circular_fingerprint(n, e, ("f0", "f1"), radius=0, n_bits=1 << 30, decimals=4).collect()}
+    assert rounded[3] == rounded[4] and rounded[1] != rounded[2]
+
+
+def test_densify_bits(spark):
+    df = spark.createDataFrame([([0, 3, 7],), ([],), ([7],), ([5, 2, 2, 9],), (list(range(8)),)], "bits array<int>")
+    got = [r.fingerprint for r in G.densify_bits(df, n_bits=8).collect()]
+    assert got == [[1, 0, 0, 1, 0, 0, 0, 1], [0] * 8, [0] * 7 + [1], [0, 0, 1, 0, 0, 1, 0, 0], [1] * 8]
+
+
+def test_propagate_with_weights(spark):
+    n = spark.createDataFrame([(1, 0, 1.0, 2.0), (1, 1, 3.0, 4.0)], "gid long, nid int, f0 double, f1 double")
+    e = spark.createDataFrame([(1, 0, 1)], "gid long, src int, dst int")
+    swap = ([[0.0, 1.0], [1.0, 0.0]], [10.0, 0.0])
+    got = {r.nid: (r.f0, r.f1) for r in G.propagate(n, e, ("f0", "f1"), k=1, weights=[swap]).collect()}
+    # two nodes, both of degree 2 with their self-loop: each gets the mean of the dense layer's values
+    assert got[0] == pytest.approx((13.0, 2.0)) and got[1] == pytest.approx((13.0, 2.0))

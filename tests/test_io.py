@@ -63,8 +63,32 @@ def test_write_splits_layouts(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/s_train").count() == 40
 
 
-def test_materialize_cuts_lineage(spark):
-    df = spark.range(0, 10).withColumn("x", F.col("id") * 2)
-    m = io.materialize(df, "unit_test_table")
+def test_stored_cuts_lineage(spark):
+    from assaykit.session import stored
+
+    m = stored(spark.range(0, 10).withColumn("x", F.col("id") * 2), "unit")
     assert sorted(r.x for r in m.collect()) == list(range(0, 20, 2))
-    assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString() or m.count() == 10
+    assert "Range" not in m._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_read_table_fails_without_parquet(spark, tmp_dir):
+    import os
+
+    from assaykit.sources.tables import read_table
+
+    os.makedirs(f"{tmp_dir}/empty")
+    for base in (tmp_dir, f"file://{tmp_dir}"):
+        with pytest.raises(FileNotFoundError):
+            read_table(spark, base, "empty")
+        with pytest.raises(FileNotFoundError):
+            read_table(spark, base, "nothing")
+    spark.range(3).write.parquet(f"{tmp_dir}/full")
+    assert read_table(spark, f"file://{tmp_dir}", "full").count() == 3
+
+
+def test_checkpoint_dir_is_the_sessions(spark):
+    from assaykit.session import checkpoint_dir, shared_path
+
+    given = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    assert checkpoint_dir(spark) == (given or spark.sparkContext.getCheckpointDir())
+    assert shared_path(spark, "x").startswith(checkpoint_dir(spark).rstrip("/"))

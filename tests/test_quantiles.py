@@ -114,16 +114,39 @@ def test_prefix_aggregate_null_groups_single_block(spark):
                        ("a", 1): (2.0, 2.0), ("a", 2): (2.0, 2.0), ("a", 3): (1.0, 3.0)}
 
 
-def test_prefix_aggregate_reuses_index(spark):
-    from assaykit.operators.ranking import prefix_aggregate
-    from assaykit.session import checkpointed
+def test_prefix_aggregate_on_a_numbered_frame(spark):
+    from assaykit.operators.ranking import number_blocks, prefix_aggregate
+    from assaykit.session import stored
 
     df = spark.range(0, 500).select((F.col("id") % 4).alias("g"), F.col("id").alias("t"),
                                     (F.col("id") % 9).cast("double").alias("x"))
-    a = checkpointed(prefix_aggregate(df, ["g"], ["t"], {"s1": ("sum", F.col("x"))}, keep_index=True))
-    assert "_gi" in a.columns and "_blk" in a.columns
-    b = prefix_aggregate(a, ["g"], ["t"], {"s2": ("sum", F.col("s1"))})
+    n = number_blocks(df, ["g"], ["t"])
+    a = stored(prefix_aggregate(n, ["g"], ["t"], {"s1": ("sum", F.col("x"))}, numbered=True), "unit")
+    b = prefix_aggregate(a, ["g"], ["t"], {"s2": ("sum", F.col("s1"))}, numbered=True)
     direct = prefix_aggregate(prefix_aggregate(df, ["g"], ["t"], {"s1": ("sum", F.col("x"))}),
                               ["g"], ["t"], {"s2": ("sum", F.col("s1"))})
     assert sorted(tuple(r) for r in b.select("t", "s2").collect()) == \
         sorted(tuple(r) for r in direct.select("t", "s2").collect())
+
+
+def test_columns_of_the_same_name_are_not_taken_for_a_numbering(spark):
+    from assaykit.operators.ranking import prefix_aggregate
+
+    df = spark.range(0, 50).select((F.col("id") % 2).alias("g"), F.col("id").alias("t"), F.lit(1.0).alias("x"),
+                                   F.lit(0).alias("_gi_other"))
+    got = {r.t: r.s for r in prefix_aggregate(df, ["g"], ["t"], {"s": ("sum", F.col("x"))}).collect()}
+    assert got == {t: t // 2 + 1 for t in range(50)}
+
+
+def test_exact_quantiles_count_a_hot_value_once(spark):
+    from assaykit.operators.ranking import cumulative_counts
+
+    df = spark.range(0, 20_000).select(F.when(F.col("id") % 10 != 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    rows = cumulative_counts(df, "v").collect()
+    assert len(rows) == df.distinct().count()  # what the range shuffle deals: one row per value
+    assert max(r.n for r in rows) == 18_000 and max(r.n_before + r.n for r in rows) == 20_000
+    import numpy as np
+
+    values = [r.v for r in df.collect()]
+    got = Q.quantile_bounds(df, "v", (0.05, 0.25, 0.93), exact=True).first()
+    assert list(got) == pytest.approx(list(np.quantile(values, (0.05, 0.25, 0.93))))

@@ -59,14 +59,43 @@ def test_fixed_null(spark):
     assert [r.f for r in df.select(fixed("x", 2).alias("f")).collect()] == ["None", "1.00"]
 
 
-def test_predict_with_retry(spark):
-    df = spark.createDataFrame([(1, "CCO"), (2, None), (3, "XX")], "doc_id long, prediction_smiles string")
+def test_fixed_rounds_the_binary_value(spark):
+    df = spark.createDataFrame([(0.125, 6.03125), (1.005, 1.00005), (-0.375, 1234567.5), (2.675, float("nan"))],
+                               "a double, b double")
+    got = [tuple(r) for r in df.select(fixed("a", 2), fixed("b", 4)).collect()]
+    assert got == [(f"{a:.2f}", f"{b:.4f}") for a, b in ((0.125, 6.03125), (1.005, 1.00005), (-0.375, 1234567.5), (2.675, float("nan")))]
+
 
-    def predict(d):
-        return d.where(F.col("prediction_smiles") != "XX").withColumn("prediction", F.length("prediction_smiles").cast("double"))
+def test_null_input_is_blank(spark):
+    df = spark.createDataFrame([(1, None, "C"), (2, " ", "C")], "doc_id long, input_text string, canonical string")
+    for c in ("fixed", "canonical_fixed", "repair_error", "repair_explanation"):
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    rows = T.resolve_inputs(df.withColumn("repair_confidence", F.lit(0.5))).collect()
+    assert all((r.status, r.was_fixed, r.prediction_smiles, r.error) == ("blank", False, None, T.ERR_EMPTY) for r in rows)
 
-    def repair(d):
-        return d.withColumn("prediction_smiles", F.lit("CC"))
 
-    out = {r.doc_id: r.prediction for r in T.predict_with_retry(df, predict, "doc_id", repair).collect()}
-    assert out == {1: 3.0, 2: 2.0, 3: 2.0}
+def test_predict_with_retry(spark):
+    rows = [  # doc_id, prediction_smiles, was_fixed, error, canonical_fixed, repair_error
+        (1, "CCO", False, None, "CC", None),        # works
+        (2, None, False, "blank", "CC", None),      # the ladder ended with an error: stays
+        (3, "XX", False, None, "CC", None),         # fails, repaired, works
+        (4, "XX", True, None, "CC", None),          # was repaired before: no second repair
+        (5, "XX", False, None, "XX", None),         # fails again after the repair
+        (6, "XX", False, None, "CC", "down"),       # the repair failed
+        (7, "XX", False, None, None, None),         # no proposal
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, prediction_smiles string, was_fixed boolean, error string, "
+                                     "canonical_fixed string, repair_error string").withColumns({
+        "repair_explanation": F.lit("why"), "resolved_explanation": F.lit(None).cast("string")})
+
+    def predict(d, structure, out, failure):
+        return d.withColumns({out: F.when(F.col(structure) != "XX", F.length(structure).cast("double")),
+                              failure: F.when(F.col(structure) == "XX", F.lit("cannot"))})
+
+    got = {r.doc_id: (r.prediction_smiles, r.prediction, r.was_fixed, r.error, r.resolved_explanation)
+           for r in T.predict_with_retry(df, predict).collect()}
+    first, second = T.ERR_AFTER_VALIDATION + "cannot", T.ERR_AFTER_REPAIR + "cannot"
+    assert got == {1: ("CCO", 3.0, False, None, None), 2: (None, None, False, "blank", None),
+                   3: ("CC", 2.0, True, None, "why"), 4: ("XX", None, True, first, None),
+                   5: ("XX", None, True, second, "why"), 6: ("XX", None, False, first, None),
+                   7: ("XX", None, False, first, None)}
