@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from assaykit.session import ship_package
 
 #: Bytes of rows in one Arrow batch at most, so that very long texts don't fill a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

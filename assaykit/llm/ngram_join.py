@@ -46,7 +46,7 @@ SAMPLED = 2           # coordinates sampled at each step of a run
 DEPTH = 3             # splits on tokens at most
 BUCKET = 1024         # classes in a bucket, or a block, that is compared by brute force
 
-_TEXT_BYTES = 1 << 20  # texts hashed at a time
+_TEXT_BYTES = 1 << 18  # texts hashed at a time
 
 SET_FIELDS = T.StructType([
     T.StructField("fp", T.BinaryType()), T.StructField("n_grams", T.IntegerType()),
@@ -412,8 +412,9 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 def near_groups(docs: DataFrame, *, n: int = N_WORDS, threshold: float = THRESHOLD, target: float = TARGET_RECALL,
                 depth: int = DEPTH, sampled: int = SAMPLED, bucket: int = BUCKET, text: str = "text",
                 doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, body (hash of the text), class_id, n_links, n_grams.
+    """One row per document: doc_id, body (hash of the text), group_key, class_id, n_links, n_grams.
 
+    ``group_key`` tells groups apart whatever their ids are (null without words);
     ``class_id`` is the least doc_id of the documents that links connect;
     ``n_links`` counts the other documents whose similarity is at least ``threshold``.
     """
@@ -431,14 +432,15 @@ def near_groups(docs: DataFrame, *, n: int = N_WORDS, threshold: float = THRESHO
     roots = comps.unionByName(comps.select(F.col("root").alias("node"), "root").distinct())
     named = roots.join(classes.select(F.col("fp").alias("node"), "least"), "node")
     groups = named.join(named.groupBy("root").agg(F.min("least").alias("group")), "root").select(
-        F.col("node").alias("fp"), "group")
+        F.col("node").alias("fp"), "root", "group")
     info = classes.select("fp", "copies", "least").join(groups, "fp", "left").join(counts, "fp", "left").select(
-        "fp", F.coalesce("group", "least").alias("class_id"),
+        "fp", F.coalesce("root", "fp").alias("group_key"),
+        F.when(F.col("root").isNotNull(), F.col("group")).otherwise(F.col("least")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     with_words = known.select("doc_id", "body", "fp", "n_grams").join(info, "fp").select(
-        "doc_id", "body", "class_id", "n_links", "n_grams")
+        "doc_id", "body", "group_key", "class_id", "n_links", "n_grams")
     without_words = hashed.where("fp IS NULL").select(
-        "doc_id", "body", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
+        "doc_id", "body", F.col("fp").alias("group_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
     return with_words.unionByName(without_words)
 
 
@@ -450,7 +452,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **o
     groups = near_groups(docs, text=text, doc_id=doc_id, **options)
     p = free_prefix(docs, "near")
     worded = groups.where("n_grams > 0")
-    kept = worded.groupBy("class_id").agg(F.min(F.struct("doc_id", "body")).alias("k")).select(
+    kept = worded.groupBy("group_key").agg(F.min(F.struct("doc_id", "body")).alias("k")).select(
         F.col("k.doc_id").alias(p + "doc"), F.col("k.body").alias(p + "body"))
     rows = docs.withColumns({p + "own": F.xxhash64(col(text)),
                              p + "words": F.lower(F.coalesce(col(text), F.lit(""))).rlike(r"[0-9a-z\x{80}-\x{10FFFF}]")})
