@@ -23,6 +23,10 @@ _DEFAULTS = {
 }
 
 
+# Where a tool puts a list, `stored` adds the plan of each table it writes.
+STORED_PLANS: list[str] | None = None
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "assaykit") -> SparkSession:
     """Return the active session, or build one from the launcher's settings.
@@ -102,6 +106,8 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     Unlike an RDD checkpoint the copy is columnar, so later reads prune columns.
     """
     spark = df.sparkSession
+    if STORED_PLANS is not None:
+        STORED_PLANS.append(df._jdf.queryExecution().executedPlan().toString())
     path = shared_path(spark, name)
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)

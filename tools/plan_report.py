@@ -11,13 +11,14 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from assaykit import session  # noqa: E402
 from assaykit.session import get_spark  # noqa: E402
 
 # How the headline plans behave when the inputs are 100 TB instead of megabytes.
 SCALE_NOTES = {
     "training_set_labels": "Activity is scanned with pruned columns; the IQR bounds come from one "
-                           "scalar subquery (range-partitioned sort of one double column, checkpointed "
-                           "once). The assay join becomes a sort-merge join (AQE skew split on hot "
+                           "scalar subquery (values counted map-side, distinct ones range-partitioned, "
+                           "written once). The assay join becomes a sort-merge join (AQE skew split on hot "
                            "assays); the per-molecule aggregate keeps fixed-size partial sketches; "
                            "structures join one row per molecule.",
     "train_val_split": "Pure filters on an md5 bucket: no shuffle is added by the split itself.",
@@ -74,14 +75,15 @@ def summarize(plan: str) -> dict[str, object]:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from assaykit.plans import catalog
 
     spark = get_spark()
-    qs = entry.queries()
-    oracle = entry.oracle_sql()
+    catalog.load_all()
+    qs, oracle = catalog.QUERIES, catalog.ORACLE
     print("# PLANS\n")
-    print(f"Final adaptive physical plans of every registered query at `{sf_dir}`, summarised by "
-          "`tools/plan_report.py`. Counts include scalar subqueries. Small inputs make AQE choose "
+    print(f"Final adaptive physical plans of the registered queries at `{sf_dir}`, summarised by "
+          "`tools/plan_report.py`, together with the plans (before adaptive changes) of the tables that a "
+          "query writes to the shared folder on its way. Counts include scalar subqueries. Small inputs make AQE choose "
           "broadcast joins that become sort-merge joins at scale. Single-partition exchanges here "
           "only carry partial results of global aggregates (one row per partition) or the "
           "per-partition offset table of `global_index`, never data rows.\n")
@@ -90,9 +92,10 @@ def main() -> None:
     print("| query | oracle | " + " | ".join(cols) + " |")
     print("|---|---|" + "---|" * len(cols))
     for name, fn in qs.items():
+        session.STORED_PLANS = stored = []
         df = fn(spark, sf_dir)
         df.collect()
-        plan = final_only(df._jdf.queryExecution().executedPlan().toString())
+        plan = "\n".join([*stored, final_only(df._jdf.queryExecution().executedPlan().toString())])
         s = summarize(plan)
         print(f"| {name} | {'yes' if name in oracle else 'rows'} | " + " | ".join(str(s[c]) for c in cols) + " |")
     print("\n## At 100 TB\n")
