@@ -145,15 +145,16 @@ class Lattices:
         self.n = 0
 
     def _grow(self, nodes: int, width: int) -> None:
-        rows = max(len(self.shares), 2 * nodes) if nodes > len(self.shares) else len(self.shares)
+        rows = nodes + nodes // 2 if nodes > len(self.shares) else len(self.shares)
         if rows == len(self.shares) and width <= self.width:
             return
         width = max(width, self.width)
-        for name, fill in (("shares", 1), ("froms", 0), ("ids", 0)):
+        for name in ("shares", "froms", "ids"):
             old = getattr(self, name)
-            new = np.full((rows, width), fill, old.dtype)
+            new = np.empty((rows, width), old.dtype)  # rows that aren't filled yet take no memory
             new[:self.n, :self.width] = old[:self.n]
             setattr(self, name, new)
+        self.shares[:self.n, self.width:] = 1
         self.width = width
 
     def add(self, chunks: list[str]) -> None:
