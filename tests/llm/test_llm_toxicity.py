@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assaykit.llm import toxicity
 from assaykit.llm.common import table
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -16,9 +16,9 @@ def test_held_out_accuracy_and_edges(spark):
     chain = toxicity.fit_chain(docs, labels.where(~held).unionByName(odd), ["low_quality", "toxic"])
     rows = toxicity.predict(docs, chain).join(labels.where(held), "doc_id").collect()
     assert len(rows) > 100
-    assert sum(r.is_toxic == (r.toxic == 1) for r in rows) / len(rows) > 0.9
+    assert sum(r.is_toxic == (r.toxic == 1) for r in rows) / len(rows) > 0.94
     assert sum(r.is_toxic for r in rows if r.toxic == 0) <= 0.02 * len(rows)
-    assert sum(r.is_low_quality == (r.low_quality == 1) for r in rows) / len(rows) > 0.85
+    assert sum(r.is_low_quality == (r.low_quality == 1) for r in rows) / len(rows) > 0.75
 
     extra = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "trash " * 60_000, "c"), (2, "x", "d"), (2, "x", "d")],
                                   "doc_id long, text string, P_TOXIC string")
