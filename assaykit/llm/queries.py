@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, lang_id, ngram_join, pieces, secret_scan, token_counts, token_file, topk, toxicity
+from assaykit.llm import chat_format, decontaminate, filter_audit, importance, lang_id, ngram_join, pieces, secret_scan
+from assaykit.llm import token_counts, token_file, topk, toxicity
 from assaykit.llm.common import table
-from assaykit.session import shared_path
+from assaykit.session import shared_path, stored
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -114,3 +115,25 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-file")
     token_file.write_token_file(table(spark, sf_dir, "documents"), path, BYTE_BPE)
     return token_file.read_documents(spark, path)
+
+
+@register
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("_text")
+    failures = [filter_audit.too_short(text), filter_audit.too_repetitive(text),
+                filter_audit.too_many_capitals(text), filter_audit.has_signs(text)]
+    counts = filter_audit.count_masks(
+        table(spark, sf_dir, "documents"), failures, labels=table(spark, sf_dir, "labels"),
+        marks={"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    audit = filter_audit.with_shapley(filter_audit.coalitions(counts, 5, ["n", "good", "toxic"]))
+    orders = 120
+    return filter_audit.steps(audit, "ABCDE", ["good", "toxic"]).withColumn(
+        "shapley", F.expr(f"{orders} * shapley.num div shapley.den"))
+
+
+@register
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gain = importance.gains(importance.bucket_counts(docs), importance.bucket_counts(table(spark, sf_dir, "benchmark")))
+    weighted = stored(importance.with_weights(docs, gain).drop("text"), "weights")
+    return importance.draw(weighted).select("doc_id", "n_features", "weight", "score", "rank")
