@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import chat_format, decontaminate, filter_audit, importance, lang_id, ngram_join, pieces, secret_scan
-from assaykit.llm import token_counts, token_file, topk, toxicity
+from assaykit.llm import suffix_dedup, token_counts, token_file, topk, toxicity
 from assaykit.llm.common import table
 from assaykit.session import shared_path, stored
 
@@ -131,6 +131,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shapley", F.expr(f"{orders} * shapley.num div shapley.den"))
 
 
+@register
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
