@@ -1,7 +1,7 @@
-"""Registered rows-only queries: Arrow featurisation and Spark ML model jobs.
+"""Registered queries: token graphs, model fits and predictions.
 
-These have no SQL twin (per-row kernels, iterative model fitting); the
-driver checks their row counts and schemas, and the unit tests check values.
+Fits whose steps are aggregates have a SQL twin, unrolled step by step; the
+Spark ML fit has none, and the unit tests check its values.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import graphs as G
 from assaykit.operators import models as Mo
+from assaykit.operators import robust as Rb
 from assaykit.operators import splits as X
 from assaykit.operators import structures as S
 from assaykit.plans.catalog import register
-from assaykit.plans.queries_core import _bucket_sql, flagship
+from assaykit.plans.queries_core import FLAGSHIP_SQL, _bucket_sql, flagship
 from assaykit.session import stored
 from assaykit.sources import fixtures as fx
 
@@ -85,17 +86,114 @@ def q_fingerprint_baseline(spark, base):
         "molregno", "pIC", F.col("prediction").alias("predicted_pIC"))
 
 
-@register("robust_pooled_regression")
-def q_robust_pooled_regression(spark, base):
+# --- robust regression on pooled propagated features (M2) ------------------------------------
+
+_X = tuple(f"x{i}" for i in range(len(TOKEN_FEATURES)))
+
+
+def _pooled_sql() -> str:
+    """CTEs up to ``data``: pooled token features after two rounds of propagation, with label and split."""
+    def per_feature(text: str) -> str:
+        return ", ".join(text.format(c=c) for c in _X)
+
+    silu = "{c} / (1 + exp(-{c})) AS {c}"
+    return f"""
+sg AS MATERIALIZED ({STRUCTURE_GRAPHS_SQL}),
+n0 AS MATERIALIZED (SELECT molregno, i AS nid, n, {", ".join(f"CAST(f[{k + 1}] AS DOUBLE) AS x{k}" for k in range(len(_X)))}
+  FROM (SELECT molregno, unnest(node_features) AS f, generate_subscripts(node_features, 1) - 1 AS i,
+               len(node_features) AS n FROM sg) u),
+lk AS (SELECT molregno, n, nid AS src, unnest([nid - 1, nid, nid + 1]) AS dst FROM n0),
+lw AS MATERIALIZED (SELECT molregno, src, dst, 1.0 / sqrt(ds * dd) AS w FROM (
+  SELECT *, CAST(1 + CASE WHEN src > 0 THEN 1 ELSE 0 END + CASE WHEN src < n - 1 THEN 1 ELSE 0 END AS DOUBLE) AS ds,
+         CAST(1 + CASE WHEN dst > 0 THEN 1 ELSE 0 END + CASE WHEN dst < n - 1 THEN 1 ELSE 0 END AS DOUBLE) AS dd
+  FROM lk WHERE dst BETWEEN 0 AND n - 1) z),
+r1 AS (SELECT lw.molregno, lw.dst AS nid, {per_feature("sum(h.{c} * lw.w) AS {c}")}
+  FROM lw JOIN n0 h ON h.molregno = lw.molregno AND h.nid = lw.src GROUP BY lw.molregno, lw.dst),
+h1 AS MATERIALIZED (SELECT molregno, nid, {per_feature(silu)} FROM r1),
+r2 AS (SELECT lw.molregno, lw.dst AS nid, {per_feature("sum(h.{c} * lw.w) AS {c}")}
+  FROM lw JOIN h1 h ON h.molregno = lw.molregno AND h.nid = lw.src GROUP BY lw.molregno, lw.dst),
+h2 AS (SELECT r2.molregno, r2.nid, {per_feature("h1.{c} + r2.{c} / (1 + exp(-r2.{c})) AS {c}")}
+  FROM r2 JOIN h1 USING (molregno, nid)),
+pool AS (SELECT molregno, {per_feature("avg({c}) AS {c}")} FROM h2 GROUP BY molregno),
+lab AS MATERIALIZED ({FLAGSHIP_SQL.strip()}),
+data AS MATERIALIZED (SELECT lab.molregno, lab.pIC AS y, split, {_bucket_sql("lab.molregno", 43)} < {int(round(0.2 * 4294967296))} AS valid,
+  {", ".join(_X)} FROM pool JOIN lab USING (molregno))"""
+
+
+def huber_sql(rows: str, columns: tuple[str, ...], delta: float, regs: tuple[float, ...], steps: int) -> str:
+    """CTEs b0..b{steps} (reg, c0.., loss_train, loss_valid): reweighted least squares on ``rows`` (y, valid, columns)."""
+    x = [*(f"t.{c}" for c in columns), "1.0::DOUBLE"]
+    width = len(x)
+    error = "(t.y - (" + " + ".join(f"b.c{i} * {c}" for i, c in enumerate(x)) + "))"
+    huber = f"CASE WHEN abs(e) <= {delta} THEN 0.5 * e * e ELSE {delta} * (abs(e) - 0.5 * {delta}) END"
+    parts = [f"b0 AS (SELECT CAST(unnest([{', '.join(map(str, regs))}]) AS DOUBLE) AS reg, "
+             + ", ".join(f"0.0::DOUBLE AS c{i}" for i in range(width)) + ")"]
+    for k in range(1, steps + 1):
+        weight = "1.0::DOUBLE" if k == 1 else f"{delta} / greatest(abs(e), {delta})"
+        named = ", ".join(f"{c} AS z{i}" for i, c in enumerate(x))
+        ridge = lambda i, j: f" + b_reg * count(*)" if i == j < width - 1 else ""
+        sums = [f"sum(w * z{i} * z{j}){ridge(i, j)} AS a{i}_{j}" for i in range(width) for j in range(width)]
+        sums += [f"sum(w * z{i} * y) AS a{i}_{width}" for i in range(width)]
+        parts.append(f"e{k}_0 AS MATERIALIZED (SELECT b_reg AS reg, {', '.join(sums)} FROM (SELECT *, {weight} AS w FROM ("
+                     f"SELECT b.reg AS b_reg, t.y, {named}, {error} AS e FROM {rows} t, b{k - 1} b WHERE NOT t.valid) q) v GROUP BY b_reg)")
+        for p in range(width):
+            cells = [f"a{p}_{j} / a{p}_{p} AS a{p}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}"
+                     for i in range(width) for j in range(width + 1)]
+            parts.append(f"e{k}_{p + 1} AS MATERIALIZED (SELECT reg, {', '.join(cells)} FROM e{k}_{p})")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT reg, " + ", ".join(f"a{i}_{width} AS c{i}" for i in range(width)) + f" FROM e{k}_{width})")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT reg, avg(h) FILTER (NOT valid) AS train_loss, avg(h) FILTER (valid) AS valid_loss "
+                     f"FROM (SELECT reg, valid, {huber} AS h FROM (SELECT b.reg, t.valid, {error} AS e FROM {rows} t, b{k} b) q) v GROUP BY reg)")
+    return ",\n".join(parts)
+
+
+_ROBUST_CTES = (f"WITH {_pooled_sql().strip()},\nfit AS (SELECT * FROM data WHERE split = 'train'),\n"
+                + huber_sql("fit", _X, Rb.HUBER_DELTA, Rb.REG_PARAMS, Rb.STEPS))
+
+
+def _robust_model(spark, base):
     graphs, labels = _structure_graphs(spark, base)
     nodes, edges = S.graph_tables(graphs, "molregno", TOKEN_FEATURES)
     h = G.propagate(nodes, edges, TOKEN_FEATURES, k=2, activation="silu", residual=True)
     pooled = G.mean_pool_columns(h, TOKEN_FEATURES)
-    data = stored(Mo.to_vector(pooled.withColumnRenamed("gid", "molregno").join(labels, "molregno"),
-                                     "pooled", "features").select("molregno", "pIC", "split", "features"), "features")
-    model = Mo.fit_robust(data.where(F.col("split") == "train"), "features", "pIC")
-    return Mo.predict_table(data.where(F.col("split") == "val"), model).select(
-        "molregno", "pIC", F.col("prediction").alias("predicted_pIC"))
+    data = stored(pooled.withColumnRenamed("gid", "molregno").join(labels, "molregno").select(
+        "molregno", "pIC", "split", F.col("pooled").alias("features")), "features")
+    valid = X.in_sample("molregno", 0.2, 43)
+    return data, Rb.fit_huber(data.where(F.col("split") == "train"), "features", "pIC", valid=valid)
+
+
+@register("robust_pooled_regression", f"""
+{_ROBUST_CTES},
+best AS (SELECT b.* FROM b{Rb.STEPS} b JOIN l{Rb.STEPS} l USING (reg) ORDER BY valid_loss, reg LIMIT 1)
+SELECT t.molregno, t.y AS pIC,
+  round(c{len(_X)} + {" + ".join(f"c{i} * {c}" for i, c in enumerate(_X))}, 6) AS predicted_pIC
+FROM data t, best WHERE split = 'val'""")
+def q_robust_pooled_regression(spark, base):
+    data, model = _robust_model(spark, base)
+    return data.where(F.col("split") == "val").select(
+        "molregno", "pIC", F.round(model.predict("features"), 6).alias("predicted_pIC"))
+
+
+@register("robust_regression_path", f"""
+{_ROBUST_CTES}
+""" + " UNION ALL ".join(f"SELECT reg, {k} AS step, round(train_loss, 8) AS train_loss, round(valid_loss, 8) AS valid_loss FROM l{k}"
+                         for k in range(1, Rb.STEPS + 1)))
+def q_robust_regression_path(spark, base):
+    """Training and validation loss of every regularisation after each step."""
+    _, model = _robust_model(spark, base)
+    rows = spark.createDataFrame(list(model.trace), "reg double, step int, train_loss double, valid_loss double")
+    return rows.withColumns({c: F.round(c, 8) for c in ("train_loss", "valid_loss")})
+
+
+@register("robust_coefficients", f"""
+{_ROBUST_CTES}
+SELECT reg, unnest(range({len(_X) + 1})) AS position, unnest([{", ".join(f"round(c{i}, 6) + 0.0" for i in range(len(_X) + 1))}]) AS coefficient
+FROM b{Rb.STEPS}""")
+def q_robust_coefficients(spark, base):
+    """The coefficients of every regularisation, the intercept last."""
+    _, model = _robust_model(spark, base)
+    rows = [(reg, i, c) for reg, cs in model.path.items() for i, c in enumerate(cs)]
+    return spark.createDataFrame(rows, "reg double, position long, coefficient double").withColumn(
+        "coefficient", F.round("coefficient", 6) + F.lit(0.0))
 
 
 def _values_sql(rows) -> str:
