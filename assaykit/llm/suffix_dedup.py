@@ -12,8 +12,11 @@ compared byte by byte.
 An anchor whose classes hold more than ``BUCKET`` bytes is dealt again by the
 anchors of longer strings inside the windows, up to whole windows, whose runs
 are one class. So nothing is capped, and no key needs more than that in one
-task: classes and anchors are counted per salt first, and their rows are met
-by salt.
+task. Runs are shuffled once, by anchor; those of the few anchors that hold
+more than 1 / ``SPREAD`` of all runs are counted first and met by salt.
+
+Texts stay in ``df``, which is read three times (give a stored table); a row
+is known by two 64-bit hashes of its columns.
 
 Defined results: a null text is an empty one; texts shorter than a window lose
 nothing; a repeated row is a repeated text, so both lose all windows; matches
@@ -29,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +49,15 @@ TOGETHER = 3 << 20
 SLICE = 1 << 18
 #: Windows in a run at most.
 RUN = 512
-#: Tasks that the rows of one class or anchor are spread over.
+#: An anchor is a hot one if it has more than this share, and this number, of all runs. So hot ones are SPREAD at most.
+SPREAD, LEAST_HOT = 20_000, 1000
+#: Tasks that the runs of one class of a hot anchor are spread over.
 SALTS = 32
 
-RUNS = "_rid long, start int, n int, anchor long, digest binary, weight int, twice boolean"
-SEGMENTS = "_rid long, start int, n int, anchor long, size long, copies boolean, bytes binary"
-SPANS = "_rid long, start int, end int"
+ROW = ["_r0", "_r1"]
+RUNS = "_r0 long, _r1 long, start int, n int, anchor long, d0 long, d1 long, weight int, twice boolean"
+SEGMENTS = "_r0 long, _r1 long, start int, n int, anchor long, size long, copies boolean, bytes binary"
+SPANS = "_r0 long, _r1 long, start int, end int"
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 FIELDS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
                       + [T.StructField("removed", T.ArrayType(SPAN)), T.StructField("kept", T.BinaryType())])
@@ -121,72 +127,97 @@ def anchor_runs(data: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndar
         yield starts + at, sizes, anchors[starts].view(np.int64), place[starts] != place[starts + sizes - 1]
 
 
-def run_rows(texts: Iterator[tuple[int, int, int, bytes]], length: int, k: int) -> pa.RecordBatch:
-    """Rows of RUNS for (row id, place of the bytes in its text, weight, bytes)."""
-    cols: list[list] = [[] for _ in range(7)]
-    for rid, base, weight, raw in texts:
-        for starts, sizes, anchors, twice in anchor_runs(np.frombuffer(raw, np.uint8), length, k):
-            s, n = starts.tolist(), sizes.tolist()
-            cols[0] += [rid] * len(s)
-            cols[1] += (starts + base).tolist()
-            cols[2] += n
-            cols[3] += anchors.tolist()
-            cols[4] += [blake2b(raw[a:a + m + length - 1], digest_size=16).digest() for a, m in zip(s, n)]
-            cols[5] += [weight] * len(s)
-            cols[6] += twice.tolist()
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                      names=["_rid", "start", "n", "anchor", "digest", "weight", "twice"])
-
-
-def meet(df: DataFrame, key: str, totals: DataFrame) -> DataFrame:
-    """``df`` joined with ``totals`` (key, salts, ...), each salt of a key in its own place of the shuffle."""
-    return df.join(totals.withColumn("_salt", F.explode("salts")).drop("salts"), [key, "_salt"])
-
-
-def classes_of(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes of equal runs with the least run of each and its weight in all, spans of the classes that repeat)."""
-    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)))
-    one = F.min(F.struct("_rid", "start", "n", "anchor", "twice"))
-    per = salted.groupBy("digest", "_salt").agg(F.sum("weight").alias("weight"), one.alias("one"))
-    classes = stored(per.groupBy("digest").agg(F.sum("weight").alias("weight"), F.min("one").alias("one"),
-                                               F.collect_set("_salt").alias("salts")), "classes")
-    again = classes.where("weight > 1").select("digest", "salts")
-    repeated = meet(salted.where("weight = 1"), "digest", again)
-    return classes, repeated
-
-
-def candidates(classes: DataFrame, length: int) -> DataFrame:
-    """The run of each class that can share windows with others of its anchor or in itself, with the bytes of all of these."""
-    rows = classes.select("one.*", (F.col("weight") > 1).alias("copies"), F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("_salt"))
-    per = rows.groupBy("anchor", "_salt").agg(
-        F.count(F.lit(1)).alias("m"), F.max("twice").alias("twice"), F.sum((~F.col("copies")).cast("long")).alias("single"),
-        F.sum((F.col("n") + length).cast("long")).alias("size"))
-    totals = per.groupBy("anchor").agg(F.sum("m").alias("m"), F.max("twice").alias("twice"), F.sum("single").alias("single"), F.sum("size").alias("size"),
-                                       F.collect_set("_salt").alias("salts"))
-    totals = totals.where("(m > 1 OR twice) AND single > 0").select("anchor", "size", "salts")
-    return meet(rows.drop("twice"), "anchor", totals).drop("_salt")
+def run_rows(texts: Iterator[tuple[int, int, int, int, bytes]], length: int, k: int) -> pa.RecordBatch:
+    """Rows of RUNS for (row hashes, place of the bytes in the row's text, weight, bytes)."""
+    whole: list[list] = [[] for _ in range(3)]
+    arrays: list[list] = [[] for _ in range(4)]
+    sizes, digests = [], []
+    for r0, r1, base, weight, raw in texts:
+        for starts, counts, anchors, twice in anchor_runs(np.frombuffer(raw, np.uint8), length, k):
+            sizes.append(len(starts))
+            for out, x in zip(whole, (r0, r1, weight)):
+                out.append(x)
+            for out, x in zip(arrays, (starts + base, counts, anchors, twice)):
+                out.append(x)
+            digests += [blake2b(raw[a:a + n + length - 1], digest_size=16).digest() for a, n in zip(starts.tolist(), counts.tolist())]
+    r0, r1, weight = (np.repeat(np.array(x, np.int64), sizes) for x in whole)
+    start, n, anchor, twice = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in arrays)
+    digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    columns = [r0, r1, start.astype(np.int32), n.astype(np.int32), anchor, digest[:, 0].copy(), digest[:, 1].copy(),
+               weight.astype(np.int32), twice.astype(bool)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
+                                      names=["_r0", "_r1", "start", "n", "anchor", "d0", "d1", "weight", "twice"])
+
+
+MARKED = ["_r0", "_r1", "start", "n", "anchor", "size", "copies", "repeated", "wanted"]
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    """MARKED from runs with all (weight of the class), one (whether the row stands for it), m, single, size, any_twice."""
+    can = F.col("one") & ((F.col("m") > 1) | F.col("any_twice")) & (F.col("single") > 0)
+    return df.withColumn("copies", F.col("all") > 1).withColumn("repeated", F.col("copies") & (F.col("weight") == 1)).withColumn(
+        "wanted", can).where("repeated OR wanted").select(*MARKED)
+
+
+def _anchor_totals(length: int) -> dict:
+    first = F.col("one")
+    return {"m": F.sum(first.cast("long")), "single": F.sum((first & (F.col("all") == 1)).cast("long")),
+            "size": F.sum(F.when(first, (F.col("n") + length).cast("long")).otherwise(0)), "any_twice": F.max("twice")}
+
+
+def marked_by_anchor(runs: DataFrame, length: int) -> DataFrame:
+    """Runs of classes that repeat, and one run of each class that can share windows: one shuffle, by anchor."""
+    alike = Window.partitionBy("anchor", "d0", "d1")
+    classed = runs.withColumn("all", F.sum("weight").over(alike)).withColumn(
+        "one", F.row_number().over(alike.orderBy(*ROW, "start")) == 1)
+    return _marked(classed.withColumns({c: x.over(Window.partitionBy("anchor")) for c, x in _anchor_totals(length).items()}))
+
+
+def marked_by_salt(runs: DataFrame, length: int) -> DataFrame:
+    """The same for hot anchors: classes are counted with partial sums, and each salt of a class meets its own rows."""
+    salted = runs.withColumn("_salt", F.pmod(F.xxhash64(*ROW, "start"), F.lit(SALTS)))
+    classes = stored(salted.groupBy("anchor", "d0", "d1").agg(
+        F.sum("weight").alias("all"), F.min(F.struct(*ROW, "start")).alias("least"), F.max("n").alias("n"),
+        F.max("twice").alias("twice"), F.collect_set("_salt").alias("salts")), "classes")
+    totals = classes.withColumn("one", F.lit(True)).groupBy("anchor").agg(
+        *[x.alias(c) for c, x in _anchor_totals(length).items()])
+    met = salted.join(classes.select("anchor", "d0", "d1", "all", "least", F.explode("salts").alias("_salt")),
+                      ["anchor", "d0", "d1", "_salt"])
+    met = met.withColumn("one", F.struct(*ROW, "start") == F.col("least"))
+    return _marked(met.join(F.broadcast(totals), "anchor"))  # one row a hot anchor
+
+
+def marked_runs(runs: DataFrame, length: int) -> DataFrame:
+    """MARKED rows of stored ``runs``: hot anchors by salt, all others by anchor."""
+    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    least = max(LEAST_HOT, runs.count() // SPREAD)
+    hot = [r.anchor for r in counts.where(F.col("n") > least).collect()]
+    if not hot:
+        return marked_by_anchor(runs, length)
+    few = F.broadcast(runs.sparkSession.createDataFrame([(a,) for a in hot], "anchor long"))
+    return marked_by_anchor(runs.join(few, "anchor", "left_anti"), length).unionByName(
+        marked_by_salt(runs.join(few, "anchor", "left_semi"), length))
 
 
 def fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of candidates, cut from the texts they are in."""
-    per_text = wanted.groupBy("_rid").agg(F.collect_list(F.struct("start", "n", "anchor", "size", "copies")).alias("_want"))
+    """The bytes of wanted runs, cut from the texts they are in."""
+    per_text = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "anchor", "size", "copies")).alias("_want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, raw, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for r0, r1, raw, want in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3).to_pylist()):
                 raw = raw.as_buffer()
                 for at in range(0, len(want), 4096):
                     part = want[at:at + 4096]
                     pieces = [raw[w["start"]:w["start"] + w["n"] + length - 1].to_pybytes() for w in part]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([rid] * len(part), pa.int64()), pa.array([w["start"] for w in part], pa.int32()),
-                         pa.array([w["n"] for w in part], pa.int32()), pa.array([w["anchor"] for w in part], pa.int64()),
-                         pa.array([w["size"] for w in part], pa.int64()), pa.array([w["copies"] for w in part], pa.bool_()),
-                         pa.array(pieces, pa.binary())],
-                        names=["_rid", "start", "n", "anchor", "size", "copies", "bytes"])
+                        [pa.array([r0] * len(part), pa.int64()), pa.array([r1] * len(part), pa.int64()),
+                         pa.array([w["start"] for w in part], pa.int32()), pa.array([w["n"] for w in part], pa.int32()),
+                         pa.array([w["anchor"] for w in part], pa.int64()), pa.array([w["size"] for w in part], pa.int64()),
+                         pa.array([w["copies"] for w in part], pa.bool_()), pa.array(pieces, pa.binary())],
+                        names=["_r0", "_r1", "start", "n", "anchor", "size", "copies", "bytes"])
 
-    return rows.join(per_text, "_rid").select("_rid", "_raw", "_want").mapInArrow(run, SEGMENTS)
+    return rows.join(per_text, ROW).select(*ROW, "_raw", "_want").mapInArrow(run, SEGMENTS)
 
 
 def equal_neighbours(order: np.ndarray, data: np.ndarray, valid: np.ndarray, lane: np.ndarray, length: int) -> np.ndarray:
@@ -213,10 +244,10 @@ def equal_neighbours(order: np.ndarray, data: np.ndarray, valid: np.ndarray, lan
 
 
 def match(buckets: list[list[tuple]], length: int) -> pa.RecordBatch:
-    """Spans of windows that other runs of the same anchor have too; ``buckets`` hold (row id, start, copies, bytes)."""
+    """Spans of windows that other runs of the same anchor have too; ``buckets`` hold (row hashes, start, copies, bytes)."""
     rows = [r for b in buckets for r in b]
-    data = np.frombuffer(b"\0".join(r[3] for r in rows) + b"\0", np.uint8)
-    sizes = np.array([len(r[3]) + 1 for r in rows])
+    data = np.frombuffer(b"\0".join(r[4] for r in rows) + b"\0", np.uint8)
+    sizes = np.array([len(r[4]) + 1 for r in rows])
     at = np.cumsum(sizes) - sizes
     first = np.cumsum([0] + [len(b) for b in buckets])[:-1]
     starts = at[first]
@@ -234,55 +265,58 @@ def match(buckets: list[list[tuple]], length: int) -> pa.RecordBatch:
     edges = np.flatnonzero(np.diff(found.astype(np.int8), prepend=0, append=0))
     begin, end = edges[::2], edges[1::2]
     row = np.searchsorted(at, begin, side="right") - 1
-    single = ~np.array([r[2] for r in rows], bool)[row]
+    single = ~np.array([r[3] for r in rows], bool)[row]
     begin, end, row = begin[single], end[single], row[single]
-    rid, start = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    r0, r1, start = (np.array([r[i] for r in rows], np.int64) for i in range(3))
     return pa.RecordBatch.from_arrays(
-        [pa.array(rid[row]), pa.array((start[row] + begin - at[row]).astype(np.int32)),
-         pa.array((start[row] + end - at[row] + length - 1).astype(np.int32))], names=["_rid", "start", "end"])
+        [pa.array(r0[row]), pa.array(r1[row]), pa.array((start[row] + begin - at[row]).astype(np.int32)),
+         pa.array((start[row] + end - at[row] + length - 1).astype(np.int32))], names=["_r0", "_r1", "start", "end"])
 
 
 def matched_spans(segments: DataFrame, length: int) -> DataFrame:
     """Suffix arrays of all runs of an anchor, many anchors of like size at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, held, anchor = [], 0, None
+        buckets, held, anchor, last = [], 0, None, None
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
-            for rid, start, a, size, copies, raw in zip(*cols):
+            for r0, r1, start, _, a, size, copies, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != anchor:
                     if buckets and held + size > TOGETHER:
                         yield match(buckets, length)
                         buckets, held = [], 0
                     buckets.append([])
-                    anchor, held = a, held + size
-                buckets[-1].append((rid, start, copies, raw))
+                    anchor, held, last = a, held + size, None
+                if last != (r0, r1, start):  # the same run of a repeated row is one
+                    buckets[-1].append((r0, r1, start, copies, raw))
+                last = (r0, r1, start)
         if buckets:
             yield match(buckets, length)
 
-    return segments.repartition("anchor").sortWithinPartitions("size", "anchor").mapInArrow(run, SPANS)
+    return segments.repartition("anchor").sortWithinPartitions("size", "anchor", *ROW, "start").mapInArrow(run, SPANS)
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
-    """Spans (_rid, start, end) of all repeated windows of ``rows`` (_rid, _raw); they may overlap and repeat."""
+    """Spans (_r0, _r1, start, end) of all repeated windows of ``rows`` (_r0, _r1, _raw); they may overlap and repeat."""
     levels = anchor_lengths(length)
 
     def runs_of(texts: DataFrame, k: int, deeper: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                c = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-                texts = zip(c[0], c[1], (2 if x else 1 for x in c[5]), c[6]) if deeper else ((r, 0, 1, x) for r, x in zip(*c))
-                yield run_rows(texts, length, k)
+                if deeper:
+                    c = [batch.column(i).to_pylist() for i in (0, 1, 2, 6, 7)]
+                    yield run_rows(((a, b, s, 2 if x else 1, raw) for a, b, s, x, raw in zip(*c)), length, k)
+                else:
+                    yield run_rows(((a, b, 0, 1, raw) for a, b, raw in zip(*(c.to_pylist() for c in batch.columns))), length, k)
 
         return stored(texts.mapInArrow(run, RUNS), "runs")
 
-    runs = runs_of(rows.select("_rid", "_raw"), levels[0], False)
+    runs = runs_of(rows.where(F.length("_raw") >= length).select(*ROW, "_raw"), levels[0], False)
     spans = []
     for level, k in enumerate(levels):
-        classes, repeated = classes_of(runs)
-        spans.append(repeated.select("_rid", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end")))
-        wanted = stored(candidates(classes, length), "candidates")
+        marked = stored(marked_runs(runs, length), "marked")
+        spans.append(marked.where("repeated").select(*ROW, "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end")))
         last = level + 1 == len(levels)
         fits = F.lit(True) if last else F.col("size") <= BUCKET
+        wanted = marked.where("wanted")
         spans.append(matched_spans(fetch(rows, wanted.where(fits), length), length))
         hot = wanted.where(~fits)
         if last or hot.isEmpty():
@@ -314,10 +348,12 @@ def remove_repeats(df: DataFrame, *, text: str = "text", length: int = LENGTH) -
     small_batches(df.sparkSession)
     rest = without(df, [n for n in FIELDS.fieldNames() if n != text])
     own = free_prefix(rest, "kept")
-    rows = stored(rest.select(*[col(c).alias(own + c) for c in rest.columns], F.monotonically_increasing_id().alias("_rid")), "texts")
-    rows = rows.withColumn("_raw", F.coalesce(col(own + text), F.lit("")).cast("binary"))
-    spans = repeated_spans(rows.select("_rid", "_raw"), length)
-    joined = rows.join(spans.groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "_rid", "left")
+    known = [col(f.name) for f in rest.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rows = rest.select(*[col(c).alias(own + c) for c in rest.columns], F.xxhash64(F.lit(0), *known).alias("_r0"),
+                       F.xxhash64(F.lit(1), *known).alias("_r1"), F.coalesce(col(text), F.lit("")).cast("binary").alias("_raw"))
+    spans = repeated_spans(rows.select(*ROW, "_raw"), length)
+    joined = rows.drop("_raw").join(spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("_spans")), ROW, "left")
+    joined = joined.withColumn("_raw", F.coalesce(col(own + text), F.lit("")).cast("binary"))
 
     def make():
         def work(batch: pa.RecordBatch) -> list:

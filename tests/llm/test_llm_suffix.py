@@ -69,11 +69,12 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("bucket, gather, slices", [(3 << 19, 3 << 20, 1 << 18), (1500, 4000, 64), (1, 1, 1 << 18)])
-def test_all_levels_and_cuts(spark, monkeypatch, bucket, gather, slices):
+@pytest.mark.parametrize("bucket, gather, slices, hot", [(3 << 19, 3 << 20, 1 << 18, 1000), (1500, 4000, 64, 5), (1, 1, 1 << 18, 0)])
+def test_all_levels_and_cuts(spark, monkeypatch, bucket, gather, slices, hot):
     monkeypatch.setattr(D, "BUCKET", bucket)
     monkeypatch.setattr(D, "TOGETHER", gather)
     monkeypatch.setattr(D, "SLICE", slices)
+    monkeypatch.setattr(D, "LEAST_HOT", hot)
     rows = list(enumerate(near_copies()))
     assert removed(spark.createDataFrame(rows, "doc_id long, text string"), 48) == brute(rows, 48)
 
@@ -82,9 +83,9 @@ def test_edge_rows(spark):
     long = "".join(chr(97 + x) for x in np.random.default_rng(1).integers(0, 26, 400_000).tolist())
     rows = [(1, None), (2, ""), (3, "short"), (None, "only once " * 3), (5, "y" * 399), (6, long), (7, "z" + long[1000:1500] + "z"),
             (8, "same row " * 50), (8, "same row " * 50), (9, "q" * 100_000)]
-    df = spark.createDataFrame([(*r, 1, "a", 0) for r in rows], "doc_id long, text string, _rid int, Kept string, n_spans int")
+    df = spark.createDataFrame([(*r, 1, "a", 0) for r in rows], "doc_id long, text string, _r0 int, Kept string, n_spans int")
     out = D.remove_repeats(df)
-    assert out.columns == ["doc_id", "text", "_rid", *D.FIELDS.fieldNames()]
+    assert out.columns == ["doc_id", "text", "_r0", *D.FIELDS.fieldNames()]
     got = {(r.doc_id, r.n_bytes): (r.n_removed, [tuple(s) for s in r.removed]) for r in out.collect()}
     assert out.count() == 10
     assert got[6, 400_000] == (500, [(1000, 1500)]) and got[7, 502] == (500, [(1, 501)])
