@@ -11,10 +11,16 @@ is "regressions since the last improvement", so the whole rule is a few
 prefix aggregates. The default runs them as distributed segmented scans
 (``ranking.prefix_aggregate``): a run with an enormous epoch list is spread
 over many tasks, at the price of a few extra passes on small inputs.
-``method="window"`` is the plain per-run window form. A positive
-``min_delta`` makes it a true recurrence, which only its own order can
-compute: rows are dealt by run, sorted, and folded as they stream by, with a
-state of four numbers.
+``method="window"`` is the plain per-run window form.
+
+With ``min_delta > 0`` an epoch's improvement depends on the best loss before
+it, but only strict running minima can be improvements. Over the minima of one
+block of a run, the best loss behind the block is a step function of the best
+loss before it, which the block computes alone; before a block the best loss
+lies within ``min_delta`` above the running minimum, so only the steps of that
+range are passed on. These are folded in order, which gives each block its
+entry, and the blocks then mark their improvements side by side. The counters
+are the same scans as before.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.operators.ranking import number_blocks, prefix_aggregate
-from assaykit.session import stored
+from assaykit.session import ship_package, stored
 
 PATIENCE = 2
 MIN_DELTA = 0.0
@@ -46,11 +54,13 @@ def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch",
     ``min_delta == 0``: ``method="scan"`` (default) runs the running minimum
     and counters as distributed prefix scans (``ranking.prefix_aggregate``),
     so a run with a very long epoch list is spread over many tasks;
-    ``method="window"`` uses plain per-run windows. ``min_delta > 0`` folds
-    each run's epochs in order.
+    ``method="window"`` uses plain per-run windows. ``min_delta > 0`` is a
+    scan of step functions (see above).
     """
-    if min_delta != 0:
-        return _early_stopping_fold(df, run, epoch, loss, patience, min_delta)
+    if min_delta < 0:
+        raise ValueError("min_delta must not be negative")
+    if min_delta > 0:
+        return _early_stopping_steps(df, run, epoch, loss, patience, min_delta)
     if method == "scan":
         return _early_stopping_scan(df, run, epoch, loss, patience)
     order = Window.partitionBy(run).orderBy(epoch)
@@ -86,6 +96,12 @@ def _early_stopping_scan(df, run, epoch, loss, patience):
     a = stored(a.withColumn("_prev", prev)
                .withColumn("improved", valid & (lc < F.col("_prev")))
                .withColumn("_reg", (valid & (lc > F.col("_prev"))).cast("bigint")), "scan")
+    return _counted(a, run, epoch, loss, patience)
+
+
+def _counted(a, run, epoch, loss, patience):
+    """The trace from a stored, numbered frame with improved, _reg (0/1) and _prev (best loss before)."""
+    lc = F.col(loss)
     b = stored(prefix_aggregate(a, [run], [epoch], {
         "_r": ("sum", F.col("_reg")),
         "best_epoch": ("max", F.when(F.col("improved"), F.col(epoch))),
@@ -95,47 +111,90 @@ def _early_stopping_scan(df, run, epoch, loss, patience):
     t = (c.withColumn("counter", (F.col("_r") - F.coalesce(F.col("_rk"), F.lit(0))).cast("int"))
          .withColumn("best_loss", F.when(F.col("improved"), lc).otherwise(F.col("_prev")))
          .withColumn("stop", F.col("counter") >= patience))
-    first = t.groupBy(run).agg(F.min(F.when(F.col("stop"), F.col(epoch))).alias("_first_stop"))
-    return (t.join(first, run)
+    first = t.groupBy(F.col(run).alias("_run")).agg(F.min(F.when(F.col("stop"), F.col(epoch))).alias("_first_stop"))
+    return (t.join(first, F.col(run).eqNullSafe(F.col("_run")))
             .where(F.col("_first_stop").isNull() | (F.col(epoch) <= F.col("_first_stop")))
             .select(run, epoch, loss, "improved", "best_loss", F.col("best_epoch").cast(
-                dict(df.dtypes)[epoch]).alias("best_epoch"), "counter", "stop"))
+                dict(a.dtypes)[epoch]).alias("best_epoch"), "counter", "stop"))
 
 
-def _early_stopping_fold(df, run, epoch, loss, patience, min_delta):
-    """The recurrence itself, over the epochs of a run as they come by: its state is four numbers a run."""
-    small = df.select(run, F.col(epoch).cast("long").alias("e"), F.col(loss).cast("double").alias("l"))
-    schema = T.StructType([
-        small.schema[run], T.StructField(epoch, T.LongType()), T.StructField(loss, T.DoubleType()),
-        T.StructField("improved", T.BooleanType()), T.StructField("best_loss", T.DoubleType()),
-        T.StructField("best_epoch", T.LongType()), T.StructField("counter", T.IntegerType()),
-        T.StructField("stop", T.BooleanType())])
+def _next_below(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of the first of the falling values ``v`` that is below each ``x``."""
+    return np.searchsorted(-v, -x, side="right")
+
+
+def _early_stopping_steps(df, run, epoch, loss, patience, min_delta):
+    """min_delta > 0: strict minima as step functions by block, folded, then the same scans as for 0."""
+    ship_package(df.sparkSession)
+    lc, infinite = F.col(loss), F.lit(float("inf"))
+    valid = lc.isNotNull() & ~F.isnan(lc)
+    base = number_blocks(df.select(run, epoch, lc.cast("double").alias(loss)), [run], [epoch])
+    low = stored(prefix_aggregate(base, [run], [epoch], {"_low": ("min", _finite(lc))}, inclusive=False, numbered=True)
+                 .withColumn("_low", F.coalesce("_low", infinite)), "scan")
+    minima = low.where(valid & (lc < F.col("_low"))).select(run, "_blk", "_gi", lc.alias("_v"), "_low")
+    key = minima.schema[run]
+    block = minima.schema["_blk"]
+
+    def steps(piece: pd.DataFrame) -> pd.DataFrame:
+        """(a best loss whose tolerance is passed by _below ends at _exit), for the bests that can come in."""
+        piece = piece.sort_values("_gi")
+        v, low = piece["_v"].to_numpy(), piece["_low"].iat[0]
+        after, last = _next_below(v, v - min_delta), np.arange(len(v))
+        for i in range(len(v) - 1, -1, -1):
+            if after[i] < len(v):
+                last[i] = last[after[i]]
+        n = min(len(v), int((v >= low - min_delta).sum()) + 1)
+        ends = np.append(last[:n][1:] != last[:n][:-1], True)  # of the steps to one exit the lowest says all
+        at = np.flatnonzero(ends)
+        return pd.DataFrame({run: piece[run].iloc[:1].repeat(len(at)).to_numpy(), "_blk": piece["_blk"].iat[0],
+                             "_below": v[at], "_exit": v[last[at]]})
+
+    step_schema = T.StructType([key, block, T.StructField("_below", T.DoubleType()), T.StructField("_exit", T.DoubleType())])
+    tables = minima.groupBy(run, "_blk").applyInPandas(steps, step_schema)
 
     def fold(batches):
-        now, best, best_at, counter, done = (object(),), math.inf, None, 0, False
+        """The best loss before each block, from the steps in order; the state is two numbers."""
+        now, best, moved = None, math.inf, False
         for batch in batches:
-            rows = []
-            for r, e, x in zip(*(c.to_pylist() for c in batch.columns)):
-                if (r,) != now:
-                    now, best, best_at, counter, done = (r,), math.inf, None, 0, False
-                if done:
-                    continue
-                valid = x is not None and not math.isnan(x)
-                improved = valid and x < best - min_delta
-                if improved:
-                    best, best_at, counter = x, e, 0
-                elif valid and x > best + min_delta:
-                    counter += 1
-                done = counter >= patience
-                rows.append((r, e, x, improved, best, best_at, counter, done))
-            if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            out = []
+            for r, b, below, exit_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or (r, b) != now:
+                    if now is None or r != now[0]:
+                        best = math.inf
+                    now, moved = (r, b), False
+                    out.append((r, b, best))
+                if not moved and below < best - min_delta:
+                    best, moved = exit_, True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
-    return small.repartition(run).sortWithinPartitions(run, "e").mapInArrow(fold, schema)
+    entry_schema = T.StructType([key, block, T.StructField("_entry", T.DoubleType())])
+    arrow = to_arrow_schema(entry_schema)
+    entries = tables.repartition(run).sortWithinPartitions(run, "_blk", F.col("_below").desc()).mapInArrow(fold, entry_schema)
+
+    def mark(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("_gi")
+        entry = piece["_entry"].max()
+        rows = piece[piece["_gi"].notna()]
+        v, hits = rows["_v"].to_numpy(), []
+        after = _next_below(v, v - min_delta)
+        i = int(_next_below(v, np.array([entry - min_delta]))[0])
+        while i < len(v):
+            hits.append(i)
+            i = int(after[i])
+        return pd.DataFrame({"_gi": rows["_gi"].to_numpy()[hits].astype("int64")})
+
+    both = minima.select(run, "_blk", "_gi", "_v", F.lit(None).cast("double").alias("_entry")).unionByName(
+        entries.select(run, "_blk", "_entry"), allowMissingColumns=True)
+    hits = both.groupBy(run, "_blk").applyInPandas(mark, "_gi long").withColumn("improved", F.lit(True))
+    marked = low.drop("_low").join(hits, "_gi", "left").withColumn("improved", F.coalesce("improved", F.lit(False)))
+    best = prefix_aggregate(stored(marked, "improved"), [run], [epoch],
+                            {"_prev": ("min", F.when(F.col("improved"), lc))}, inclusive=False, numbered=True)
+    a = best.withColumn("_prev", F.coalesce("_prev", infinite)).withColumn(
+        "_reg", (valid & ~F.col("improved") & (lc > F.col("_prev") + F.lit(min_delta))).cast("bigint"))
+    return _counted(stored(a, "scan"), run, epoch, loss, patience)
 
 
 def best_epoch(trace: DataFrame, run: str = "run_id", epoch: str = "epoch",

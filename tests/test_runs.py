@@ -46,16 +46,44 @@ def test_early_stopping_matches_fold(spark, d, method):
         assert got == brute_early_stop(losses, 2, d), (r, got)
 
 
-def test_window_and_fold_agree_at_zero_delta(spark):
+def test_all_forms_agree_at_zero_delta(spark):
     rng = np.random.default_rng(0)
     cases = [[float(v) for v in rng.integers(0, 6, 12)] for _ in range(20)]
     df = _frame(spark, cases)
     a = sorted(tuple(r) for r in R.early_stopping(df, min_delta=0.0).collect())
-    b = sorted(tuple(r) for r in R._early_stopping_fold(df, "run_id", "epoch", "valid_loss", 2, 0.0).collect())
+    b = sorted(tuple(r) for r in R._early_stopping_steps(df, "run_id", "epoch", "valid_loss", 2, 0.0).collect())
     c = sorted(tuple(r) for r in R.early_stopping(df, min_delta=0.0, method="window").collect())
     assert a == b == c
 
 
+@pytest.mark.parametrize("d", [0.3, 1.0, 2.5, 40.0])
+def test_positive_delta_over_many_blocks(spark, d):
+    """A run with most rows, losses that fall all along, in steps around delta, ties, NaN, nulls and infinities."""
+    rng = np.random.default_rng(int(d * 10))
+    slow = (np.arange(600, 0, -1) / 10).tolist()
+    noisy = (100 - np.arange(400) / 10 + rng.integers(-3, 1, 400) / 4).tolist()
+    odd = [float("inf"), None, float("nan"), 5.0, 5.0 - d, 5.0 - d - 1e-9, float("-inf"), 3.0, float("-inf"), 4.0]
+    cases = [slow, noisy, odd, [1.0], [float("nan")], [None, 2.0], *[(rng.integers(0, 40, 30) / 4).tolist() for _ in range(8)]]
+    for patience in (2, 10 ** 6):
+        out = R.early_stopping(_frame(spark, cases).repartition(5), patience=patience, min_delta=d).collect()
+        for r, losses in enumerate(cases):
+            got = sorted((x.epoch, x.improved, x.best_loss, x.best_epoch, x.counter, x.stop) for x in out if x.run_id == r)
+            assert got == brute_early_stop(losses, patience, d), (r, patience)
+
+
+def test_a_run_is_spread_over_tasks_at_positive_delta(spark):
+    """All losses of one run: only its strict minima within delta of a block's start reach one task."""
+    rows = [("only", e, 1000.0 - e) for e in range(4000)] + [(None, e, float(e)) for e in range(5)]
+    df = spark.createDataFrame(rows, "run_id string, epoch int, valid_loss double")
+    out = R.early_stopping(df, patience=2, min_delta=2.5)
+    assert out.schema["epoch"].dataType.simpleString() == "int"
+    got = out.collect()
+    assert sum(r.improved for r in got if r.run_id) == 1334 and sum(1 for r in got if r.run_id is None) == 5
+    assert {r.best_epoch for r in got if r.run_id and r.epoch == 3999} == {3999}
+    with pytest.raises(ValueError, match="negative"):
+        R.early_stopping(df, min_delta=-1.0)
+
+
 def test_best_epoch(spark):
     trace = R.early_stopping(_frame(spark, CASES))
     got = {r.run_id: r for r in R.best_epoch(trace).collect()}
