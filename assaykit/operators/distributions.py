@@ -1,9 +1,10 @@
 """Counts, histograms and per-group distributions.
 
 Histogram ranges come from one aggregate (a scalar subquery for a single
-histogram, a small per-group table joined back for grouped ones), never from
-a window over a whole group, so the 'overall' group does not end up in one
-task. Bin counts use partial aggregation.
+histogram, a small per-group table for grouped ones), never from a window over
+a whole group, so the 'overall' group does not end up in one task. Grouped
+histograms and distributions count equal values first and read only counts
+from then on.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.operators.sketches import distinct_counts, distinct_sketch
+
 HIST_BINS = 100
 TOP_N = 6
 
@@ -52,22 +55,26 @@ def cleaning_report(stages: Mapping[str, DataFrame]) -> DataFrame:
 def profile_dataset(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: type, non-null count, null count, distinct count.
 
-    One scan. ``exact=False`` uses HyperLogLog++ (fixed memory per column);
-    ``exact=True`` counts distinct values exactly.
+    One scan. ``exact=False`` uses an HLL sketch (fixed memory per column, and
+    exact for few values); ``exact=True`` counts the distinct values of each column on its own, so
+    that no row is multiplied by the number of columns: give a stored table.
+    ``operators.sketches`` keeps profiles per part of the input.
     """
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
-    for c in df.columns:
+    for field in df.schema.fields:
+        c = field.name
         aggs.append(F.count(F.col(c)).alias(f"nn_{c}"))
-        dc = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
-        aggs.append(dc.alias(f"nd_{c}"))
+        distinct = F.lit(None) if exact else F.hll_sketch_estimate(distinct_sketch(field))
+        aggs.append(distinct.cast("bigint").alias(f"nd_{c}"))
     wide = df.agg(*aggs)
     types = dict(df.dtypes)
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(types[c]).alias("data_type"),
                  F.col(f"nn_{c}").alias("non_null"), (F.col("_rows") - F.col(f"nn_{c}")).alias("nulls"),
-                 F.col(f"nd_{c}").cast("bigint").alias("distinct_values"))
+                 F.col(f"nd_{c}").alias("distinct_values"))
         for i, c in enumerate(df.columns)])
-    return wide.select(F.inline(rows))
+    out = wide.select(F.inline(rows))
+    return out if not exact else out.drop("distinct_values").join(distinct_counts(df, df.columns), "column").select(out.columns)
 
 
 def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -100,60 +107,74 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
             .where(rng["lo"].isNotNull()))
 
 
-def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HIST_BINS,
-                      materialize: bool = False, weight: str | None = None) -> DataFrame:
-    """Non-empty bins per group, each group over its own min..max.
+def _binned(counted: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """Non-empty bins per group from stored counts (by, x, _n), each group over its own min..max.
 
-    Ranges need a pass of their own before binning. ``materialize`` writes the
-    narrow (group, value) input once with a reliable checkpoint so the two
-    passes do not both recompute an expensive upstream plan (joins, fan-out).
-    ``weight`` names a row multiplicity column; counts are then its sum.
+    The ranges are one row a group, written, so that Spark knows their size
+    and sends them to the tasks only where they are small.
     """
     from assaykit.session import stored
 
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    vals = df.select(*by, F.col(col).cast("double").alias("x"), w.alias("_w")).where(_finite(F.col("x")))
-    if materialize:
-        vals = stored(vals, "values")
     rk = [f"_rk{i}" for i in range(len(by))]
-    ranges = vals.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
-        *[F.col(k).alias(r) for k, r in zip(by, rk)], "lo", "hi")
+    ranges = stored(counted.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
+        *[F.col(k).alias(r) for k, r in zip(by, rk)], "lo", "hi"), "ranges")
     # NULL keys are groups too, hence the null-safe equality.
-    joined = vals.join(ranges, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(by, rk)], "inner").drop(*rk)
+    joined = counted.join(ranges, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(by, rk)], "inner").drop(*rk)
     binned = joined.withColumn("bin", _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    return (binned.groupBy(*by, "bin", "lo", "hi").agg(F.sum("_w").alias("n"))
+    return (binned.groupBy(*by, "bin", "lo", "hi").agg(F.sum("_n").alias("n"))
             .select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), "n"))
 
 
+def grouped_histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = HIST_BINS, weight: str | None = None) -> DataFrame:
+    """Non-empty bins per group, each group over its own min..max.
+
+    Rows become counts per group and value first (map-side), written once;
+    ranges and bins both come from these. ``weight`` names a row multiplicity
+    column; counts are then its sum.
+    """
+    from assaykit.session import stored
+
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    vals = df.select(*by, F.col(col).cast("double").alias("x"), w.alias("_w")).where(_finite(F.col("x")))
+    return _binned(stored(vals.groupBy(*by, "x").agg(F.sum("_w").alias("_n")), "counts"), by, bins)
+
+
 def activity_distributions(df: DataFrame, value: str, dims: Sequence[str],
                            within: str = "standard_type", bins: int = HIST_BINS,
                            distinct_measurements: bool = False,
-                           id_col: str = "activity_id", materialize: bool = False,
-                           weight: str | None = None) -> DataFrame:
+                           id_col: str = "activity_id", weight: str | None = None) -> DataFrame:
     """Overall and per-dimension histograms in one scan.
 
-    Each row is expanded to one (dim, key) pair per grouping ('overall' plus
-    one per ``dims`` column), then binned per (within, dim, key) group. A NULL
-    key is a real group, told apart from the overall one by ``dim``.
+    Rows are counted per (within, dims, value) first; GROUPING SETS over these
+    counts give every (within, dim, key) group its values ('overall' plus one
+    grouping per ``dims`` column), from which ranges and bins come. A NULL key
+    is a real group, told apart from the overall one by ``dim``.
     ``distinct_measurements`` drops the join fan-out (one row per measurement
     and key) before counting. ``weight`` is a multiplicity column (see
     ``joins.annotate_target_types``): counts become its sum.
     """
+    from assaykit.session import stored
+
     if distinct_measurements and weight:
         raise ValueError("distinct_measurements counts each measurement once; drop the weight")
-    pairs = [F.struct(F.lit("overall").alias("dim"), F.lit(None).cast("string").alias("key"))]
-    pairs += [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key")) for d in dims]
-    cols = [within, value] + ([id_col] if distinct_measurements else []) + ([weight] if weight else [])
-    expanded = df.select(*cols, F.explode(F.array(*pairs)).alias("g")).select(
-        *cols, "g.dim", "g.key")
+    x, w = F.col(value).cast("double").alias("x"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w")
+    keys = [within, "x"]
+    # The value is part of the key: ids may repeat across measurements, and keeping an
+    # arbitrary one of them would make the counts depend on row order.
+    ids = [id_col] if distinct_measurements else []
+    rows = df.select(within, x, *dims, w, *ids).where(_finite(F.col("x")))
+    counted = rows.groupBy(*keys, *dims, *ids).agg(F.sum("_w").alias("_w"))
+    sets = counted.groupingSets([[*keys, *ids], *([*keys, d, *ids] for d in dims)], *keys, *dims, *ids).agg(
+        F.sum("_w").alias("_n"), *[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)])
+    dim, key = F.lit("overall"), F.lit(None).cast("string")
+    for i, d in enumerate(dims):
+        dim, key = F.when(F.col(f"_g{i}") == 0, F.lit(d)).otherwise(dim), F.when(F.col(f"_g{i}") == 0, F.col(d).cast("string")).otherwise(key)
+    groups = sets.select(within, dim.alias("dim"), key.alias("key"), "x", "_n")
     if distinct_measurements:
-        # The value is part of the key: ids may repeat across measurements, and keeping an
-        # arbitrary one of them would make the counts depend on row order.
-        expanded = expanded.dropDuplicates([within, id_col, value, "dim", "key"]).drop(id_col)
-    return grouped_histogram(expanded, value, [within, "dim", "key"], bins, materialize=materialize,
-                             weight=weight)
+        groups = groups.groupBy(within, "dim", "key", "x").agg(F.count(F.lit(1)).alias("_n"))
+    return _binned(stored(groups, "counts"), [within, "dim", "key"], bins)
 
 
 def top_groups(df: DataFrame, key: str, n: int = TOP_N, within: Sequence[str] = (),

@@ -5,8 +5,9 @@ Here the bounds are a one-row DataFrame and the fence reads them through a
 scalar subquery, so the whole job stays one lazy plan and no cross join is
 needed.
 
-* ``exact=False`` (default, for very large inputs): ``percentile_approx``;
-  its sketch has a fixed size per partition, merged map-side.
+* ``exact=False`` (default, for very large inputs): a KLL sketch, of a size
+  fixed by the rank error, merged from one sketch a task. Sketches of parts of
+  the input can be stored and merged later (``operators.sketches``).
 * ``exact=True``: linear-interpolated quantiles (SQL ``quantile_cont``) from
   counts per distinct value: the values are counted map-side, the distinct ones
   are range-partitioned and their counts summed up, and the values at the needed
@@ -16,22 +17,18 @@ needed.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators.ranking import cumulative_counts
+from assaykit.operators.sketches import quantile_row
 
 IQR_MULTIPLIER = 1.5
 QUANTILE_RELATIVE_ERROR = 0.001
 
 
-def _accuracy(relative_error: float) -> int:
-    return max(1, int(math.ceil(1.0 / relative_error)))
-
-
 def _qname(p: float) -> str:
     return "q" + f"{p:g}".replace("0.", "").replace(".", "_")
 
@@ -44,9 +41,7 @@ def quantile_bounds(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.7
     vals = df.select(F.col(col).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     if not exact:
-        acc = accuracy or _accuracy(QUANTILE_RELATIVE_ERROR)
-        q = F.percentile_approx("v", list(probs), acc)
-        return vals.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        return quantile_row(vals, "v", probs, 1.0 / accuracy if accuracy else QUANTILE_RELATIVE_ERROR, names)
 
     counted = cumulative_counts(vals, "v")
 

@@ -68,8 +68,10 @@ from assaykit.operators import distributions as D  # noqa: E402
 from assaykit.operators import joins as J  # noqa: E402
 from assaykit.operators import labels as L  # noqa: E402
 from assaykit.operators import quantiles as Q  # noqa: E402
+from assaykit.operators import sketches as Sk  # noqa: E402
 from assaykit.operators import splits as X  # noqa: E402
 from assaykit.plans.training import training_set  # noqa: E402
+from assaykit.session import shared_path, stored  # noqa: E402
 
 ACT_COLS_SQL = ("activity_id, assay_id, molregno, standard_type, standard_value, standard_units, "
                 "standard_relation, standard_flag, round(pchembl_value, 9) AS pchembl_value, type, value, "
@@ -146,13 +148,70 @@ _PROFILE_TYPES = [("activity_id", "bigint"), ("assay_id", "bigint"), ("molregno"
                   ("potential_duplicate", "bigint")]
 PROFILE_SQL = "\nUNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS data_type, count({c}) AS non_null, "
-    f"count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM activity"
+    f"count(*) - count({c}) AS nulls, {{distinct}} FROM activity"
     for i, (c, t) in enumerate(_PROFILE_TYPES))
 
 
-@register("profile_dataset", PROFILE_SQL)
+def _profile_sql(distinct: str) -> str:
+    rows = PROFILE_SQL.split("\nUNION ALL ")
+    return "\nUNION ALL ".join(r.format(distinct=distinct.format(c=c)) for r, (c, _) in zip(rows, _PROFILE_TYPES))
+
+
+@register("profile_dataset", _profile_sql("CAST(round(log2(count(DISTINCT {c}))) AS INTEGER) AS distinct_log2"))
 def q_profile_dataset(spark, base):
-    return D.profile_dataset(fx.activity(spark, base), exact=True)
+    """The default profile: distinct counts are estimates, so their order of magnitude is what an exact count must share."""
+    profile = D.profile_dataset(fx.activity(spark, base))
+    return profile.withColumn("distinct_log2", F.round(F.log2("distinct_values")).cast("int")).drop("distinct_values")
+
+
+@register("profile_dataset_exact", _profile_sql("count(DISTINCT {c}) AS distinct_values"))
+def q_profile_dataset_exact(spark, base):
+    return D.profile_dataset(stored(fx.activity(spark, base), "activity"), exact=True)
+
+
+DISTINCT_ERROR, RANK_ERROR = 0.05, 0.005
+SKETCHED = ("event_id", "user_id", "event_type", "value")
+_SKETCH_CHECK_SQL = "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT CAST(ts AS DATE)) AS n_days, count(*) AS n_rows, count({c}) AS non_null, "
+    f"true AS distinct_ok FROM events" for c in SKETCHED)
+
+
+def _daily_sketches(spark, base):
+    """Events and the sketches of their days, added in two runs: the second one reads only the later days."""
+    from assaykit.sources.tables import read_table
+
+    events = read_table(spark, base, "events")
+    day, path = F.to_date("ts"), shared_path(spark, "sketches")
+    middle = events.agg(F.percentile_approx(F.unix_date(day), 0.5)).first()[0]
+    first = Sk.add_parts(events.where(F.unix_date(day) <= middle), path, day, RANK_ERROR, SKETCHED) if middle is not None else []
+    later = Sk.add_parts(events, path, day, RANK_ERROR, SKETCHED)
+    if set(first) & set(later):
+        raise AssertionError("a stored day was summarised again")
+    return events, Sk.read_sketches(spark, path)
+
+
+@register("daily_profile", _SKETCH_CHECK_SQL)
+def q_daily_profile(spark, base):
+    """Profile of all events from the stored sketches of their days, its distinct counts held against exact ones."""
+    events, sketches = _daily_sketches(spark, base)
+    days = sketches.groupBy("column").agg(F.count(F.lit(1)).alias("n_days"))
+    exact = Sk.distinct_counts(events, SKETCHED).withColumnRenamed("distinct_values", "_exact")
+    close = F.abs(F.col("distinct_values") - F.col("_exact")) <= DISTINCT_ERROR * F.col("_exact")
+    return Sk.merged_profile(sketches).join(days, "column").join(exact, "column").select(
+        "column", "n_days", "n_rows", "non_null", close.alias("distinct_ok"))
+
+
+QUANTILE_PROBS = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@register("quantile_sketches", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {p}::DOUBLE AS p, count(*) FILTER ({c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))) AS n, true AS rank_ok FROM events"
+    for c in ("event_id", "user_id", "value") for p in QUANTILE_PROBS))
+def q_quantile_sketches(spark, base):
+    """Quantiles from the stored KLL sketches of all days, their ranks counted exactly."""
+    events, sketches = _daily_sketches(spark, base)
+    errors = Sk.rank_errors(events, Sk.merged_quantiles(sketches, QUANTILE_PROBS))
+    return errors.select("column", "p", "n", (F.col("error") <= RANK_ERROR).alias("rank_ok"))
 
 
 # --- filters (F1-F12) ---------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaykit.operators import distributions as D
@@ -51,3 +52,35 @@ def test_profile_dataset(spark):
     assert (rows["s"].non_null, rows["s"].nulls, rows["s"].distinct_values) == (2, 1, 2)
     approx = {r.column: r.distinct_values for r in D.profile_dataset(df).collect()}
     assert approx == {"i": 2, "s": 2}
+
+
+def test_distributions_against_counting_rows(spark):
+    """Weights, NULL keys and types, values that are no numbers, one group with most rows."""
+    rng = np.random.default_rng(2)
+    rows = [(["IC50", "Ki", None][min(2, i % 7 // 3)], [None, "rat", "man"][i % 3] if i % 5 else "man", int(i % 2) or None,
+             [None, float("nan"), float("inf")][i % 3] if i % 11 == 0 else float(rng.integers(0, 40)) / 4, int(i % 4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "t string, org string, kind int, x double, w int")
+    d = D.activity_distributions(df, "x", ["org", "kind"], within="t", bins=7, weight="w")
+    want, values = {}, {}
+    for t, org, kind, x, w in rows:
+        if x is not None and np.isfinite(x):
+            for g in ((t, "overall", None), (t, "org", org), (t, "kind", None if kind is None else str(kind))):
+                values.setdefault(g, []).append((x, w))
+    for g, xs in values.items():
+        lo, hi = min(x for x, _ in xs), max(x for x, _ in xs)
+        for x, w in xs:
+            b = min(int((x - lo) / ((hi - lo) / 7)), 6) if hi > lo else 0
+            want[(*g, b)] = want.get((*g, b), 0) + w
+    assert {(r.t, r.dim, r.key, r.bin): r.n for r in d.collect()} == want
+
+
+def test_distributions_read_counts_not_rows(spark, monkeypatch):
+    from assaykit import session
+
+    plans = []
+    monkeypatch.setattr(session, "STORED_PLANS", plans)
+    df = spark.range(1000).select(F.lit("a").alias("t"), (F.col("id") % 3).alias("k"), (F.col("id") % 10).cast("double").alias("x"))
+    out = D.activity_distributions(df, "x", ["k"], within="t", bins=5)
+    assert out.agg(F.sum("n")).first()[0] == 2000
+    assert plans and not any("Generate" in p for p in plans)
+    assert "Expand" in plans[0] and plans[0].index("Expand") < plans[0].rindex("HashAggregate")
