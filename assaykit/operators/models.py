@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,17 @@ def to_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, array_to_vector(F.transform(col, lambda x: x.cast("double"))))
 
 
+def sparse_bits(df: DataFrame, bits: str = "bits", n_bits: int = 2048, out: str = "features") -> DataFrame:
+    """List of set bits -> ML sparse vector of width ``n_bits`` (M1), without the dense 0/1 array.
+
+    Bits outside the width are left out; a NULL list is the empty vector.
+    """
+    names = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_bits)], "_names", out)
+    names.setBinary(True)
+    named = F.coalesce(F.transform(bits, lambda b: b.cast("string")), F.array().cast("array<string>"))
+    return names.transform(df.withColumn("_names", named)).drop("_names")
+
+
 def fit_baseline(train: DataFrame, features: str = "features", label: str = "pIC",
                  kind: str = "linear", **params) -> Model:
     """Baseline regressor on fingerprint vectors (M1): ``linear`` or ``gbt``."""
@@ -103,6 +115,18 @@ def fold_batch_norm(weights: np.ndarray, bias: np.ndarray, gamma: np.ndarray, be
     return np.asarray(weights) * scale, (np.asarray(bias) - np.asarray(mean)) * scale + np.asarray(beta)
 
 
+def apply_layers(x: np.ndarray, layers: Sequence[tuple[np.ndarray, np.ndarray]], activation: str) -> np.ndarray:
+    """Dense layers on the rows of a matrix; the activation ('silu', 'relu' or another name for none) between them."""
+    for i, (w, b) in enumerate(layers):
+        x = x @ w + b
+        if i < len(layers) - 1:
+            if activation == "silu":
+                x = x / (1.0 + np.exp(-x))
+            elif activation == "relu":
+                x = np.maximum(x, 0.0)
+    return x
+
+
 def dense_forward(df: DataFrame, col: str, layers: Sequence[tuple[np.ndarray, np.ndarray]],
                   activation: str = "silu", out: str = "output") -> DataFrame:
     """Apply dense layers x -> act(x W + b) ... to an array column, batch-wise.
@@ -116,23 +140,12 @@ def dense_forward(df: DataFrame, col: str, layers: Sequence[tuple[np.ndarray, np
     mats = [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
     width = mats[0][0].shape[0]
 
-    def act(x: np.ndarray) -> np.ndarray:
-        if activation == "silu":
-            return x / (1.0 + np.exp(-x))
-        if activation == "relu":
-            return np.maximum(x, 0.0)
-        return x
-
     @F.pandas_udf(ArrayType(DoubleType()))
     def forward(v: pd.Series) -> pd.Series:
         good = [a is not None and len(a) == width and not any(e is None for e in a) for a in v]
         result: list = [None] * len(v)
         if any(good):
-            x = np.stack([np.asarray(a, dtype=np.float64) for a, g in zip(v, good) if g])
-            for i, (w, b) in enumerate(mats):
-                x = x @ w + b
-                if i < len(mats) - 1:
-                    x = act(x)
+            x = apply_layers(np.stack([np.asarray(a, dtype=np.float64) for a, g in zip(v, good) if g]), mats, activation)
             for i, row in zip(np.flatnonzero(good), x):
                 result[i] = row
         return pd.Series(result, dtype=object)

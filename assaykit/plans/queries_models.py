@@ -10,13 +10,18 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from assaykit.operators import graphs as G
+from assaykit.operators import metrics as M
 from assaykit.operators import models as Mo
+from assaykit.operators import registry as Rg
 from assaykit.operators import robust as Rb
+from assaykit.operators import runs as R
 from assaykit.operators import splits as X
 from assaykit.operators import structures as S
 from assaykit.plans.catalog import register
 from assaykit.plans.queries_core import FLAGSHIP_SQL, _bucket_sql, flagship
-from assaykit.session import stored
+from assaykit.plans.queries_graph import _FP_SQL, FEATS, _fingerprint_nodes
+from assaykit.plans.queries_reports import _ES_SQL
+from assaykit.session import shared_path, stored
 from assaykit.sources import fixtures as fx
 
 def demo_layers(width: int = 64, hidden: int = 16, seed: int = 0):
@@ -77,11 +82,10 @@ def q_validate_structures(spark, base):
 def q_fingerprint_baseline(spark, base):
     graphs, labels = _structure_graphs(spark, base)
     nodes, edges = S.graph_tables(graphs, "molregno", TOKEN_FEATURES)
-    fp = G.densify_bits(G.circular_fingerprint(nodes, edges, TOKEN_FEATURES, radius=2, n_bits=2048),
-                        "bits", 2048, "fingerprint")
-    data = stored(Mo.to_vector(fp.withColumnRenamed("gid", "molregno").join(labels, "molregno"),
-                                     "fingerprint", "features").select("molregno", "pIC", "split", "features"), "features")
-    model = Mo.fit_baseline(data.where(F.col("split") == "train"), "features", "pIC", regParam=0.1)
+    bits = G.circular_fingerprint(nodes, edges, TOKEN_FEATURES, radius=2, n_bits=2048)
+    rows = bits.withColumnRenamed("gid", "molregno").join(labels, "molregno").select("molregno", "pIC", "split", "bits")
+    data = Mo.sparse_bits(stored(rows, "features"), "bits", 2048)
+    model = Mo.fit_baseline(data.where(F.col("split") == "train"), "features", "pIC", regParam=0.1, solver="l-bfgs", maxIter=50)
     return Mo.predict_table(data.where(F.col("split") == "val"), model).select(
         "molregno", "pIC", F.col("prediction").alias("predicted_pIC"))
 
@@ -196,6 +200,58 @@ def q_robust_coefficients(spark, base):
         "coefficient", F.round("coefficient", 6) + F.lit(0.0))
 
 
+# --- baseline on fingerprints, checked by its normal equations (M1) ---------------------------
+
+RIDGE_BITS, RIDGE_REG = 16, 0.1
+_BITS = tuple(f"x{i}" for i in range(RIDGE_BITS))
+_RIDGE_CTES = f"""
+WITH {_FP_SQL.strip()},
+folded AS (SELECT gid, list_transform(bits, lambda b: b % {RIDGE_BITS}) AS f FROM fp),
+data AS MATERIALIZED (SELECT gid, log10(o_totalprice) AS y, {_bucket_sql("gid", 43)} < {int(round(0.2 * 4294967296))} AS valid,
+  {", ".join(f"CASE WHEN list_contains(f, {i}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}" for i, c in enumerate(_BITS))}
+  FROM folded JOIN orders ON o_orderkey = gid),
+{huber_sql("data", _BITS, 1e9, (f"(SELECT {RIDGE_REG} / stddev_pop(y) FROM data WHERE NOT valid)",), 1)},
+said AS (SELECT valid, y, c{RIDGE_BITS} + {" + ".join(f"c{i} * {c}" for i, c in enumerate(_BITS))} AS p FROM data, b1)"""
+
+
+def _ridge(spark, base):
+    """Least squares with a ridge on folded fingerprints: (rows with features, model).
+
+    Spark divides the regularisation by the label's standard deviation; the SQL does so too.
+    """
+    from assaykit.sources.tables import read_table
+
+    bits = G.circular_fingerprint(_fingerprint_nodes(spark, base), fx.edges(spark, base), FEATS, n_bits=RIDGE_BITS, decimals=6)
+    price = read_table(spark, base, "orders").select(F.col("o_orderkey").alias("gid"), F.log10("o_totalprice").alias("label"))
+    rows = stored(bits.join(price, "gid").withColumn("valid", X.in_sample("gid", 0.2, 43)), "features")
+    data = Mo.sparse_bits(rows, "bits", RIDGE_BITS)
+    return data, Mo.fit_baseline(data.where(~F.col("valid")), "features", "label", regParam=RIDGE_REG, standardization=False,
+                                 solver="normal")
+
+
+@register("baseline_metrics", f"""
+{_RIDGE_CTES.strip()}
+SELECT valid, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
+  round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2
+FROM said GROUP BY valid""")
+def q_baseline_metrics(spark, base):
+    """MAE, RMSE and R2 of the baseline on its training and validation rows."""
+    data, model = _ridge(spark, base)
+    m = M.regression_metrics(Mo.predict_table(data, model), "prediction", "label", levels=("valid",))
+    return m.where("level = 1").select("valid", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+@register("baseline_coefficients", f"""
+{_RIDGE_CTES.strip()}
+SELECT unnest(range({RIDGE_BITS + 1})) AS position, unnest([{", ".join(f"round(c{i}, 6) + 0.0" for i in range(RIDGE_BITS + 1))}]) AS coefficient FROM b1""")
+def q_baseline_coefficients(spark, base):
+    """The fitted coefficients, the intercept last."""
+    _, model = _ridge(spark, base)
+    rows = [(i, float(c)) for i, c in enumerate([*model.coefficients, model.intercept])]
+    return spark.createDataFrame(rows, "position long, coefficient double").withColumn(
+        "coefficient", F.round("coefficient", 6) + F.lit(0.0))
+
+
 def _values_sql(rows) -> str:
     return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v!r}'::DOUBLE" for v in r) + ")"
                      for r in rows)
@@ -224,6 +280,59 @@ def q_dense_forward(spark, base):
     return out.select("vec_id", F.round(F.col("output")[0], 9).alias("score"))
 
 
+NORM_WIDTH = 16
+
+
+def demo_norm(width: int = NORM_WIDTH):
+    """(gamma, beta, mean, variance) of a normalisation behind the first demo layer."""
+    i = np.arange(width, dtype=float)
+    return 1.0 + i / 32, i / 64 - 0.1, i / 50 - 0.15, 0.5 + i / 16
+
+
+def _normalised_layers():
+    (w1, b1), second = demo_layers()
+    return [Mo.fold_batch_norm(w1, b1, *demo_norm()), second]
+
+
+def _predict_saved_sql() -> str:
+    gamma, beta, mean, variance = demo_norm()
+    rows = [(k, *(float(x[k]) for x in (gamma, beta, mean, variance))) for k in range(NORM_WIDTH)]
+    return _dense_forward_sql().replace(
+        "a AS (SELECT vec_id, k, z / (1 + exp(-z)) AS h FROM z)",
+        f"""bn(k, gamma, beta, mean, variance) AS (VALUES {_values_sql(rows)}),
+y AS (SELECT vec_id, z.k, (z - mean) / sqrt(variance + 1e-5) * gamma + beta AS z FROM z JOIN bn ON bn.k = z.k),
+a AS (SELECT vec_id, k, z / (1 + exp(-z)) AS h FROM y)""")
+
+
+@register("predict_saved_model", _predict_saved_sql())
+def q_predict_saved_model(spark, base):
+    """Publish a model with its normalisation folded in, load the current version, predict the whole table (M3)."""
+    root = shared_path(spark, "registry")
+    Rg.publish(spark, root, _normalised_layers(), epoch=0, loss=0.0)
+    layers = Rg.load_layers(spark, Rg.model_path(root, Rg.current(spark, root)))
+    out = Rg.predict_layers(fx.tensors(spark, base), "values", layers, activation="silu")
+    return out.select("vec_id", F.round(F.col("output")[0], 9).alias("score"))
+
+
+@register("best_model", f"""
+WITH {_ES_SQL.strip()}
+SELECT run_id, CAST(count(*) AS BIGINT) AS version, max(epoch) AS epoch, arg_max(valid_loss, epoch) AS loss,
+  2 AS n_layers, 64 AS width, 1 AS n_versions
+FROM trace WHERE improved GROUP BY run_id ORDER BY count(*) DESC, run_id LIMIT 1""")
+def q_best_model(spark, base):
+    """The registry after the run that improved most often: each improvement is published, only the last stays."""
+    trace = stored(R.early_stopping(fx.epochs(spark, base)).where("improved"), "trace")
+    often = trace.groupBy("run_id").count().orderBy(F.col("count").desc(), "run_id").first()
+    run = often.run_id if often else None
+    root = shared_path(spark, "registry")
+    for e in trace.where(F.col("run_id") == F.lit(run)).orderBy("epoch").collect():
+        Rg.publish_if_better(spark, root, demo_layers(seed=e.epoch), e.epoch, e.valid_loss)
+    Rg.prune(spark, root)
+    return Rg.described(spark, root).select(
+        F.lit(run).cast("long").alias("run_id"), "version", "epoch", "loss", "n_layers", "width",
+        F.lit(len(Rg.versions(spark, root))).alias("n_versions"))
+
+
 @register("val_split_assays", f"""
 SELECT assay_id, assay_organism FROM assay WHERE {_bucket_sql('assay_id')} < {int(round(0.3 * 4294967296))}""")
 def q_val_split_assays(spark, base):
