@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ SAMPLED = 2           # coordinates sampled at each step of a run
 DEPTH = 3             # splits on tokens at most
 BUCKET = 1024         # classes in a bucket, or a block, that is compared by brute force
 
+SALTS = 32            # tasks that the rows of a large bucket are spread over
+
 _TEXT_BYTES = 1 << 18  # texts hashed at a time
 
 SET_FIELDS = T.StructType([
@@ -145,8 +147,23 @@ def with_sets(docs: DataFrame, *, n: int = N_WORDS, text: str = "text", prefix:
 
 # ---- chosen paths ------------------------------------------------------------------------------------------------
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("path").agg(F.count("*").alias("size"))
+def _sized(rows: DataFrame, bucket: int) -> DataFrame:
+    """path, size, fp of ``rows`` (path, fp) whose path holds two classes or more; written.
+
+    Only paths beyond ``bucket`` are named: there are rows / ``bucket`` of them
+    at most, Spark knows the size of their written table and sends it to the
+    tasks where it is small; where it isn't, rows meet it by salt. All other
+    paths are counted where their rows lie side by side.
+    """
+    hot = stored(rows.groupBy("path").agg(F.count("*").alias("_size")).where(F.col("_size") > bucket), "hot")
+    if hot.isEmpty():
+        marked = rows.withColumn("_size", F.lit(None).cast("long"))
+    else:
+        salts = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["path", "_salt"], "left")
+    small = marked.where("_size IS NULL").withColumn("size", F.count("*").over(Window.partitionBy("path"))).where("size > 1")
+    large = marked.where("_size IS NOT NULL").withColumn("size", F.col("_size"))
+    return stored(small.unionByName(large).select("path", "size", "fp"), "paths")
 
 
 def _size_cell(threshold: float) -> Column:
@@ -163,7 +180,7 @@ def buckets(classes: DataFrame, *, threshold: float = THRESHOLD, runs: int, dept
     first = classes.select("fp", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(runs * sampled - 1)),
         lambda k: F.xxhash64(k, F.get("sketch", F.pmod(k, F.lit(COORDINATES)))))).alias("path"))
-    rows = stored(first.join(_sizes(first).where("size > 1"), "path").select("path", "size", "fp"), "paths")
+    rows = _sized(first, bucket)
     leaves = rows.where(F.col("size") <= bucket)
     large = rows.where(F.col("size") > bucket)
     for level in range(depth):
@@ -179,7 +196,7 @@ def buckets(classes: DataFrame, *, threshold: float = THRESHOLD, runs: int, dept
                 F.sequence(F.lit(0), F.lit(sampled - 1)),
                 lambda k: F.xxhash64("path", k, F.get("sketch", F.pmod(F.xxhash64("path", k), F.lit(COORDINATES)).cast("int")))
             )).alias("path"))
-        child = stored(child.join(_sizes(child).where("size > 1"), "path").select("path", "size", "fp"), "paths")
+        child = _sized(child, bucket)
         last = level == depth - 1
         leaves = leaves.unionByName(child if last else child.where(F.col("size") <= bucket))
         large = child.where(F.col("size") > bucket)
