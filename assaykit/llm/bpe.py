@@ -16,6 +16,8 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: White space here is more than what the library takes for it (U+001C to U+001F too), never less.
@@ -101,12 +103,9 @@ class Ids(dict):
             data, cuts = ids.tobytes(), (4 * (cuts + 1)).tolist()
             self.update(zip(some, (data[a:b] for a, b in zip([0, *cuts], cuts))))
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self) > KEPT_PIECES:
-            self.clear()
-        rows = [t.split(" ") for t in texts]
-        new = set().union(*rows).difference(self)
+    def _know(self, pieces: list[str]) -> set[str]:
+        """Put results of all pieces into the table; returns those that are new."""
+        new = set(pieces).difference(self)
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         new.difference_update(odd)
         self.update(dict.fromkeys(odd))
@@ -120,29 +119,54 @@ class Ids(dict):
                 self.signs[m[2]] = self._one(m[2])
             self[m[0]] = self[m[1]] + self.signs[m[2]]
         new.update(m[0] for m in signed)
-        out = []
-        for text, (first, *rest) in zip(texts, rows):
-            if not text:
-                out.append(b"")
-                continue
-            try:
-                if first[-1:].isspace():
-                    raise TypeError
-                out.append((self._one(first) if first else b"") + b"".join(map(self.__getitem__, rest)))
-            except TypeError:  # None for an odd piece
-                first, *rest = _SAFE.split(text)
-                out.append(b"".join([self._one(first), *(self.get(p) or self._one(" " + p) for p in rest)]))
+        return new
+
+    def _safely(self, text: str) -> bytes:
+        """The ids of a text with an odd piece: it is cut at blanks between other characters only."""
+        first, *rest = _SAFE.split(text)
+        return b"".join([self._one(first), *(self.get(p) or self._one(" " + p) for p in rest)])
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (a string array; null: none).
+
+        The pieces of all texts are numbered by Arrow, each different one is
+        looked up once, and the ids are gathered by number.
+        """
+        if len(self) > KEPT_PIECES:
+            self.clear()
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        numbered = lists.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        new = self._know(pieces)
+        data = list(map(self.__getitem__, pieces))
+        odd = np.array([x is None for x in data], bool)
+        heads = number[at[:-1]]
+        # The first piece of a text has no blank before it.
+        data += [self._one(pieces[k]) if pieces[k] else b"" for k in heads.tolist()]
+        hard = {k for k in heads.tolist() if pieces[k][-1:].isspace()}
+        number[at[:-1]] = len(pieces) + np.arange(len(heads))
+        odd = np.concatenate([odd, [k in hard for k in heads.tolist()]])
+        sizes = np.array([len(x) >> 2 if x else 0 for x in data], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        every = np.frombuffer(b"".join(x or b"" for x in data), "<u4")
+        counts = sizes[number]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        ids = every[np.repeat(starts[number] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * upto[at]).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        some = np.concatenate(([0], np.cumsum(odd[number])))[at]
+        for k in np.flatnonzero(some[1:] > some[:-1]).tolist():
+            out[k] = self._safely(texts[k].as_py())
         for p in new:  # long pieces seldom come again
             if len(p) > KEPT_CHARS // 4:
                 del self[p]
         return out
 
 
-_loaded: dict[str, Tokenizer] = {}
-
-
 def load(path: str) -> Tokenizer:
-    """The tokenizer of a file, once per process. The file must be at the same path on every machine."""
-    if path not in _loaded:
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+    """The tokenizer of a file. The file must be at the same path on every machine."""
+    return Tokenizer.from_file(path)

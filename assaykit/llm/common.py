@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +43,24 @@ def small_batches(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+_kept: list = [None, None]
+
+
+def kept(key: object, make: Callable[[], object]):
+    """The one large table that a Python worker keeps between its tasks.
+
+    Workers are used again by later stages, so another key first lets go of
+    the table of the key before and hands its memory back to the system.
+    """
+    if _kept[0] != key:
+        _kept[:] = [None, None]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
 def free_prefix(df: DataFrame, stem: str) -> str:
     """A prefix that no column of ``df`` starts with, for an operator's passing columns."""
     prefix = f"_{stem}_"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import append_columns, col, free_prefix, prefixed, texts
+from assaykit.llm.common import append_columns, col, free_prefix, kept, prefixed, texts
 from assaykit.session import stored
 
 #: Bytes of benchmark text in one automaton at most; a worker holds about 300 times that.
@@ -45,9 +45,6 @@ FIELDS = T.StructType([
     T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(SPAN)),
 ])
 
-_built: dict[str, object] = {}  # a worker's last automaton, by the key of its pass
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text, as UTF-8 bytes."""
     return (text or "").encode().translate(_FOLD).split()
@@ -62,7 +59,7 @@ def windows_of(text: str | None, n: int) -> list[str]:
 
 
 def _automaton(key: str, items: list[tuple[str | None, str]], n: int):
-    if key not in _built:
+    def build():
         owners: dict[str, set] = {}
         for item, text in items:
             for w in windows_of(text, n):
@@ -72,9 +69,9 @@ def _automaton(key: str, items: list[tuple[str | None, str]], n: int):
             auto.add_word(w, (w.count(" ") - 1, ids))
         if owners:
             auto.make_automaton()
-        _built.clear()
-        _built[key] = auto if owners else None
-    return _built[key]
+        return auto if owners else None
+
+    return kept(("automaton", key), build)
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

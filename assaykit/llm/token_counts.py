@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from assaykit.llm import bpe
-from assaykit.llm.common import append_columns, texts
+from assaykit.llm.common import append_columns, kept, texts
 
 FIELDS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -30,12 +30,9 @@ def prove_whole_tokens(path: str) -> list[str]:
     return [s for (s, i), text, e in zip(vocab, plain, got) if e.ids == [i] and "�" not in text]
 
 
-_tables: dict[str, bpe.Pieces] = {}
-
-
 def _counter(path: str, proven: frozenset) -> bpe.Pieces:
     """Token counts by piece, kept between the tasks of a worker."""
-    if path not in _tables:
+    def table() -> bpe.Pieces:
         tok = bpe.load(path)
         specials = [t.content for t in tok.get_added_tokens_decoder().values()]
         split, merge = tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
@@ -45,8 +42,9 @@ def _counter(path: str, proven: frozenset) -> bpe.Pieces:
                 return len(tok.encode(piece, add_special_tokens=False).ids)
             return sum(1 if p in proven else len(merge(p)) for p, _ in split(piece))
 
-        _tables[path] = bpe.Pieces(count)
-    return _tables[path]
+        return bpe.Pieces(count)
+
+    return kept(("token counts", path), table)
 
 
 def count_tokens(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.llm import bpe
-from assaykit.llm.common import col, small_batches
+from assaykit.llm.common import col, kept, small_batches
 
 #: A segment is closed when it holds so many ids. A document is never cut.
 SEGMENT_IDS = 1 << 17
@@ -123,14 +123,9 @@ class Codes:
         return out
 
 
-_tables: dict[str, bpe.Ids] = {}
-
-
 def _encoder(path: str) -> bpe.Ids:
     """Ids by piece, kept between the tasks of a worker."""
-    if path not in _tables:
-        _tables[path] = bpe.Ids(bpe.load(path))
-    return _tables[path]
+    return kept(("token ids", path), lambda: bpe.Ids(bpe.load(path)))
 
 
 def _segments(path: str, end_id: int | None, segment_ids: int):
@@ -148,7 +143,7 @@ def _segments(path: str, end_id: int | None, segment_ids: int):
                  "doc_starts": pa.array([starts], pa.list_(pa.int64())), "codes": pa.array([codes], pa.binary())})
 
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), table.of([t or "" for t in batch.column(1).to_pylist()])):
+            for doc, data in zip(batch.column(0).to_pylist(), table.of(batch.column(1))):
                 data += end
                 docs.append(doc)
                 starts.append(n)
