@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations, and their lossless decoding.
 
-A text is cut where no piece of the vocabulary can cross: before each run of
-blanks. The lattice of a chunk has an edge for every piece that matches;
+A text is cut where no piece of the vocabulary can cross: between any two
+characters that no piece has side by side. The lattice of a chunk has an edge for every piece that matches;
 characters without a piece are chains of byte pieces. Forward filtering sums
 the weights of all paths to each place; backward sampling walks from the end
 and takes an edge with its share of that sum. Since every path passes the cuts,
@@ -13,7 +13,9 @@ Each draw is a hash of the row's seed, the chunk's number in the text and the
 step, so a row gets the same segmentation in any run, batch or partition.
 
 Lattices of chunks are kept in a table of bounded size; all chunks of a batch
-are sampled together, step by step.
+are sampled together, step by step. A chunk of more than ``LONG`` characters,
+as in texts that are one long word, is filtered on its own: only the sums are
+kept, and the edges are found again, part by part, while it is sampled.
 
 Defined results: a null text is empty and has no ids; a literal U+2581 is
 written as bytes, so it isn't taken for a blank when decoding; the seed comes
@@ -24,7 +26,6 @@ equal texts.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import append_columns, col, free_prefix, prefixed, texts
+from assaykit.llm.common import append_columns, col, free_prefix, kept, prefixed, texts
 
 ALPHA = 1.0
-#: Nodes of lattices kept in a worker at most (each holds its edges: about 100 bytes).
-KEPT_NODES = 1_200_000
+#: Bytes of the edges that a worker keeps from batch to batch at most.
+KEPT_BYTES = 32 << 20
+#: Chunks of more characters than this are sampled on their own, PART characters at a time.
+LONG, PART = 200, 1 << 14
 #: Ids from here on stand for a character that is written as its bytes.
 BYTES = 1 << 24
-_CELLS = 1 << 13  # characters filtered together
-_BATCH_CHARS = 1 << 20  # sampled together
+_CELLS = 1 << 15  # characters filtered together
+_BATCH_CHARS = 1 << 19  # sampled together
+_PAIRS = 1 << 22  # places of the table of neighbours; a shared place costs a cut and nothing else
 
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
                        T.StructField("lossless", T.BooleanType())])
-_CHUNK = re.compile(r" +[^ ]*")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of two neighbouring characters in the table of neighbours."""
+    return (a * 0x9E3779B1 ^ b * 0x85EBCA77) >> 7 & _PAIRS - 1
 
 
 class Vocabulary:
@@ -74,8 +86,10 @@ class Vocabulary:
                 self.bytes[i] = bytes([value])
         self.longest = max(map(len, self.ids))
         self._tree()
-        if any(" " in p.lstrip(" ") for p in self.ids):
-            raise ValueError("a piece goes on behind a blank: texts can't be cut there")
+        self.beside = np.zeros(_PAIRS, bool)
+        for piece in self.ids:
+            codes = _codes(piece)
+            self.beside[_pair(codes[:-1], codes[1:])] = True
 
     def _tree(self) -> None:
         """Prefixes of the pieces as sorted keys (prefix, next character), and the piece at each prefix."""
@@ -91,6 +105,22 @@ class Vocabulary:
         self.child = np.array([c for _, c in keys], np.int64)
         self.piece_at = np.array(piece_at, np.int64)
 
+    def chunks(self, rows: list[str]) -> tuple[list[str], np.ndarray]:
+        """The chunks of all rows, one behind the other, and their number by row; a row begins with a blank."""
+        whole = "".join([" " + t for t in rows if t])
+        if not whole:
+            return [], np.zeros(len(rows), np.int64)
+        codes = _codes(whole)
+        cut = np.ones(len(codes), bool)
+        np.logical_not(self.beside[_pair(codes[:-1], codes[1:])], out=cut[1:])
+        sizes = np.fromiter((len(t) + 1 if t else 0 for t in rows), np.int64, len(rows))
+        ends = np.cumsum(sizes)
+        cut[(ends - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(cut)
+        upto = np.searchsorted(at, ends)
+        at = [*at.tolist(), len(whole)]
+        return [whole[a:b] for a, b in zip(at, at[1:])], np.diff(upto, prepend=0)
+
     def match(self, codes: np.ndarray) -> np.ndarray:
         """Ids by [text, end - 1, length - 1] of all pieces in rows of characters (-1 behind their ends); -1: none.
 
@@ -125,37 +155,47 @@ class Vocabulary:
 
 
 class Lattices:
-    """Filtered lattices of chunks: for each node the edges into it with their cumulative shares.
+    """Filtered lattices of chunks: the edges into each node with their cumulative shares.
 
-    A node stands behind each character of a chunk. All new chunks of a batch
-    are matched and filtered together, place by place.
+    A node stands behind each character of a chunk; its edges lie side by side,
+    shortest first, from ``starts`` on. All new chunks of a batch are matched
+    and filtered together, place by place.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.clear()
-        self.width = 4
-        self.shares = np.ones((4096, self.width), np.float32)
-        self.froms = np.zeros((4096, self.width), np.int32)  # -1: the start
-        self.ids = np.zeros((4096, self.width), np.int32)    # from BYTES on: a character as bytes
 
     def clear(self) -> None:
-        """Forget all chunks; the arrays are filled anew."""
+        """Forget all chunks."""
         self.ends: dict[str, int] = {}
-        self.n = 0
-
-    def _grow(self, nodes: int, width: int) -> None:
-        rows = nodes + nodes // 2 if nodes > len(self.shares) else len(self.shares)
-        if rows == len(self.shares) and width <= self.width:
-            return
-        width = max(width, self.width)
-        for name in ("shares", "froms", "ids"):
-            old = getattr(self, name)
-            new = np.empty((rows, width), old.dtype)  # rows that aren't filled yet take no memory
-            new[:self.n, :self.width] = old[:self.n]
-            setattr(self, name, new)
-        self.shares[:self.n, self.width:] = 1
-        self.width = width
+        self.nodes = self.edges = 0
+        self.starts = np.empty(1 << 16, np.int32)
+        self.shares = np.empty(1 << 16, np.float32)
+        self.froms = np.empty(1 << 16, np.int32)  # the node it comes from; -1: the start
+        self.ids = np.empty(1 << 16, np.int32)    # from BYTES on: a character as bytes
+
+    @property
+    def nbytes(self) -> int:
+        return 4 * self.nodes + 12 * self.edges
+
+    def _fill(self, name: str, at: int, values: np.ndarray) -> None:
+        array, upto = getattr(self, name), at + len(values)
+        if upto > len(array):
+            grown = np.empty(upto + upto // 2, array.dtype)  # what isn't filled yet takes no memory
+            grown[:at] = array[:at]
+            setattr(self, name, grown)
+            array = grown
+        array[at:upto] = values
+
+    def edge(self, node: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Of each node the edge that a draw falls on."""
+        at = self.starts[node].astype(np.int64)
+        left = np.flatnonzero(self.shares[at] <= draws)
+        while len(left):
+            at[left] += 1
+            left = left[self.shares[at[left]] <= draws[left]]
+        return at
 
     def add(self, chunks: list[str]) -> None:
         """Forward filtering of new chunks."""
@@ -172,7 +212,7 @@ class Lattices:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         n, most = len(chunks), int(sizes.max())
         codes = np.full((n, most), -1, np.int64)
-        codes[np.arange(most) < sizes[:, None]] = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        codes[np.arange(most) < sizes[:, None]] = _codes("".join(chunks))
         found = self.vocab.match(codes)  # [chunk, end - 1, length - 1]
         weight, as_bytes = self.vocab.weight, len(self.vocab.weight) - 2
         shares = np.ones(found.shape, np.float32)
@@ -183,29 +223,75 @@ class Lattices:
             logs = total[:, e - reach:e][:, ::-1] + weight[np.minimum(found[:, e - 1, :reach], as_bytes)]
             top = logs.max(axis=1)
             top[np.isinf(top)] = 0  # behind the chunk's end
-            parts = np.exp(logs - top[:, None])
-            run = parts.cumsum(axis=1)
+            run = np.exp(logs - top[:, None]).cumsum(axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 total[:, e] = top + np.log(run[:, -1])
                 shares[:, e - 1, :reach] = run / run[:, -1:]
         cells = np.arange(most) < sizes[:, None]
         found, shares = found[cells], shares[cells]  # one row a node, chunk after chunk
-        valid = found >= 0
-        width = int(valid.sum(axis=1).max())
-        order = np.argsort(~valid, axis=1, kind="stable")[:, :width]
-        valid = np.take_along_axis(valid, order, 1)
         place = np.broadcast_to(np.arange(most), (n, most))[cells]
-        rows = self.n + np.arange(len(found))
-        self._grow(self.n + len(found), width)
-        mine = slice(self.n, self.n + len(found))
-        self.ids[mine, :width] = np.where(valid, np.take_along_axis(found, order, 1), 0)
-        self.froms[mine, :width] = np.where(order == place[:, None], -1, rows[:, None] - order - 1)
-        own = np.where(valid, np.take_along_axis(shares, order, 1), 1)
-        own[np.arange(len(own)), valid.sum(axis=1) - 1] = 1
-        self.shares[mine, :width] = own
-        self.shares[mine, width:] = 1
-        self.n += len(found)
-        self.ends.update(zip(chunks, (rows[0] + np.cumsum(sizes) - 1).tolist()))
+        node, length = np.nonzero(found >= 0)
+        share = shares[node, length]
+        share[np.append(node[1:] != node[:-1], True)] = 2  # beyond any draw
+        froms = np.where(length == place[node], -1, self.nodes + node - length - 1)
+        self._fill("starts", self.nodes, self.edges + np.searchsorted(node, np.arange(len(found))))
+        for name, x in (("shares", share), ("froms", froms), ("ids", found[node, length])):
+            self._fill(name, self.edges, x)
+        self.edges += len(node)
+        self.ends.update(zip(chunks, (self.nodes + np.cumsum(sizes) - 1).tolist()))
+        self.nodes += len(found)
+
+    def long(self, chunk: str, draw: int) -> list[int]:
+        """Sampled ids of one long chunk, from its end: sums forward, then edges and draws part by part."""
+        codes, weight, as_bytes = _codes(chunk), self.vocab.weight, len(self.vocab.weight) - 2
+        reach = self.vocab.longest
+
+        def edges(start: int, end: int) -> list[list[tuple[int, int]]]:
+            """(length, id) of all edges into the nodes behind the characters from start to end."""
+            low = max(0, start - reach + 1)
+            found = self.vocab.match(codes[None, low:end])[0, start - low:]
+            out: list[list[tuple[int, int]]] = [[] for _ in range(end - start)]
+            for node, length in zip(*(x.tolist() for x in np.nonzero(found >= 0))):
+                out[node].append((length + 1, int(found[node, length])))
+            return out
+
+        power = np.exp(weight).tolist()
+        total = np.zeros(len(codes) + 1)
+        before, base = [1.0], 0.0  # sums of the last places, as multiples of e ** base
+        for start in range(0, len(codes), PART):
+            values = before
+            lead = len(values)
+            for k, into in enumerate(edges(start, min(start + PART, len(codes)))):
+                now = 0.0
+                for length, i in into:
+                    now += values[-length] * power[i if i < as_bytes else as_bytes]
+                values.append(now)
+                if now < 1e-200:  # keep the sums in range
+                    done = values[lead:]
+                    total[start + 1 + k + 1 - len(done):start + k + 2] = np.log(done) + base
+                    base += math.log(now)
+                    values = [x / now for x in values[-reach:]]
+                    lead = len(values)
+            done = values[lead:]
+            stop = min(start + PART, len(codes))
+            if done:
+                total[stop + 1 - len(done):stop + 1] = np.log(done) + base
+            before = values[-reach:]
+        out, at, step, start, into = [], len(codes), 0, len(codes), []
+        while at:
+            if at <= start:
+                start = max(0, at - PART)
+                into = edges(start, at)
+            options = into[at - 1 - start]
+            shares = [math.exp(total[at - length] + weight[min(i, as_bytes)] - total[at]) for length, i in options]
+            u = _draws(np.array([draw], np.uint64), step)[0] * sum(shares)
+            for (length, i), share in zip(options, shares):
+                u -= share
+                if u < 0:
+                    break
+            out.append(i)
+            at, step = at - length, step + 1
+        return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -214,64 +300,73 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _draws(seeds: np.ndarray, step: int) -> np.ndarray:
+    """Draws from 0 to 1 by the chunks' seeds and the step."""
+    return (_mix(seeds + np.uint64(step)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+
+
+def _written(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """Ids with the characters that are written as bytes as their byte pieces."""
+    whole = ids < BYTES
+    if whole.all():
+        return ids
+    out: list[int] = []
+    for i in ids.tolist():
+        out += [i] if i < BYTES else [vocab.byte_ids[b] for b in chr(i - BYTES).encode()]
+    return np.array(out, np.int32)
+
+
 def sample(lattices: Lattices, rows: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows after each other, and the offsets of the rows."""
-    if lattices.n > KEPT_NODES:
-        lattices.clear()
-    chunks: list[str] = []
-    counts = np.zeros(len(rows), np.int64)
-    for k, text in enumerate(rows):
-        if text:
-            own = _CHUNK.findall(" " + text)
-            chunks += own
-            counts[k] = len(own)
+    vocab = lattices.vocab
+    chunks, counts = vocab.chunks(rows)
     new = set(chunks).difference(lattices.ends)
-    if new:
-        lattices.add(list(new))
+    apart = {c for c in new if len(c) > LONG}
+    if len(new) > len(apart):
+        lattices.add(list(new - apart))
+    lattices.ends.update(dict.fromkeys(apart, -1))
     node = np.fromiter(map(lattices.ends.__getitem__, chunks), np.int64, len(chunks))
+    for c in apart:
+        del lattices.ends[c]
     first = np.cumsum(counts) - counts
     number = np.arange(len(chunks)) - np.repeat(first, counts)
     draw = np.repeat(_mix(seeds.astype(np.int64).view(np.uint64)), counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     draw = _mix(draw)
     length = np.zeros(len(chunks), np.int64)
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live = np.arange(len(chunks))
+    alone = {k: _written(vocab, np.array(lattices.long(chunks[k], int(draw[k]))[::-1], np.int32)) for k in np.flatnonzero(node < 0).tolist()}
+    for k, got in alone.items():
+        length[k] = len(got)
+    steps = []
+    live = np.flatnonzero(node >= 0)
     step = 0
     while len(live):
-        u = (_mix(draw[live] + np.uint64(step)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-        at = node[live]
-        edge = (lattices.shares[at] <= u[:, None]).sum(axis=1)
-        got = lattices.ids[at, edge]
+        edge = lattices.edge(node[live], _draws(draw[live], step))
+        got = lattices.ids[edge]
         steps.append((live, got, length[live]))
         code = got - BYTES
         length[live] += np.where(code < 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        came = lattices.froms[at, edge]
+        came = lattices.froms[edge]
         node[live] = came
         live = live[came >= 0]
         step += 1
-    ends = np.cumsum(length)
-    ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    upto = np.concatenate(([0], np.cumsum(length)))
+    ids = np.zeros(int(upto[-1]), np.int32)
     for who, what, behind in steps:
         whole = what < BYTES
-        ids[(ends[who] - 1 - behind)[whole]] = what[whole]
+        last = upto[who + 1] - behind
+        ids[last[whole] - 1] = what[whole]
         for k in np.flatnonzero(~whole).tolist():
             data = chr(what[k] - BYTES).encode()
-            end = ends[who[k]] - behind[k]
-            ids[end - len(data):end] = [lattices.vocab.byte_ids[b] for b in data]
-    per_row = np.zeros(len(rows) + 1, np.int64)
-    if len(chunks):
-        upto = np.concatenate(([0], ends))
-        per_row[1:] = upto[first + counts]
-    return ids, per_row
-
-
-_loaded: dict[tuple[str, float], Lattices] = {}
+            ids[last[k] - len(data):last[k]] = [vocab.byte_ids[b] for b in data]
+    for k, got in alone.items():
+        ids[upto[k]:upto[k + 1]] = got
+    if lattices.nbytes > KEPT_BYTES:
+        lattices.clear()
+    return ids, upto[np.append(first, len(chunks))]
 
 
 def _lattices(path: str, alpha: float) -> Lattices:
-    if (path, alpha) not in _loaded:
-        _loaded[path, alpha] = Lattices(Vocabulary(path, alpha))
-    return _loaded[path, alpha]
+    return kept(("lattices", path, alpha), lambda: Lattices(Vocabulary(path, alpha)))
 
 
 def encode(docs: DataFrame, path: str, *, key: list[str | Column], seed: int = 0, alpha: float = ALPHA,

@@ -71,7 +71,60 @@ def test_a_full_table_is_emptied_without_a_change(monkeypatch):
     vocab = pieces.Vocabulary(PATH)
     seeds = np.arange(300)
     whole = pieces.sample(pieces.Lattices(vocab), texts, seeds)[0].tolist()
-    monkeypatch.setattr(pieces, "KEPT_NODES", 50)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 2000)
     small = pieces.Lattices(vocab)
     parts = [x for k in range(0, 300, 10) for x in pieces.sample(small, texts[k:k + 10], seeds[k:k + 10])[0].tolist()]
     assert parts == whole
+
+
+def test_the_table_is_bounded_after_adding(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 1_000_000)
+    lattices = pieces.Lattices(pieces.Vocabulary(PATH))
+    kept, rng = [], np.random.default_rng(1)
+    for k in range(20):
+        text = " ".join("".join(rng.choice(list("etaoinshr"), 9)) for _ in range(900))
+        pieces.sample(lattices, [text], np.array([k]))
+        kept.append(lattices.nbytes)
+        assert sum(getattr(lattices, n).nbytes for n in ("starts", "shares", "froms", "ids")) < 3 * pieces.KEPT_BYTES
+    assert max(kept) <= pieces.KEPT_BYTES and any(b < a for a, b in zip(kept, kept[1:]))  # it was full and is small again
+
+
+@pytest.mark.parametrize("text", ["hello", "a①b", "a  b", "xyxyxyx"])
+def test_long_chunks_follow_the_lattice_too(monkeypatch, text):
+    """Every chunk on its own, in parts shorter than a piece."""
+    monkeypatch.setattr(pieces, "LONG", 0)
+    monkeypatch.setattr(pieces, "PART", 3)
+    lattices = pieces.Lattices(pieces.Vocabulary(PATH))
+    n = 6000
+    ids, upto = pieces.sample(lattices, [text] * n, np.arange(n))
+    ids = ids.tolist()
+    seen = Counter(tuple(ids[a:b]) for a, b in zip(upto, upto[1:]))
+    expected = enumerate_paths(lattices.vocab, text)
+    assert set(seen) <= set(expected) and lattices.nodes == 0
+    assert all(abs(seen[k] / n - p) < 0.03 for k, p in expected.items())
+
+
+def test_texts_without_blanks_stay_lossless():
+    rng = np.random.default_rng(0)
+    vocab = pieces.Vocabulary(PATH)
+    lattices = pieces.Lattices(vocab)
+    base64 = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 60_000))
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9000, 60_000)))
+    rows = [base64, chinese, "a" * 30_000, "短い " + base64[:500], "", "①" * 3000]
+    for _ in range(2):
+        ids, upto = pieces.sample(lattices, rows, np.arange(len(rows)))
+        assert [vocab.decode(ids[a:b].tolist()).decode() for a, b in zip(upto, upto[1:])] == rows
+    assert len(ids[upto[0]:upto[1]]) < 55_000
+
+
+def test_cuts_are_where_no_piece_crosses():
+    vocab = pieces.Vocabulary(PATH)
+    texts = ["Hello, world! (a-b) 12:30 日本語 x▁y  z", "", "don't;stop", "ünïcödé…"]
+    chunks, counts = vocab.chunks(texts)
+    assert "".join(chunks) == "".join(" " + t for t in texts if t) and counts.sum() == len(chunks) and counts[1] == 0
+    whole = [" " + t for t in texts if t]
+    for w in whole:
+        for i in range(len(w)):
+            for e in range(i + 2, min(len(w), i + vocab.longest) + 1):
+                if w[i:e] in vocab.ids:
+                    assert vocab.beside[pieces._pair(pieces._codes(w[i:e - 1]), pieces._codes(w[i + 1:e]))].all()
