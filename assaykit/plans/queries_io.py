@@ -18,6 +18,7 @@ from assaykit.plans.training import write_splits
 from assaykit.session import checkpoint_dir
 from assaykit.sources import fixtures as fx
 from assaykit.sources import io
+from assaykit.streaming.metrics_log import compact, read_log, stream_to_log
 from assaykit.streaming.metrics_stream import METRIC_SCHEMA, stream_metrics
 
 
@@ -62,6 +63,19 @@ def q_stream_metrics(spark, base):
     return spark.read.schema(METRIC_SCHEMA).parquet(dst).select("run_id", "name", "value", "step")
 
 
+@register("metric_log", """
+SELECT run_id, name, value, step, ts FROM metrics
+WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE""")
+def q_metric_log(spark, base):
+    """The stream run twice, the second time with a new checkpoint, then compacted: every row is there once."""
+    root = _scratch(spark, "log")
+    fx.metrics(spark, base).repartition(8, "run_id").write.parquet(f"{root}/src")
+    for k in range(2):
+        stream_to_log(spark, f"{root}/src", f"{root}/log", f"{root}/checkpoint{k}", max_files_per_trigger=3).awaitTermination()
+    compact(spark, f"{root}/log")
+    return read_log(spark, f"{root}/log")
+
+
 _HEAD_ORDER = ("activity_id", "assay_id", "molregno", "standard_type", "standard_value", "standard_units",
                "standard_relation", "pchembl_value", "value", "units", "potential_duplicate")
 
