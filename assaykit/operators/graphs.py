@@ -52,28 +52,48 @@ def node_degree(nodes: DataFrame, edges: DataFrame, gid: str = "gid", nid: str =
             .select(gid, nid, F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree")))
 
 
+def _place(ids: Column, first: Column, x: Column) -> Column:
+    """Place of ``x`` in the sorted ``ids`` from ``first`` on, by binary search; NULL if it isn't there."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ids) + F.lit(1))).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        low, high = at["low"], at["high"]
+        mid = F.floor((low + high) / 2).cast("int")
+        right = (low < high) & (F.get(ids, mid) < x)
+        return F.struct(F.when(right, mid + 1).otherwise(low).alias("low"), F.when(right, high).otherwise(F.least(mid, high)).alias("high"))
+
+    found = F.aggregate(steps, F.struct(first.alias("low"), F.size(ids).alias("high")), halve)["low"]
+    return F.when(F.get(ids, found) == x, found).cast("bigint")
+
+
 def assemble_graphs(nodes: DataFrame, edges: DataFrame, feature_cols: Sequence[str],
                     gid: str = "gid", nid: str = "nid") -> DataFrame:
     """One row per graph: node_features array<array<float>> by node order and a
     COO edge_index [[src...],[dst...]] with both directions of each bond (N4, N5).
 
-    Node ids are renumbered 0..n-1 in node order. Edge-free graphs get [[],[]].
+    Node ids are renumbered 0..n-1 in node order. Edge-free graphs get [[],[]];
+    an edge to a node that isn't there is left out, and one to a repeated node
+    id goes to the first of them. Nodes and edges meet in one shuffle, as rows
+    of one table; places come from a binary search in the graph's sorted ids.
     """
-    pos = nodes.withColumn("_pos", (F.row_number().over(Window.partitionBy(gid).orderBy(nid)) - 1)
-                           .cast("bigint"))
-    feats = pos.groupBy(gid).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_pos"), F.array(*[F.col(c).cast("float") for c in feature_cols]).alias("_f")))).alias("_nodes"))
-    node_features = F.transform("_nodes", lambda s: s["_f"])
-    p = pos.select(gid, F.col(nid).alias("_n"), "_pos")
-    e = (edges.join(p.withColumnRenamed("_n", "src").withColumnRenamed("_pos", "_i"), [gid, "src"])
-         .join(p.withColumnRenamed("_n", "dst").withColumnRenamed("_pos", "_j"), [gid, "dst"]))
-    bonds = e.groupBy(gid).agg(F.array_sort(F.collect_list(F.struct("_i", "_j"))).alias("_b"))
-    src_list = F.flatten(F.transform("_b", lambda b: F.array(b["_i"], b["_j"])))
-    dst_list = F.flatten(F.transform("_b", lambda b: F.array(b["_j"], b["_i"])))
-    empty = F.array().cast("array<bigint>")
-    return (feats.join(bonds, gid, "left")
-            .select(gid, node_features.alias("node_features"),
-                    F.array(F.coalesce(src_list, empty), F.coalesce(dst_list, empty)).alias("edge_index")))
+    node = F.struct(F.col(nid).alias("n"), F.array(*[F.col(c).cast("float") for c in feature_cols]).alias("f"))
+    bond = F.struct(F.col("src").alias("s"), F.col("dst").alias("d"))
+    rows = nodes.select(gid, node.alias("_n")).unionByName(
+        edges.where(F.col(gid).isNotNull()).select(gid, bond.alias("_b")), allowMissingColumns=True)
+    both = rows.groupBy(gid).agg(F.array_sort(F.collect_list("_n")).alias("_n"), F.collect_list("_b").alias("_b")).where(F.size("_n") > 0)
+    ids = both.withColumn("_ids", F.transform("_n", lambda x: x["n"]))
+    ids = ids.withColumn("_first", F.size(F.filter("_ids", lambda x: x.isNull())))
+
+    def at(x: Column) -> Column:
+        return _place(F.col("_ids"), F.col("_first"), x)
+
+    placed = F.transform("_b", lambda b: F.struct(at(b["s"]).alias("i"), at(b["d"]).alias("j")))
+    known = F.filter(placed, lambda b: b["i"].isNotNull() & b["j"].isNotNull())
+    ids = ids.withColumn("_e", F.array_sort(known))
+    return ids.select(
+        gid, F.transform("_n", lambda x: x["f"]).alias("node_features"),
+        F.array(F.flatten(F.transform("_e", lambda b: F.array(b["i"], b["j"]))),
+                F.flatten(F.transform("_e", lambda b: F.array(b["j"], b["i"])))).alias("edge_index"))
 
 
 def feature_width(df: DataFrame, col: str = "node_features") -> DataFrame:

@@ -140,3 +140,26 @@ def test_propagate_with_weights(spark):
     got = {r.nid: (r.f0, r.f1) for r in G.propagate(n, e, ("f0", "f1"), k=1, weights=[swap]).collect()}
     # two nodes, both of degree 2 with their self-loop: each gets the mean of the dense layer's values
     assert got[0] == pytest.approx((13.0, 2.0)) and got[1] == pytest.approx((13.0, 2.0))
+
+
+def test_assembly_is_one_shuffle_and_finds_every_place(spark):
+    """Ids with gaps, in any order, of any size of graph; edges to nowhere, twice, to oneself; NULL and repeated ids."""
+    rng = np.random.default_rng(6)
+    nodes, edges, want = [], [], {}
+    for g in range(12):
+        ids = sorted(rng.choice(1000, g * 5 + 1, replace=False).tolist())
+        feats = {n: float(n) / 8 for n in ids}
+        nodes += [(g, n, feats[n]) for n in rng.permutation(ids).tolist()]
+        own = [tuple(rng.choice(ids, 2).tolist()) for _ in range(g * 4)] + ([(ids[0], ids[0]), (ids[0], ids[0])] if g % 3 == 0 else [])
+        edges += [(g, *e) for e in own] + [(g, ids[0], 5000), (g, -1, ids[0]), (g, None, ids[0])]
+        place = sorted((ids.index(a), ids.index(b)) for a, b in own)
+        want[g] = ([[feats[n]] for n in ids], [[x for p in place for x in p], [x for p in place for x in p[::-1]]])
+    nodes += [(50, None, 1.0), (50, 7, 2.0), (50, 7, 2.0), (50, 9, 3.0)]
+    edges += [(50, 7, 9), (77, 1, 2), (None, 1, 2)]
+    want[50] = ([[1.0], [2.0], [2.0], [3.0]], [[1, 3], [3, 1]])
+    n = spark.createDataFrame(nodes, "gid long, nid long, f double")
+    e = spark.createDataFrame(edges, "gid long, src long, dst long").repartition(4)
+    out = G.assemble_graphs(n, e, ["f"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {r.gid: (r.node_features, r.edge_index) for r in out.collect()} == want
+    assert plan.count("hashpartitioning(gid") == 1 and "Join" not in plan and "Window" not in plan
