@@ -15,8 +15,9 @@ and only the first bucket that two classes share compares them. So links are
 counted without writing pairs, and a bucket passes on its links as one row for
 each class: the sum of its links and one neighbour that connects it.
 
-A bucket that can be split no further is cut into blocks, and the pairs of
-blocks are compared in different tasks; nothing is left out.
+A bucket of a few blocks, and one that can be split no further, is cut into
+blocks, and the pairs of blocks are compared in different tasks; nothing is
+left out.
 
 Defined results: words are runs of 0-9, a-z (after lower-casing A-Z) and
 characters beyond ASCII; a text of fewer than n words, but not none, is one
@@ -176,13 +177,16 @@ def buckets(classes: DataFrame, *, threshold: float = THRESHOLD, runs: int, dept
     """path, size, fp: the leaves of all runs, of two classes or more.
 
     Only paths travel here; sketches are joined where a bucket has to be split.
+    A split makes up to ``sampled`` rows of one, so all splits ``sampled`` **
+    ``depth``: a bucket of no more blocks than that is left to be cut into them.
     """
+    most = bucket * sampled ** depth
     first = classes.select("fp", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(runs * sampled - 1)),
         lambda k: F.xxhash64(k, F.get("sketch", F.pmod(k, F.lit(COORDINATES)))))).alias("path"))
     rows = _sized(first, bucket)
-    leaves = rows.where(F.col("size") <= bucket)
-    large = rows.where(F.col("size") > bucket)
+    leaves = rows.where(F.col("size") <= most)
+    large = rows.where(F.col("size") > most)
     for level in range(depth):
         if large.isEmpty():
             return leaves
@@ -198,8 +202,8 @@ def buckets(classes: DataFrame, *, threshold: float = THRESHOLD, runs: int, dept
             )).alias("path"))
         child = _sized(child, bucket)
         last = level == depth - 1
-        leaves = leaves.unionByName(child if last else child.where(F.col("size") <= bucket))
-        large = child.where(F.col("size") > bucket)
+        leaves = leaves.unionByName(child if last else child.where(F.col("size") <= most))
+        large = child.where(F.col("size") > most)
     return leaves
 
 

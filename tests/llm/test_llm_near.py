@@ -57,7 +57,7 @@ def planted():
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("bucket", [1024, 5])
+@pytest.mark.parametrize("bucket", [1024, 5, 2])
 def test_equal_to_brute_force(spark, bucket):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash")).withColumn("fp", F.lit(1))
