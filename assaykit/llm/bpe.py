@@ -24,7 +24,7 @@ from tokenizers import Tokenizer  # noqa: E402
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 #: A word of letters that are surely letters to the library, and a short run of common signs.
-_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{1,3})")
+_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$&#%*]{1,3})")
 
 #: Pieces kept in a worker at most, and the longest kept one in characters.
 KEPT_PIECES, KEPT_CHARS = 600_000, 64
@@ -72,7 +72,7 @@ class Pieces(dict):
 
 
 class Ids(dict):
-    """Ids (little-endian, 4 bytes each) by piece without its leading blank; None for an odd one.
+    """Ids (little-endian, 4 bytes each) by piece without its leading blank; none for an odd one.
 
     Pieces that aren't in the table are encoded together, as one text of all of
     them: by the rule above its ids are theirs, and the bytes that each id
@@ -104,11 +104,11 @@ class Ids(dict):
             self.update(zip(some, (data[a:b] for a, b in zip([0, *cuts], cuts))))
 
     def _know(self, pieces: list[str]) -> set[str]:
-        """Put results of all pieces into the table; returns those that are new."""
-        new = set(pieces).difference(self)
+        """Put results of all (different) pieces into the table; returns those that are new."""
+        new = {p for p in pieces if p not in self}
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         new.difference_update(odd)
-        self.update(dict.fromkeys(odd))
+        self.update(dict.fromkeys(odd, b""))
         # A word and the signs behind it are two pre-tokens: words that come with different signs are encoded once.
         signed = [m for m in map(_SIGNED.fullmatch, new) if m]
         new.update(m[1] for m in signed if m[1] not in self)
@@ -143,16 +143,16 @@ class Ids(dict):
         number = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         new = self._know(pieces)
         data = list(map(self.__getitem__, pieces))
-        odd = np.array([x is None for x in data], bool)
         heads = number[at[:-1]]
         # The first piece of a text has no blank before it.
         data += [self._one(pieces[k]) if pieces[k] else b"" for k in heads.tolist()]
         hard = {k for k in heads.tolist() if pieces[k][-1:].isspace()}
         number[at[:-1]] = len(pieces) + np.arange(len(heads))
-        odd = np.concatenate([odd, [k in hard for k in heads.tolist()]])
-        sizes = np.array([len(x) >> 2 if x else 0 for x in data], np.int64)
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) >> 2
+        odd = sizes == 0
+        odd[len(pieces):] = [k in hard for k in heads.tolist()]
         starts = np.cumsum(sizes) - sizes
-        every = np.frombuffer(b"".join(x or b"" for x in data), "<u4")
+        every = np.frombuffer(b"".join(data), "<u4")
         counts = sizes[number]
         upto = np.concatenate(([0], np.cumsum(counts)))
         ids = every[np.repeat(starts[number] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()

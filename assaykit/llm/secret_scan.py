@@ -3,8 +3,8 @@
 Candidates are all runs of 12 key-like characters or more, long words among
 them; published key formats on their own, wherever they stand; and the whole
 values behind a credential's name (``password = "x"``) or in a URL
-(``://user:x@``), of any length and any characters but white space. A value
-ends at its closing quote, or without quotes at white space or the next
+(``://user:x@``), of any length. A value in quotes is all up to the same quote
+on its line, blanks included; one without quotes ends at white space or the next
 ``,name=``, closing signs left out. A random forest tells secrets from false positives by the candidate's
 length, its character transitions, its coverage by dictionary words, the path
 it stands in and the words next to it. The forest is fitted by Spark ML on
@@ -40,18 +40,20 @@ from pyspark.sql import functions as F
 from assaykit.llm.common import col, free_prefix
 from assaykit.session import stored
 
-#: Bounds of the fit: about so many documents (by a hash of their id and text) give the negative findings and the dictionary.
+#: Bound of the fit: about so many documents (by a hash of their id and text) give the negative findings.
 TRAIN_DOCS = 12_000
 #: Positive findings come from all documents: every different one of a kind (a format, a credential's name), about so many of a
 #: kind at most (by a hash). A kind with fewer than the second number is repeated up to it, so that each tree sees it.
 PER_KIND, LEAST_OF_KIND = 2000, 40
-DICTIONARY, PAIRS, NEIGHBOURS = 1500, 250, 100
+#: The dictionary holds the most frequent words of all documents by length, the transitions those of all its words.
+DICTIONARY, LENGTHS, PAIRS, NEIGHBOURS = 300, range(3, 13), 250, 100
 TREES, TREE_DEPTH, LEAST_SCORE = 15, 5, 0.5
 MASK = "[SECRET]"
 
 #: Published formats of keys, and names that credentials are assigned to.
 KEY_FORMATS = (r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]-[A-Za-z0-9-]{10,}",
-               r"AIza[0-9A-Za-z_-]{35}", r"sk-[A-Za-z0-9_-]{20,}", r"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){0,2}")
+               r"AIza[0-9A-Za-z_-]{35}", r"sk-[A-Za-z0-9_-]{20,}", r"github_pat_[A-Za-z0-9_]{22,}",
+               r"[rs]k_live_[A-Za-z0-9]{16,}", r"glpat-[A-Za-z0-9_-]{20,}", r"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){0,2}")
 CREDENTIALS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "credential", "auth")
 
 #: Fixed words of placeholders and code, as whole parts of a value, and signs of code and of templates.
@@ -79,8 +81,37 @@ _CLOSING = r"[\"'`,;.)\]}>]+$"
 _USER = r"://[^\s/:@]*:"
 _URL = _USER + r"(?!\d+[/?#])\S+?(?=@[\w.\[\]-]+(?:[:/?#,;)\"'\s]|$))"
 
-#: Of a text: pieces (a word and the white space behind it).
-_PIECES = rf"split(coalesce({{text}}, ''), {_q(r'(?<=\s)(?=\S)')}, -1)"
+#: Blanks and tabs inside a quoted value stand as these two signs while a text is in pieces, so the value is one piece.
+#: A text that holds one of them itself is cut at all white space.
+_HELD = "\ue000\ue001"
+
+
+def _held(text: str, sign: str, quote: str, held: str) -> str:
+    """SQL of a text whose blanks (``sign``) between the quotes of a credential's value are ``held``."""
+    open_ = _NAMES + rf"[\"']?\s*[:=]+\s*{quote}"
+    inside = rf"(?:{open_}|\G(?<!^))[^{quote}\r\n{sign}]*"
+    return f"regexp_replace({text}, {_q(rf'({inside}){sign}(?=[^{quote}\r\n]*{quote})')}, {_q('$1' + held)})"
+
+
+def _pieces(text: str) -> str:
+    """SQL of the pieces of a text column: a word, or a value in quotes, and the white space behind it."""
+    name = "`" + text.replace("`", "``") + "`"
+    held = name
+    for sign, stands in zip((" ", "\t"), _HELD):
+        for quote in "\"'":
+            held = _held(held, sign, quote, stands)
+    quoted = _q(r"[:=]\s*[\"']")
+    whole = f"if({name} RLIKE {quoted} AND NOT {name} RLIKE {_q('[' + _HELD + ']')}, {held}, coalesce({name}, ''))"
+    return f"split({whole}, {_q(r'(?<=\s)(?=\S)')}, -1)"
+
+
+def _given(sql: str, text: str) -> str:
+    """SQL of a string made of a text's pieces with the text's own blanks."""
+    name = "`" + text.replace("`", "``") + "`"
+    return (f"if({name} RLIKE {_q('[' + _HELD + ']')}, {sql}, "
+            f"replace(replace({sql}, {_q(_HELD[0])}, ' '), {_q(_HELD[1])}, {_q(chr(9))}))")
+
+
 #: Characters of its own piece that count as what stands before or behind a candidate.
 _NEAR = 80
 
@@ -131,6 +162,22 @@ def _plain(run: str, words: dict[int, list[str]]) -> str:
     return f"if(size({parts}) = 0, 0D, size(filter({parts}, w -> w IN ({known}))) / size({parts}))"
 
 
+def _starts(words: list[str]) -> str:
+    """Regular expression that matches, without a length, at each place where one of the words starts: a tree of their letters."""
+    def tree(some: list[str]) -> str:
+        if "" in some:  # a shorter word says it all
+            return ""
+        heads: dict[str, list[str]] = {}
+        for w in some:
+            heads.setdefault(w[0], []).append(w[1:])
+        last = [c for c, rest in heads.items() if "" in rest]
+        parts = ["[" + "".join(last) + "]" if len(last) > 1 else last[0]] if last else []
+        parts += [c + tree(rest) for c, rest in heads.items() if c not in last]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return "(?=" + tree(sorted(words)) + ")"
+
+
 @dataclass
 class Scanner:
     words: dict[int, list[str]] = field(default_factory=dict)  # dictionary, by length
@@ -141,9 +188,9 @@ class Scanner:
     def features(self, x: str = "x") -> dict[str, str]:
         """SQL of each feature, over the candidate x (r, with b before and f behind it) of the piece p."""
         low, n = f"lower({x}.r)", f"length({x}.r)"
-        covered = " OR ".join(f"substr({low}, k, {size}) IN ({', '.join(map(_q, some))})"
-                              for size, some in sorted(self.words.items()) if some) or "false"
-        common = f"substr({low}, k, 2) IN ({', '.join(map(_q, self.pairs))})" if self.pairs else "false"
+        known = [w for some in self.words.values() for w in some]
+        covered = f"regexp_count({low}, {_q(_starts(known))})" if known else "0"
+        common = f"regexp_count({low}, {_q(_starts(self.pairs))})" if self.pairs else "0"
 
         def listed(side: str) -> str:
             return ", ".join(map(_q, self.near.get(side) or [" "]))
@@ -153,8 +200,8 @@ class Scanner:
             "digits": f"regexp_count({x}.r, '[0-9]') / {n}",
             "capitals": f"regexp_count({x}.r, '[A-Z]') / {n}",
             "turns": f"regexp_count({x}.r, '(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])') / {n}",
-            "common": f"if({n} > 1, size(filter(sequence(1, greatest({n} - 1, 1)), k -> {common})) / ({n} - 1), 0D)",
-            "covered": f"if({n} > 2, size(filter(sequence(1, greatest({n} - 2, 1)), k -> {covered})) / ({n} - 2), 0D)",
+            "common": f"if({n} > 1, {common} / ({n} - 1), 0D)",
+            "covered": f"if({n} > 2, {covered} / ({n} - 2), 0D)",
             "signs": f"regexp_count({x}.r, '[^A-Za-z0-9]') / {n}",
             "user": f"cast(if({x}.f LIKE '@%' AND {x}.b RLIKE {_q(_USER + '$')}, 1, 0) AS double)",
             "distinct": f"size(array_distinct(split({low}, ''))) / {n}",
@@ -196,7 +243,7 @@ def forest_sql(description: str, names: list[str]) -> str:
 
 def candidates(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """how (run, format, value, url or inner: a run in a value), run, piece, before, behind and place: one row per candidate."""
-    rows = docs.select(F.expr(_PIECES.format(text="`" + text.replace("`", "``") + "`")).alias("pieces"))
+    rows = docs.select(F.expr(_pieces(text)).alias("pieces"))
     found = rows.select(F.expr(
         f"explode(flatten(transform(pieces, (p, i) -> transform({_found('pieces')}, x -> struct(i AS i, p AS p, x AS x)))))").alias("y"))
     return found.selectExpr("y.x.how AS how", "y.x.r AS run", "y.p AS piece", "y.x.b AS before", "y.x.f AS behind", "y.i AS place")
@@ -246,14 +293,17 @@ def _neighbours(findings: DataFrame) -> dict[str, list[str]]:
 
 
 def _dictionary(texts: DataFrame, text: str) -> tuple[dict[int, list[str]], list[str]]:
-    words = texts.select(F.explode(F.split(F.lower(col(text)), r"[^\p{L}]+")).alias("w")).where(
-        F.length("w") >= 3).groupBy("w").count()
-    top = words.where(F.length("w") <= 5).orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()
+    """The most frequent words of each length and the most frequent transitions, from the words of all texts."""
+    words = stored(texts.select(F.explode(F.split(F.lower(col(text)), r"[^\p{L}]+")).alias("w")).where(
+        F.length("w") >= 3).groupBy("w").count(), "words")
+    size = F.length("w")
+    by_size = {}
+    for n in LENGTHS:
+        top = words.where(size == n).orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()
+        if top:
+            by_size[n] = [r.w for r in top]
     pairs = words.select("count", F.explode(F.expr("transform(sequence(1, length(w) - 1), k -> substr(w, k, 2))")).alias("w"))
     best = pairs.groupBy("w").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "w").limit(PAIRS).collect()
-    by_size: dict[int, list[str]] = {}
-    for r in top:
-        by_size.setdefault(len(r.w), []).append(r.w)
     return by_size, [r.w for r in best]
 
 
@@ -290,11 +340,11 @@ def bounded_kinds(found: DataFrame, per_kind: int) -> DataFrame:
 
 def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS,
         per_kind: int = PER_KIND) -> Scanner:
-    """Positive findings from all documents; negative ones and the dictionary from about ``train_docs`` (all, if fewer)."""
+    """Dictionary, transitions and positive findings from all documents; negative ones from about ``train_docs`` (all, if fewer)."""
     share = train_docs / max(1, docs.count())
     place = F.pmod(F.xxhash64(col(key), col(text), F.lit(3)), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = stored(docs.where(col(text).isNotNull() & (place < share)).select(col(text).alias("text")), "secrets")
-    words, pairs = _dictionary(sample, "text")
+    words, pairs = _dictionary(docs, text)
     scanner = Scanner(words, pairs)
     found = labelled_findings(candidates(docs, text=text), words)
     some = bounded_kinds(found.where("label = 1 OR kind = 'placeholder'"), per_kind)
@@ -309,21 +359,22 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", train_docs:
 def scan(docs: DataFrame, scanner: Scanner, *, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with findings: place (number of the word, from 0), run and score of every candidate, in order."""
     name, p = prefix + "findings", free_prefix(docs, "scan") + "pieces"
-    rows = docs.withColumn(p, F.expr(_PIECES.format(text="`" + text.replace("`", "``") + "`")))
+    rows = docs.withColumn(p, F.expr(_pieces(text)))
     # A run or format inside of a secret value is no finding of its own.
     inside = (f"f.how IN ('inner', 'format') AND exists(y, g -> g.how IN ('value', 'url') AND g.score >= {LEAST_SCORE}D "
               "AND contains(g.run, f.run))")
     scored = f"transform({_found(p)}, x -> struct(x.how AS how, i AS place, x.r AS run, {scanner.score()} AS score))"
     found = F.expr(f"flatten(transform({p}, (p, i) -> element_at(transform(array({scored}), y -> transform("
-                   f"filter(y, f -> NOT ({inside})), f -> struct(f.place AS place, f.run AS run, f.score AS score))), 1)))")
+                   f"filter(y, f -> NOT ({inside})), f -> struct(f.place AS place, {_given('f.run', text)} AS run, f.score AS score))), 1)))")
     return rows.select(*[col(c) for c in docs.columns if c.lower() != name.lower()], found.alias(name))
 
 
 def redact(docs: DataFrame, scanner: Scanner, *, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with every secret in its text replaced by a mask; columns as before."""
     p = free_prefix(docs, "scan") + "pieces"
-    rows = docs.withColumn(p, F.expr(_PIECES.format(text="`" + text.replace("`", "``") + "`")))
-    clean = F.expr(f"array_join(transform({p}, (p, i) -> aggregate({_found(p)}, p, (a, x) -> "
-                   f"if({scanner.score()} >= {least_score}D, replace(a, concat(x.h, x.r), concat(x.h, {_q(MASK)})), a))), '')")
-    masked: Column = F.when(col(text).isNotNull(), clean)
+    rows = docs.withColumn(p, F.expr(_pieces(text)))
+    clean = (f"array_join(transform({p}, (p, i) -> aggregate({_found(p)}, p, (a, x) -> "
+             f"if({scanner.score()} >= {least_score}D, replace(a, concat(x.h, x.r), concat(x.h, {_q(MASK)})), a))), '')")
+    rows = rows.withColumn(p + "clean", F.expr(clean))
+    masked: Column = F.when(col(text).isNotNull(), F.expr(_given(p + "clean", text)))
     return rows.select(*[masked.alias(c) if c == text else col(c) for c in docs.columns])
