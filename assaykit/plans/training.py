@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators import cleaning, joins, labels, quantiles, splits
+from assaykit.session import stored
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -94,10 +95,12 @@ def write_splits(df: DataFrame, base: str, mode: str = "overwrite", split_col: s
     """Write both splits in one job.
 
     ``partitioned``: one dataset ``{base}`` partitioned by ``split``;
-    ``separate``: ``{base}_train`` and ``{base}_val`` like the reference (two jobs).
+    ``separate``: ``{base}_train`` and ``{base}_val`` like the reference; the
+    plan runs once, into a table partitioned by split, which both are copied from.
     """
     if layout == "partitioned":
         df.write.mode(mode).partitionBy(split_col).parquet(base)
         return
+    rows = stored(df, "splits", partition_by=[split_col])
     for name in ("train", "val"):
-        df.where(F.col(split_col) == name).drop(split_col).write.mode(mode).parquet(f"{base}_{name}")
+        rows.where(F.col(split_col) == name).drop(split_col).write.mode(mode).parquet(f"{base}_{name}")

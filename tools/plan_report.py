@@ -25,14 +25,21 @@ SCALE_NOTES = {
     "annotate_targets": "Three left joins to dimension-sized target tables; they broadcast when AQE "
                         "measures them small, else sort-merge. Output fan-out is the operator's contract.",
     "activity_distributions": "Target components are pre-aggregated to (target, type) weights before "
-                              "meeting measurements; 4-way grouping expansion, then partial aggregation "
-                              "by (group, bin); group ranges are a small table joined back.",
+                              "meeting measurements; rows are counted per type, dimensions and value, and "
+                              "GROUPING SETS expand these counts, not rows; group ranges are a written "
+                              "table, broadcast only where Spark finds its files small.",
     "to_nanomolar": "Narrow projection, no shuffle.",
     "regression_metrics": "One rollup with partial aggregation; output size is epochs x batches.",
     "early_stopping": "Three distributed prefix scans (numbered, blocked, carried across blocks) and a "
                       "per-run min; a run with a third of all epochs is spread over many tasks.",
     "assign_batches": "Range partition + per-partition offsets; no single-partition window over rows.",
-    "assemble_graphs": "Shuffles by graph id; each output row is one graph by definition.",
+    "assemble_graphs": "Nodes and edges meet in one shuffle by graph id; places by binary search in the "
+                       "sorted ids; each output row is one graph by definition.",
+    "robust_pooled_regression": "One pass and one aggregate of (width + 1)^2 sums per regularisation and step, "
+                                "over a written table; the driver solves a system of the model's width.",
+    "early_stopping_delta": "Numbered once; strict minima become one step function per block, folded over "
+                            "the steps near each block's start; counters are prefix scans.",
+    "daily_profile": "A new day is one aggregate of partial sketches; older days are not read.",
     "propagate": "One join + one aggregate per round over a materialized link table; hub nodes are "
                  "handled by partial aggregation and AQE skew joins.",
     "circular_fingerprint": "Same round shape as propagate; per-graph bit sets are capped at n_bits.",
