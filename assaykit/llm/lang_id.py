@@ -13,6 +13,7 @@ every document is ``und``; all input rows and columns stay.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,37 +37,51 @@ LENGTHS = (32, 128, 512, 2048)
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                        T.StructField("rejected", T.BooleanType())])
 
+#: Characters of a text that are counted at once.
+SLICE = 1 << 18
+
 _letters: list[np.ndarray] = []
 
 
 def _fold(codes: np.ndarray) -> np.ndarray:
     """Lower-case letters as they are, all else as blanks."""
     if not _letters:
-        low = np.full(0x30000, 32, np.uint32)
+        low = np.full(sys.maxunicode + 1, 32, np.uint32)
         for c in range(len(low)):
             s = chr(c)
             if s.isalpha():
                 low[c] = ord(s.lower()[0])
         _letters.append(low)
-    return _letters[0][np.minimum(codes, len(_letters[0]) - 1)]
+    return _letters[0][codes]
 
 
-def features(text: str) -> tuple[np.ndarray, int]:
-    """Counts of the n-grams by bucket, and the number of letters."""
-    a = _fold(np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4"))
-    blank = a == 32
-    letters = len(a) - int(blank.sum())
-    if not letters:
-        return np.zeros(BUCKETS, np.int64), 0
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]  # one blank of a run
-    a = a[keep]
-    a = (a if a[0] == 32 else np.concatenate(([np.uint32(32)], a))).astype(np.uint64)
-    one = a * np.uint64(0x9E3779B97F4A7C15)
+def _buckets(a: np.ndarray, new: int) -> np.ndarray:
+    """Counts by bucket of the n-grams that end in the last ``new`` characters."""
+    one = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a = a.astype(np.uint64)
     two = (one[:-1] ^ (a[1:] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
     three = (two[:-1] ^ (a[2:] * np.uint64(0x27D4EB2F165667C5))) * np.uint64(0x9E3779B97F4A7C15)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return np.bincount((np.concatenate((one, two, three)) >> shift).astype(np.int64), minlength=BUCKETS), letters
+    grams = np.concatenate([x[max(0, len(x) - new):] for x in (one, two, three)])
+    return np.bincount((grams >> shift).astype(np.int64), minlength=BUCKETS)
+
+
+def features(text: str) -> tuple[np.ndarray, int]:
+    """Counts of the n-grams by bucket, and the number of letters; slice by slice, with the last two characters carried."""
+    tail = np.array([32], np.uint32)
+    counts, letters = _buckets(tail, 1), 0
+    for at in range(0, len(text), SLICE):
+        part = text[at:at + SLICE] + (" " if at + SLICE >= len(text) else "")
+        a = _fold(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))
+        blank = a == 32
+        letters += len(a) - int(blank.sum())
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]  # one blank of a run
+        keep[0] |= tail[-1] != 32
+        a = np.concatenate((tail, a[keep]))
+        counts += _buckets(a, len(a) - len(tail))
+        tail = a[-2:]
+    return (counts, letters) if letters else (np.zeros(BUCKETS, np.int64), 0)
 
 
 @dataclass

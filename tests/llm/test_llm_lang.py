@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaykit.llm import lang_id
@@ -53,3 +54,31 @@ def test_prediction_does_not_read_labels(spark):
     a = {r.doc_id: r.lang_pred for r in lang_id.predict(small, model).collect()}
     b = {r.doc_id: r.lang_pred for r in lang_id.predict(small.withColumn("lang", F.lit("zz")), model).collect()}
     assert a == b
+
+
+def test_slices_and_late_planes_change_no_feature(monkeypatch):
+    texts = ["", " ", "a", "Ab  c1d\n\nÉ日本 ß.", "x" * 50 + " y" * 50, "\U00030001 and \U00031360\U000323AF", "1 2 3"]
+    whole = [lang_id.features(t) for t in texts]
+    assert [n for _, n in whole] == [sum(c.isalpha() for c in t) for t in texts]
+    for size in (1, 2, 3, 10):
+        monkeypatch.setattr(lang_id, "SLICE", size)
+        for t, (counts, letters) in zip(texts, whole):
+            got = lang_id.features(t)
+            assert got[1] == letters and (got[0] == counts).all()
+
+
+def test_cosines_against_plain_numpy(spark):
+    docs = table(spark, SF_MID, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(docs.where(~lang_id.held_out(docs.doc_id)))
+    rows = {r.doc_id: r for r in lang_id.predict(docs.select("doc_id", "text").limit(300), model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, r in rows.items():
+        counts, letters = lang_id.features(texts[i] or "")
+        if not letters:
+            assert r.lang_pred == "und"
+            continue
+        v = np.log1p(counts.astype(float)) * model.weights
+        cosines = [float(v @ c / np.linalg.norm(v)) for c in model.centroids.astype(float)]
+        best = int(np.argmax(cosines))
+        assert abs(r.score - max(0.0, min(1.0, cosines[best]))) < 1e-4
+        assert r.lang_pred == model.langs[best] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-5
