@@ -22,7 +22,8 @@ left out.
 Defined results: words are runs of 0-9, a-z (after lower-casing A-Z) and
 characters beyond ASCII; a text of fewer than n words, but not none, is one
 n-gram of all its words; a text without words is a group of its own without
-links; repeated rows count as documents of their own.
+links; repeated rows count as documents of their own, and where one is kept it
+is the least of them by all columns.
 """
 
 from __future__ import annotations
@@ -86,6 +87,21 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
                                 starts) + sizes.astype(np.uint64))
 
 
+def _gram_hashes(words: list[bytes], n: int) -> np.ndarray:
+    hashes = _word_hashes(words)
+    grams = hashes[:max(0, len(hashes) - n + 1)].copy()
+    for k in range(1, n):
+        grams = _mix(grams * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + len(grams)])
+    return grams
+
+
+def _long_set(words: list[bytes], n: int) -> np.ndarray:
+    """The set of one long text, from slices of words that overlap by n - 1."""
+    step = max(1, _TEXT_BYTES // 8)
+    parts = [np.unique(_gram_hashes(words[at:at + step + n - 1], n)) for at in range(0, len(words) - n + 1, step)]
+    return np.unique(np.concatenate(parts))
+
+
 def gram_sets(texts: list[str | None], n: int = N_WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text."""
     out: list[np.ndarray] = []
@@ -115,7 +131,13 @@ def gram_sets(texts: list[str | None], n: int = N_WORDS) -> list[np.ndarray]:
             at += len(ws)
 
     for text in texts:
-        lists.append(words_of(text))
+        words = words_of(text)
+        if len(text or "") > _TEXT_BYTES and len(words) >= n:
+            flush()
+            lists, size = [], 0
+            out.append(_long_set(words, n))
+            continue
+        lists.append(words)
         size += len(text or "")
         if size > _TEXT_BYTES:
             flush()
@@ -479,5 +501,8 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **o
                              p + "words": F.lower(F.coalesce(col(text), F.lit(""))).rlike(r"[0-9a-z\x{80}-\x{10FFFF}]")})
     one = rows.where(F.col(p + "words")).join(
         kept, (F.col(p + "own") == F.col(p + "body")) & col(doc_id).eqNullSafe(F.col(p + "doc")), "left_semi")
-    one = one.dropDuplicates([doc_id, p + "own"])  # repeated rows
+    # Of rows with the same doc_id and text the least by all columns that have an order.
+    ordered = [col(f.name) for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    least = F.min_by(F.struct(*[col(c) for c in rows.columns]), F.struct(*ordered))
+    one = one.groupBy(col(doc_id).alias(p + "key"), col(p + "own").alias(p + "text")).agg(least.alias(p + "row")).select(p + "row.*")
     return one.unionByName(rows.where(~F.col(p + "words"))).select(*[col(c) for c in docs.columns])

@@ -96,3 +96,19 @@ def test_components(spark):
     got = {r.node: r.root for r in J.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     want = {i: 0 for i in range(1, 41)} | {101: 100, 102: 100, 103: 100} | {i: 200 for i in range(201, 230)}
     assert got == want
+
+
+def test_long_texts_in_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["", "a b", " ".join(rng.choice(list("abc"), 500)), "one " * 300, " ".join(f"w{i}" for i in range(700)), None, "x y z u v w"]
+    whole = J.gram_sets(texts)
+    for size in (1, 16, 100, 1000):
+        monkeypatch.setattr(J, "_TEXT_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(J.gram_sets(texts), whole))
+
+
+def test_the_least_of_repeated_rows_stays(spark):
+    rows = [(1, "some words here that stay", "b", {"k": 1}), (1, "some words here that stay", "a", {"k": 2}), (1, "some words here that stay", "c", {"k": 3})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, z string, m map<string,int>")
+    for parts in (1, 3):
+        assert [(r.z, r.m) for r in J.keep_one(df.repartition(parts)).collect()] == [("a", {"k": 2})]
