@@ -5,11 +5,15 @@ postings are the vectors whose component there has the query's sign; its bound
 is the largest product it can add. Terms are sorted by bound. Those whose
 bounds together stay below the k-th best score so far are non-essential: a
 vector found in none of the other (essential) postings can't be among the best.
-Essential postings are traversed; the vectors found there are probed in the
-other terms, highest bound first, while they can still reach the k-th score.
+Essential postings are traversed one after the other; the vectors found there
+are probed in the other terms, highest bound first, while they can still reach
+the k-th score. Each part of a posting that has been scored raises that score,
+so terms become non-essential on the way.
 
-Vectors are dealt to shards and queries to blocks of bounded size. A task
-searches one shard for one block of queries, and the shards' best are merged.
+A task reads its own vectors, shard by shard, for one block of queries, and
+takes the k-th score from shard to shard; the tasks' best are merged. Vectors
+are never moved: a block of queries, of bounded size, is sent to all tasks, and
+the blocks take turns.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without an id; a shorter vector has zeros at its end;
@@ -20,16 +24,20 @@ k candidates all are returned. Products and their sums must fit 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import col, small_batches
+from assaykit.session import shared_path, stored
 
 SHARD_ROWS, BLOCK_QUERIES = 8192, 2048
 _EXACT = 2.0 ** 53
 _PROBED = 8  # terms probed between two checks of the bound
+_CHUNK = 512  # vectors of a posting that are scored before the k-th score is raised
 
 
 def usable(vector: Column) -> Column:
@@ -72,36 +80,54 @@ class Shard:
             return self.as_float, query.astype(np.float64)
         return self.by_dim, query
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (id, score), without rows of id ``own``."""
+    def search(self, own: int, query: np.ndarray, k: int, floor: float | None = None) -> list[tuple[int, int]]:
+        """The k best (id, score), without rows of id ``own`` and, where a ``floor`` is given, those below it."""
         dims = min(len(query), len(self.by_dim))
         values, q = self._values(query[:dims])
         sign = np.sign(query[:dims]).astype(int)
         bound = np.where(sign > 0, self.most[1][:dims] * np.maximum(query[:dims], 0),
                          self.most[-1][:dims] * np.maximum(-query[:dims], 0))
         terms = np.argsort(bound, kind="stable")[::-1]  # highest bound first
-        open_ = self.ids != own
-        at_least = self._seed(values, q, sign, terms[:4], open_, k)
+        seen = self.ids == own
+        at_least = self._seed(values, q, sign, terms[:4], ~seen, k)
+        if floor is not None:
+            at_least = floor if at_least is None else max(at_least, floor)
         rest = np.concatenate((np.cumsum(bound[terms][::-1])[::-1], [0]))  # rest[i]: bounds of terms[i:] together
-        # Without a threshold every term is essential.
-        essential = len(terms) if at_least is None else int(np.argmax(rest < at_least)) if (rest < at_least).any() else len(terms)
-        found = np.zeros(len(self.ids), bool)
-        for d in terms[:essential]:
+        best, scores = np.zeros(0, np.int64), q[:0]
+
+        def score(rows: np.ndarray, known: int) -> None:
+            """Score rows in full while they can do; terms up to ``known`` are exact from the start."""
+            nonlocal best, scores, at_least
+            first = terms[:known]
+            got = q[first] @ values[np.ix_(first, rows)]
+            for at in range(known, len(terms) + 1, _PROBED):
+                if at_least is not None:
+                    able = got + rest[at] >= at_least
+                    rows, got = rows[able], got[able]
+                some = terms[at:at + _PROBED]
+                if not len(rows) or not len(some):
+                    break
+                got = got + q[some] @ values[np.ix_(some, rows)]
+            best, scores = np.concatenate((best, rows)), np.concatenate((scores, got))
+            kept = np.lexsort((best, -scores))[:k]
+            best, scores = best[kept], scores[kept]
+            if len(best) == k and (at_least is None or scores[-1] > at_least):
+                at_least = scores[-1]
+
+        for i, d in enumerate(terms):
+            if at_least is not None and rest[i] < at_least:  # this term and all behind it are non-essential
+                break
             if sign[d]:
-                found |= self.postings[sign[d]][d]
+                rows = np.flatnonzero(self.postings[sign[d]][d] & ~seen)
+                seen[rows] = True
+                for at in range(0, len(rows), _CHUNK):
+                    score(rows[at:at + _CHUNK], i + 1)
         if at_least is None or at_least <= 0:
-            found[:] = True  # a vector in no posting has a score of at most 0, which may still do
-        found &= open_
-        rows = np.flatnonzero(found)
-        score = (q[terms[:essential]] @ values[terms[:essential]])[rows]
-        for at in range(essential, len(terms), _PROBED):
-            if at_least is not None:
-                able = score + rest[at] >= at_least
-                rows, score = rows[able], score[able]
-            some = terms[at:at + _PROBED]
-            score = score + q[some] @ values[np.ix_(some, rows)]
-        best = np.lexsort((rows, -score))[:k]
-        return [(int(self.ids[rows[i]]), int(score[i])) for i in best]
+            # A vector in no posting has a score of at most 0, which may still do.
+            rows = np.flatnonzero(~seen)
+            for at in range(0, len(rows), _CHUNK):
+                score(rows[at:at + _CHUNK], len(terms))
+        return [(int(self.ids[r]), int(x)) for r, x in zip(best, scores) if at_least is None or x >= at_least]
 
     def _seed(self, values, q, sign, terms, open_, k):
         """A score that k vectors reach: the k-th best of those largest in the leading terms."""
@@ -113,15 +139,33 @@ class Shard:
         return np.partition(q @ values[:len(q)][:, rows], -k)[-k]
 
 
-def _searcher(k: int):
-    def run(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if queries.num_rows and shard.num_rows:
-            postings = Shard(shard.column("id").to_numpy(), _matrix(shard))
-            for own, q in zip(queries.column("id").to_pylist(), _matrix(queries)):
-                out += [(own, i, s) for i, s in postings.search(own, q, k)]
-        ids = list(zip(*out)) if out else ([], [], [])
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), ids)})
+def _searcher(shared, k: int, shard_rows: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, floors, held, n = shared.value, {}, [], 0
+
+        def search() -> pa.RecordBatch:
+            shard = pa.Table.from_batches(held)
+            postings, out = Shard(shard.column("id").to_numpy(), _matrix(shard)), []
+            for place, (own, q) in enumerate(queries):
+                got = postings.search(own, q, k, floors.get(place))
+                if len(got) == k:  # k candidates reach the last one's score, here and in all
+                    floors[place] = max(got[-1][1], floors.get(place, got[-1][1]))
+                out += [(own, i, s) for i, s in got]
+            ids = list(zip(*out)) if out else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ids], schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, shard_rows):
+                part = batch.slice(at, shard_rows)
+                if held and n + part.num_rows > shard_rows:
+                    yield search()
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield search()
 
     return run
 
@@ -130,9 +174,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_
           shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k highest integer inner products of every query.
 
-    ``vector`` holds integers. Two counts decide how many shards and blocks
-    there are; a task gets about ``shard_rows`` vectors and ``block_queries``
-    queries however large the tables are.
+    ``vector`` holds integers. A task holds about ``shard_rows`` vectors and
+    ``block_queries`` queries at a time, however large the tables are; with
+    more than one block the vectors are written once and read by each.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -141,16 +185,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_
         return df.select(col(id_col).cast("long").alias("id"), col(vector).cast("array<long>").alias("vector")).where(
             F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", F.isnull))
 
-    asked, rows = pick(queries).dropDuplicates(), pick(vectors)
-    shards = max(1, -(-rows.count() // shard_rows))
+    asked, rows = stored(pick(queries).dropDuplicates(), "queries"), pick(vectors)
     blocks = max(1, -(-asked.count() // block_queries))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks))).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    # Copies of one vector are dealt by their ids, so they don't meet in one shard.
-    right = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(
-        _searcher(k), "query_id long, vec_id long, score long")
+    rows = rows if blocks == 1 else stored(rows, "vectors")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    path = shared_path(spark, "best")
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)) == block).collect()
+        # About block_queries of them, by their hashes.
+        shared = spark.sparkContext.broadcast([(r.id, np.array(r.vector, np.int64)) for r in some])
+        found = rows.mapInArrow(_searcher(shared, k, shard_rows), "query_id long, vec_id long, score long")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
