@@ -1,13 +1,16 @@
 """Registered queries against their SQL, and the pipeline against each operator's own results."""
 
+import re
+
 import duckdb
 import pytest
+import sentencepiece
 
 import corpus_pipeline
-from assaykit.llm import decontaminate, lang_id, ngram_join
+from assaykit.llm import decontaminate, lang_id, ngram_join, secret_scan
 from assaykit.llm.common import table
 from assaykit.llm.oracle import ORACLE
-from assaykit.llm.queries import QUERIES
+from assaykit.llm.queries import PIECE_BPE, QUERIES
 from conftest import SF_SMALL
 from test_llm_near import brute
 from tools.oracle_check import rows_of
@@ -42,6 +45,19 @@ def test_pipeline(spark):
     one = {d for d, c, _ in brute(known) if d == c}
     hits = {r.doc_id for r in decontaminate.find_contamination(docs, table(spark, SF_SMALL, "benchmark")).collect() if r.n_hit}
     assert {r.doc_id for r in rows} == one - hits and hits & one
+    # The library reads the sampled pieces as the text the stage was given.
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    assert all(sp.decode(list(r.ids)) == (r.text or "") for r in rows)
+    # Of the given texts the masking stage has changed those with a finding and no others, and nothing round it.
+    given, masked = dict(known), 0
+    for r in rows:
+        parts = (r.text or "").split(secret_scan.MASK)
+        masked += len(parts) > 1
+        if len(parts) == 1:
+            assert r.text == given[r.doc_id]
+        else:
+            assert re.fullmatch(".+?".join(map(re.escape, parts)), given[r.doc_id], re.DOTALL)
+    assert not any(re.search(r"\bAKIA[0-9A-Z]{16}\b", r.text or "") for r in rows) and masked <= len(rows) // 4
 
 
 def test_stages_on_an_empty_table(spark):

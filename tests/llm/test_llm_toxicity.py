@@ -1,5 +1,6 @@
 """op5: accuracy on labelled documents that were held out, and edge cases."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaykit.llm import toxicity
@@ -36,3 +37,24 @@ def test_without_labels(spark):
     chain = toxicity.fit_chain(docs, labels, ["toxic"])
     r = toxicity.predict(docs, chain).first()
     assert r.p_toxic == 0.0 and not r.is_toxic
+
+
+def test_chain_against_plain_numpy(spark):
+    """Each probability from the words, the coefficients and the probabilities before it."""
+    docs = spark.range(240).selectExpr("id AS doc_id", """concat(if(id % 3 = 0, 'vile trash ', 'kind words '), if(id % 2 = 0, 'poor stuff ', 'fine work '),
+        'of number ', cast(id % 7 AS string), if(id % 3 = 0 AND id % 5 > 0, ' awful', '')) AS text""")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 AS int) AS low", "cast(doc_id % 3 = 0 AS int) AS toxic")
+    chain = toxicity.fit_chain(docs, labels, ["low", "toxic"])
+    index = {w: i for i, w in enumerate(chain.words.vocabulary)}
+    words = {r.doc_id: r.w for r in docs.select("doc_id", toxicity._words(F.col("text")).alias("w")).collect()}
+    for r in toxicity.predict(docs, chain).collect():
+        x = np.zeros(len(index))
+        x[[index[w] for w in words[r.doc_id] if w in index]] = 1
+        before = []
+        for name, model, limit in zip(chain.categories, chain.models, chain.thresholds):
+            weights = model.coefficients.toArray()
+            assert len(weights) == len(x) + len(before)
+            p = 1 / (1 + np.exp(-(weights @ np.concatenate((x, before)) + model.intercept)))
+            assert abs(r[f"p_{name}"] - p) < 1e-9 and r[f"is_{name}"] == (p >= limit)
+            before.append(p)
+        assert r.is_toxic == (r.doc_id % 3 == 0) and r.is_low == (r.doc_id % 2 == 0)
