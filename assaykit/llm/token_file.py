@@ -193,9 +193,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, first, n, docs, starts, data in zip(*(c.to_pylist() for c in batch.columns)):
-                codes = Codes(data)
+                ids = np.ascontiguousarray(Codes(data).slice(0, n), "<u4")  # a segment has all its documents in whole
                 ends = [*starts[1:], n]
-                crc = [zlib.crc32(codes.slice(a, b).astype("<u4").tobytes()) for a, b in zip(starts, ends)]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(docs, pa.int64()), "shard": pa.array([shard] * len(docs), pa.int32()),
                     "at": [first + a for a in starts], "n_tokens": [b - a for a, b in zip(starts, ends)],
