@@ -57,38 +57,3 @@ def test_terms_are_left_out():
     shard = topk.Shard(np.arange(1000), v)
     q = np.array([50, 1, 1, 1, 1, 1, 1, 1])
     assert shard.search(-1, q, 5) == [(i, int(v[i] @ q)) for i in sorted(range(1000), key=lambda i: (-int(v[i] @ q), i))[:5]]
-
-
-@pytest.mark.parametrize("floor", [None, -5, 0, 40, 10 ** 9])
-def test_a_floor_leaves_out_what_is_below_it(floor):
-    rng = np.random.default_rng(4)
-    for dims in (1, 6, 24):
-        v = rng.integers(-9, 10, (400, dims))
-        v[rng.random(v.shape) < 0.5] = 0
-        shard = topk.Shard(np.arange(400), v)
-        for q in (v[3], -v[3], np.zeros(dims, np.int64)):
-            best = sorted(((-int(x @ q), i) for i, x in enumerate(v) if i != 7))[:5]
-            want = [(i, -s) for s, i in best if floor is None or -s >= floor]
-            assert shard.search(7, q, 5, floor) == want
-
-
-def test_the_threshold_rises_while_traversing(monkeypatch):
-    """The k-th score of the first parts of a posting makes the terms behind it non-essential."""
-    rng = np.random.default_rng(2)
-    v = rng.integers(0, 3, (4000, 12))
-    v[:, 0] = rng.permutation(4000)
-    shard = topk.Shard(np.arange(4000), v)
-    q = np.array([10] + [1] * 11)
-    scored = []
-    real = np.lexsort
-    monkeypatch.setattr(np, "lexsort", lambda keys: scored.append(len(keys[0])) or real(keys))
-    assert shard.search(-1, q, 5) == [(i, int(v[i] @ q)) for i in sorted(range(4000), key=lambda i: (-int(v[i] @ q), i))[:5]]
-    assert sum(scored) < 400  # of 4000 in the first posting alone
-
-
-def test_blocks_take_turns_over_unmoved_vectors(spark):
-    rng = np.random.default_rng(9)
-    rows = [(int(i), [int(x) for x in rng.integers(-50, 50, 8)]) for i in range(200)]
-    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
-    got = topk.top_k(df, df, 3, shard_rows=16, block_queries=60).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, rows, 3)
