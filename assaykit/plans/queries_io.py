@@ -59,7 +59,7 @@ def q_stream_metrics(spark, base):
     io.append_metrics(fx.metrics(spark, base), src)
     query = stream_metrics(spark, src, dst, ck)
     query.awaitTermination()
-    # Read back with the declared schema: partition folders would otherwise infer run_id as int.
+    # Read back with the declared schema, without the column of the folders.
     return spark.read.schema(METRIC_SCHEMA).parquet(dst).select("run_id", "name", "value", "step")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,9 @@ from assaykit.operators.cleaning import enforce_schema
 
 EXPORT_CHUNK_ROWS = 100_000
 FORMATS = ("parquet", "orc", "csv", "json")
+#: Folders that the runs of a metric table are dealt to, so that their number doesn't grow with the runs.
+RUN_PARTS = 64
+RUN_PART = "run_part"
 
 
 def export_dataset(df: DataFrame, name: str, base: str, fmt: str = "parquet",
@@ -84,14 +87,26 @@ def read_source(spark: SparkSession, kind: str, path: str | None = None,
     return reader.options(**{k: str(v) for k, v in opts.items()}).load(path)
 
 
-def append_metrics(df: DataFrame, path: str, run: str = "run_id") -> None:
+def run_part(run: Column, parts: int = RUN_PARTS) -> Column:
+    """The folder of a run, the same for an int and a long: a reader of one run who filters on it opens no other folder."""
+    return F.pmod(F.xxhash64(run.cast("string")), F.lit(parts)).cast("int")
+
+
+def append_metrics(df: DataFrame, path: str, run: str = "run_id", parts: int | None = RUN_PARTS) -> None:
     """Append finite metric rows (run_id, name, value, step) partitioned by run.
 
-    Rows are dealt by run first, so a run's rows make few files; the hint lets
-    AQE split a run that holds a large share of them.
+    Runs are dealt to ``parts`` folders by ``run_part``, which a reader sees as a
+    column, and lie in order inside the files; ``parts=None`` makes a folder a
+    run, for tables that have this form already.
+    Rows are dealt by folder first, so a folder's rows make few files; the hint
+    lets AQE split one that holds a large share of them.
     """
-    rows = df.where(is_finite("value")).hint("rebalance", F.col(run))
-    rows.write.mode("append").partitionBy(run).parquet(path)
+    rows = df.where(is_finite("value"))
+    if parts is None:
+        rows.hint("rebalance", F.col(run)).write.mode("append").partitionBy(run).parquet(path)
+        return
+    dealt = rows.withColumn(RUN_PART, run_part(F.col(run), parts)).hint("rebalance", F.col(RUN_PART))
+    dealt.sortWithinPartitions(RUN_PART, run).write.mode("append").partitionBy(RUN_PART).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
