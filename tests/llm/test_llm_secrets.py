@@ -195,3 +195,50 @@ def test_more_formats(spark):
     docs = spark.createDataFrame([(k,) for k in keys], "text string")
     got = S.labelled_findings(S.candidates(docs)).where("how = 'format'").collect()
     assert sorted(r.run for r in got) == sorted(keys) and all(r.label == 1 for r in got)
+
+
+def test_a_text_is_read_once_not_once_a_finding(spark):
+    import time
+
+    everything, times = S.Scanner(forest="1.0D"), []
+    for n in (1000, 30_000):
+        text = " ".join(f"somelongishword{k}" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.perf_counter()
+        found = S.scan(docs, everything).collect()[0].findings
+        times.append(time.perf_counter() - t)
+        assert [(f.place, f.run) for f in found] == list(enumerate(text.split()))
+    assert times[1] < 10 * max(times[0], 0.5)
+
+
+def test_a_long_run_before_a_candidate_is_read_once(spark):
+    import time
+
+    scanner = S.Scanner(near={"before": ["password"], "behind": []}, forest="c.word_before")
+    times = []
+    for n in (1000, 150_000):
+        docs = spark.createDataFrame([(1, "a" * n + " password=hunter2!")], "doc_id long, text string")
+        t = time.perf_counter()
+        assert [(f.run, f.score) for f in S.scan(docs, scanner).collect()[0].findings] == [("a" * n, 0.0), ("hunter2!", 1.0)]
+        times.append(time.perf_counter() - t)
+    assert times[1] < 10 * max(times[0], 0.5)
+
+
+def test_only_pieces_that_can_hold_a_candidate_are_searched(spark):
+    # Short pieces, long ones, signs, the piece behind signs, also at the end of a text.
+    texts = ["short words only here", "a password:\n x1! and", "an end pwd =", "pwd = q.9", "tiny a=b understandings12", "", " \t ", None, "api_key=\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    asked = docs.withColumn("pieces", F.expr(S._pieces("text"))).select("doc_id", F.expr(S._each("pieces", "struct(i AS i, p AS p)")).alias("e"))
+    assert [[(x.i, x.p) for x in r.e] for r in asked.orderBy("doc_id").collect()] == [
+        [], [(1, "password:\n "), (2, "x1! ")], [(3, "=")], [(1, "= "), (2, "q.9")],
+        [(1, "a=b "), (2, "understandings12")], [], [], [], [(0, "api_key=\n")]]
+    found = S.scan(docs, S.Scanner(forest="1.0D")).orderBy("doc_id").collect()
+    assert [[(f.place, f.run) for f in r.findings] for r in found] == [
+        [], [(2, "x1!")], [], [(2, "q.9")], [(2, "understandings12")], [], [], [], []]
+
+
+def test_words_next_to_a_candidate(spark):
+    sides = {"say Token = ": ("Token", "say"), "": ("", ""), " 12 ": ("", ""), "über_x\n": ("über_x", "über_x"), "a😀b": ("b", "a")}
+    df = spark.createDataFrame([(s,) for s in sides], "s string")
+    got = {r.s: (r.b, r.f) for r in df.selectExpr("s", f"{S._word('s', 'before')} AS b", f"{S._word('s', 'behind')} AS f").collect()}
+    assert got == sides
